@@ -78,9 +78,9 @@ def stale_views(views: DataFrame, active_slugs: DataFrame) -> DataFrame:
         for prefix in VIEW_PREFIXES.values()
     ]
     ours = views.withColumn("slug", reduce(lambda a, b: F.coalesce(a, b), cases)).filter("slug IS NOT NULL")
-    any_active = active_slugs.agg((F.count("*") > 0).alias("any_active"))
-    gone = ours.join(active_slugs, "slug", "left_anti")
-    return gone.join(F.broadcast(any_active), F.col("any_active")).select("view_name", "slug")
+    gone = ours.join(active_slugs, "slug", "left_anti").withColumn("any_active", F.lit(True))
+    any_active = active_slugs.limit(1).select(F.lit(True).alias("any_active"))
+    return gone.join(F.broadcast(any_active), "any_active", "left_semi").select("view_name", "slug")
 
 
 def drop_stale_views(spark: SparkSession, active_slugs: list[str]) -> list[str]:
