@@ -21,7 +21,11 @@ COMPARISONS = {
     "==": operator.eq,
     "!=": operator.ne,
 }
-_JS = F.col("js_distance")
+
+
+def _js() -> Column:
+    return F.col("js_distance")
+
 
 
 def drift_limits(default: float) -> tuple[Column, Column]:
@@ -33,7 +37,7 @@ def drift_limits(default: float) -> tuple[Column, Column]:
 def drift_issues(drift: DataFrame, alerts: AlertSettings) -> DataFrame:
     """Rows at or above their warning limit, with severity."""
     critical, warning = drift_limits(alerts.drift_threshold)
-    return drift.filter(_JS >= warning).select(
+    return drift.filter(_js() >= warning).select(
         "source_table_name",
         "owner",
         "department",
@@ -42,7 +46,7 @@ def drift_issues(drift: DataFrame, alerts: AlertSettings) -> DataFrame:
         "chi_square_statistic",
         "drift_type",
         "drift_threshold",
-        F.when(_JS >= critical, "CRITICAL").when(_JS >= warning, "WARNING").alias("severity"),
+        F.when(_js() >= critical, "CRITICAL").when(_js() >= warning, "WARNING").alias("severity"),
         F.lit(1.0).alias("trigger_value"),
         "runbook_url",
         "lineage_url",
@@ -59,7 +63,7 @@ def drift_alert(drift: DataFrame, alerts: AlertSettings, limit: int = ALERT_ROWS
 def tiered_issues(drift: DataFrame, alerts: AlertSettings) -> dict[str, DataFrame]:
     """One frame for the warning band and one for critical drift."""
     critical, warning = drift_limits(alerts.drift_threshold)
-    bands = {"WARNING": (_JS >= warning) & (_JS < critical), "CRITICAL": _JS >= critical}
+    bands = {"WARNING": (_js() >= warning) & (_js() < critical), "CRITICAL": _js() >= critical}
     columns = ["source_table_name", "column_name", "js_distance"]
     return {
         name: drift.filter(band).select(*columns, F.lit(name).alias("severity")).orderBy(F.desc("js_distance"))
@@ -118,8 +122,8 @@ def alert_status(drift: DataFrame, alerts: AlertSettings) -> DataFrame:
     """Critical and warning counts per table that has any."""
     critical, warning = drift_limits(alerts.drift_threshold)
     counts = drift.groupBy("source_table_name", "department", "owner").agg(
-        F.count(F.when(_JS >= critical, 1)).alias("critical_count"),
-        F.count(F.when((_JS >= warning) & (_JS < critical), 1)).alias("warning_count"),
+        F.count(F.when(_js() >= critical, 1)).alias("critical_count"),
+        F.count(F.when((_js() >= warning) & (_js() < critical), 1)).alias("warning_count"),
         F.max("js_distance").alias("max_drift"),
         F.max("window_end").alias("last_check"),
     )
@@ -130,8 +134,8 @@ def alert_status(drift: DataFrame, alerts: AlertSettings) -> DataFrame:
 
 def combined_issues(drift: DataFrame, profile: DataFrame, threshold: float, warning: float, null_rate: float) -> DataFrame:
     """Drift and null-rate issues in one list."""
-    severity = F.when(_JS >= threshold, "CRITICAL").otherwise("WARNING")
-    drifted = drift.filter(_JS >= warning).select(
+    severity = F.when(_js() >= threshold, "CRITICAL").otherwise("WARNING")
+    drifted = drift.filter(_js() >= warning).select(
         "source_table_name",
         "owner",
         F.lit("DRIFT").alias("issue_category"),
@@ -201,7 +205,7 @@ def states_by_group(
 ) -> DataFrame:
     """The state of both alerts for every group in one pass; rows (group, alert, rows, state)."""
     critical, warning = drift_limits(alerts.drift_threshold)
-    drift_rows = drift.groupBy(group).agg(F.count(F.when(_JS >= warning, 1)).alias("rows"))
+    drift_rows = drift.groupBy(group).agg(F.count(F.when(_js() >= warning, 1)).alias("rows"))
     result = drift_rows.withColumn("alert", F.lit("drift"))
     issues = quality_issues(profile.withColumn("owner", F.struct(group, "owner")), alerts)
     if issues is not None:

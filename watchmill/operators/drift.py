@@ -25,7 +25,7 @@ from watchmill.sources.scratch import materialize
 BINS = 10
 #: Share that stands in for an empty bin in the population stability index.
 SHARE_FLOOR = 1e-4
-_FINITE = F.abs("number") < F.lit(float("inf"))
+_FINITE = "abs(number) < double('infinity')"
 _SCORES = ["js", "psi", "chi", "ks", "wd"]
 
 
@@ -78,7 +78,7 @@ _FACTS = ["size", "values", "low", "high"]
 
 def group_facts(counts: DataFrame) -> DataFrame:
     """Rows (g, c, size, values, low, high): counted rows, distinct values and range per column of every group."""
-    usable = counts.filter(F.col("number").isNull() | _FINITE)
+    usable = counts.filter(f"number IS NULL OR {_FINITE}")
     return usable.groupBy("g", "c").agg(
         F.sum("n").alias("size"),
         F.count("*").alias("values"),
@@ -88,7 +88,7 @@ def group_facts(counts: DataFrame) -> DataFrame:
 
 
 def _usable(counts: DataFrame) -> DataFrame:
-    return counts.filter(F.col("c") != ALL_ROWS).filter(F.col("number").isNull() | _FINITE)
+    return counts.filter(F.col("c") != ALL_ROWS).filter(f"number IS NULL OR {_FINITE}")
 
 
 # --- consecutive windows ------------------------------------------------------------------------------------------
@@ -187,7 +187,7 @@ def _consecutive_scores(counts: DataFrame, columns: int) -> tuple[DataFrame, Dat
 # --- baseline -----------------------------------------------------------------------------------------------------
 
 #: Groups of a baseline have no window; they match by slice.
-_SLICE = F.struct("g.slice", "g.slice_value").alias("s")
+_SLICE = "struct(g.slice, g.slice_value)"
 
 
 def _category_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: DataFrame, sizes: Sizes) -> DataFrame:
@@ -366,14 +366,14 @@ def _crossings(steps: DataFrame, baseline: DataFrame, grids: tuple[float, ...])
 
 def _baseline_scores(counts: DataFrame, baseline: DataFrame, fields: list[T.StructField]) -> tuple[DataFrame, DataFrame]:
     """All groups and columns to report, and their scores."""
-    known = _usable(baseline).withColumn("s", _SLICE)
-    values = _usable(counts).withColumn("s", _SLICE)
+    known = _usable(baseline).withColumn("s", F.expr(_SLICE))
+    values = _usable(counts).withColumn("s", F.expr(_SLICE))
     facts = materialize(group_facts(counts), "facts")
     base_facts = group_facts(baseline)
     every = facts.filter(F.col("c") == ALL_ROWS).select("g")
     every = every.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(len(fields) - 1))))
-    now = facts.select("g", _SLICE, "c", *[F.col(name).alias(f"{name}_p") for name in _FACTS])
-    then = base_facts.select(_SLICE, "c", *[F.col(name).alias(f"{name}_q") for name in _FACTS])
+    now = facts.select("g", F.expr(_SLICE).alias("s"), "c", *[F.col(name).alias(f"{name}_p") for name in _FACTS])
+    then = base_facts.select(F.expr(_SLICE).alias("s"), "c", *[F.col(name).alias(f"{name}_q") for name in _FACTS])
     sides = now.filter(F.col("c") != ALL_ROWS).join(then, ["s", "c"]).filter("size_p > 0 AND size_q > 0")
     full = materialize(
         sides.select(

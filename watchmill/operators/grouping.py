@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from watchmill.functions.windows import all_windows, as_instant, base_granularity, window_end, window_start
 from watchmill.settings import Monitor
 
-_NO_WINDOW = F.lit(None).cast("timestamp_ntz")
+
+def _no_window() -> Column:
+    return F.lit(None).cast("timestamp_ntz")
 
 
 def _slices(names: tuple[str, ...]) -> Column:
@@ -29,7 +31,7 @@ def _slices(names: tuple[str, ...]) -> Column:
 def with_instant(df: DataFrame, monitor: Monitor) -> DataFrame:
     """Add ``__at``, the NTZ instant; rows without one belong to no window and are left out."""
     if not monitor.granularities:
-        return df.withColumn("__at", _NO_WINDOW)
+        return df.withColumn("__at", _no_window())
     at = as_instant(df, monitor.timestamp_column)
     return df.withColumn("__at", at).filter(F.col("__at").isNotNull())
 
@@ -42,7 +44,7 @@ def with_base_keys(df: DataFrame, monitor: Monitor) -> tuple[DataFrame, list[str
     base = base_granularity(monitor.granularities)
     rows = with_instant(df, monitor)
     slices = {f"__s{i}": F.col(f"`{name}`").cast("string") for i, name in enumerate(monitor.slice_columns)}
-    start = window_start("__at", base) if base else _NO_WINDOW
+    start = window_start("__at", base) if base else _no_window()
     rows = rows.withColumns({**slices, "__at": start})
     return rows, ["__at", *slices]
 

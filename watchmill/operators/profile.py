@@ -111,10 +111,11 @@ def merge_profiles(partials: DataFrame, monitor: Monitor) -> DataFrame:
     )
     shift = F.try_divide(F.col("shift"), F.col("values"))
     m2 = F.col("spread") - F.col("values") * shift * shift
+    spread_out = F.sqrt(F.greatest(m2, F.lit(0.0)) / (F.col("values") - 1))
     return merged.withColumns(
         {
             "mean": F.col("centre") + shift,
-            "stddev": F.when(F.col("values") > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / (F.col("values") - 1))),
+            "stddev": F.when(m2.isNotNull() & (F.col("values") > 1), spread_out),
         }
     ).drop("shift", "spread", "centre")
 

@@ -11,16 +11,19 @@ from watchmill.operators.unify import column_rows
 TOP_ROWS = 20
 DRIFT_EVENT = 0.1
 _TABLE = ["source_table_name", "department", "owner"]
-_JS = F.col("js_distance")
 WINDOW_KEYS = ["source_table_name", "window_start", "window_end", "granularity"]
 
 
+def _js() -> Column:
+    return F.col("js_distance")
+
+
 def worst_drifters(drift: DataFrame, limit: int = TOP_ROWS) -> DataFrame:
     """A5, O3: tables with the largest drift."""
-    events = drift.filter(_JS >= DRIFT_EVENT).groupBy(*_TABLE).agg(
+    events = drift.filter(_js() >= DRIFT_EVENT).groupBy(*_TABLE).agg(
         F.count("*").alias("drift_events"),
-        F.max(_JS).alias("max_drift"),
-        F.avg(_JS).alias("avg_drift"),
+        F.max(_js()).alias("max_drift"),
+        F.avg(_js()).alias("avg_drift"),
         F.max("window_end").alias("last_drift_time"),
     )
     return events.orderBy(F.desc("max_drift")).limit(limit)
@@ -55,9 +58,9 @@ def feature_drift(drift: DataFrame, table: str) -> DataFrame:
 
 def window_drift(drift: DataFrame) -> DataFrame:
     """Drift per table and window over all its columns and slices."""
-    return drift.filter(_JS.isNotNull()).groupBy(*WINDOW_KEYS).agg(
-        F.max(_JS).alias("max_js_distance"),
-        F.avg(_JS).alias("avg_js_distance"),
+    return drift.filter(_js().isNotNull()).groupBy(*WINDOW_KEYS).agg(
+        F.max(_js()).alias("max_js_distance"),
+        F.avg(_js()).alias("avg_js_distance"),
         F.count_distinct("column_name").alias("columns_drifted"),
     )
 
@@ -77,7 +80,7 @@ def performance_vs_drift(performance: DataFrame, drift: DataFrame, *, overall_on
 
 
 def _critical(threshold: float) -> Column:
-    return F.count(F.when(_JS >= drift_limits(threshold)[0], 1))
+    return F.count(F.when(_js() >= drift_limits(threshold)[0], 1))
 
 
 def drift_overview(drift: DataFrame, threshold: float) -> DataFrame:
@@ -86,30 +89,30 @@ def drift_overview(drift: DataFrame, threshold: float) -> DataFrame:
     return drift.agg(
         F.count_distinct("source_table_name").alias("total_tables"),
         _critical(threshold).alias("critical_alerts"),
-        F.count(F.when((_JS >= warning) & (_JS < critical), 1)).alias("warning_alerts"),
+        F.count(F.when((_js() >= warning) & (_js() < critical), 1)).alias("warning_alerts"),
     )
 
 
 def drift_trend(drift: DataFrame) -> DataFrame:
     """W2"""
-    return drift.groupBy("window_end").agg(F.avg(_JS).alias("avg_drift"), F.max(_JS).alias("max_drift"))
+    return drift.groupBy("window_end").agg(F.avg(_js()).alias("avg_drift"), F.max(_js()).alias("max_drift"))
 
 
 def top_drifters(drift: DataFrame, threshold: float) -> DataFrame:
     """W3"""
-    return drift.groupBy(*_TABLE).agg(F.max(_JS).alias("max_drift"), _critical(threshold).alias("drift_count"))
+    return drift.groupBy(*_TABLE).agg(F.max(_js()).alias("max_drift"), _critical(threshold).alias("drift_count"))
 
 
 def department_drift(drift: DataFrame) -> DataFrame:
     """W4"""
     return drift.groupBy("department").agg(
-        F.avg(_JS).alias("avg_drift"), F.count_distinct("source_table_name").alias("table_count")
+        F.avg(_js()).alias("avg_drift"), F.count_distinct("source_table_name").alias("table_count")
     )
 
 
 def drift_heatmap(drift: DataFrame) -> DataFrame:
     """W5"""
-    return drift.groupBy("source_table_name", "column_name").agg(F.max(_JS).alias("js_distance"))
+    return drift.groupBy("source_table_name", "column_name").agg(F.max(_js()).alias("js_distance"))
 
 
 def drift_details(drift: DataFrame) -> DataFrame:
@@ -173,20 +176,22 @@ def quality_details(profile: DataFrame) -> DataFrame:
 
 # --- model panels -------------------------------------------------------------------------------------------------
 
-_SCORE = F.coalesce("accuracy_score", "r2_score")
+
+def _score() -> Column:
+    return F.coalesce("accuracy_score", "r2_score")
 
 
 def model_overview(performance: DataFrame) -> DataFrame:
     """W12"""
     return performance.agg(
         F.count_distinct("source_table_name").alias("models_monitored"),
-        F.count_distinct(F.when(_SCORE.isNotNull(), F.col("source_table_name"))).alias("models_with_labels"),
+        F.count_distinct(F.when(_score().isNotNull(), F.col("source_table_name"))).alias("models_with_labels"),
     )
 
 
 def score_trend(performance: DataFrame) -> DataFrame:
     """W13"""
-    return performance.select("window_end", "source_table_name", _SCORE.alias("score")).distinct()
+    return performance.select("window_end", "source_table_name", _score().alias("score")).distinct()
 
 
 def best_scores(performance: DataFrame) -> DataFrame:
@@ -198,7 +203,7 @@ def best_scores(performance: DataFrame) -> DataFrame:
 def score_vs_drift(performance: DataFrame, drift: DataFrame) -> DataFrame:
     """W15"""
     return performance_vs_drift(performance, drift).select(
-        "source_table_name", _SCORE.alias("score"), "max_js_distance"
+        "source_table_name", _score().alias("score"), "max_js_distance"
     )
 
 
@@ -209,15 +214,15 @@ def group_summary(rollup: DataFrame, threshold: float) -> DataFrame:
     """Counts with the global threshold, not the row's."""
     return rollup.groupBy("monitor_group").agg(
         F.count_distinct("source_table_name").alias("tables_monitored"),
-        F.count(F.when(_JS >= threshold, 1)).alias("critical_alerts"),
+        F.count(F.when(_js() >= threshold, 1)).alias("critical_alerts"),
     )
 
 
 def group_worst_drifters(rollup: DataFrame) -> DataFrame:
     """W17"""
-    return rollup.groupBy("source_table_name", "monitor_group").agg(F.max(_JS).alias("max_drift"))
+    return rollup.groupBy("source_table_name", "monitor_group").agg(F.max(_js()).alias("max_drift"))
 
 
 def group_health(rollup: DataFrame) -> DataFrame:
     """W18"""
-    return rollup.groupBy("monitor_group").agg(F.avg(_JS).alias("avg_drift"))
+    return rollup.groupBy("monitor_group").agg(F.avg(_js()).alias("avg_drift"))
