@@ -552,6 +552,26 @@ def custom_change_baseline(spark, sf):
     return rows.select(F.col("window.start").alias("window_start"), "slice_key", "slice_value", "mean_change")
 
 
+@check(
+    "custom_metric_with_sql_function",
+    f"WITH w AS ({sql.windowed(PRICED, 'o_orderdate', ['1 year'], ['o_orderstatus'])}) SELECT ws AS window_start, slice_key, "
+    "slice_value, round(avg(abs(predicted - total) / (abs(predicted) + abs(total))), 6) AS smape FROM w GROUP BY 1, 2, 3",
+)
+def custom_function(spark, sf):
+    """A metric built on a function the user created."""
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION relative_gap(a DOUBLE, b DOUBLE) RETURNS DOUBLE "
+        "RETURN abs(a - b) / (abs(a) + abs(b))"
+    )
+    metric = CustomMetric("smape", "aggregate", (":table",), "AVG(relative_gap({{prediction_col}}, {{label_col}}))")
+    monitor = Monitor(
+        "main.ml.prices", "INFERENCE", "o_orderdate", ("1 year",), ("o_orderstatus",), (), "predicted", "total",
+        problem_type=REGRESSION, custom_metrics=(metric,),
+    )
+    rows = custom_aggregates(priced(spark, sf), monitor)
+    return rows.select(F.col("window.start").alias("window_start"), "slice_key", "slice_value", "smape")
+
+
 @check(
     "metric_table_contract",
     f"SELECT granularity, column_name, count(*) AS n, sum(record_count)::BIGINT AS record_count, "

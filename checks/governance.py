@@ -28,6 +28,7 @@ from watchmill.operators import discovery as D
 from watchmill.operators import policy as P
 from watchmill.operators import provisioning as V
 from watchmill.operators.custom import duplicate_metrics, resolved_metrics
+from watchmill.plans.preview import preview, slice_warnings
 from watchmill.settings import DiscoverySettings, PolicySettings
 from watchmill.sources.sinks import stale_views
 from watchmill.sources.tables import column_names, find_column, fold_tags, tags_of_schemas, with_tags
@@ -437,23 +438,23 @@ def priority_text(spark, sf):
 
 @check(
     "leaf_name_collisions",
-    "SELECT leaf_name, array_to_string(list_sort(list(full_name)), ',') AS names FROM (SELECT DISTINCT "
-    "'main.' || p_brand || '.' || replace(p_name, ' ', '_') AS full_name, replace(p_name, ' ', '_') AS leaf_name FROM part) "
-    "GROUP BY 1 HAVING count(*) > 1",
+    "SELECT leaf_name, full_name FROM (SELECT *, count(*) OVER (PARTITION BY leaf_name) AS uses FROM (SELECT DISTINCT "
+    "'main.' || p_brand || '.' || replace(p_name, ' ', '_') AS full_name, replace(p_name, ' ', '_') AS leaf_name FROM part)) "
+    "WHERE uses > 1",
 )
 def leafs(spark, sf):
     """Parts of the same name under several brands."""
     parts = table(spark, sf, "part").select(
         F.concat(F.lit("main."), "p_brand", F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("full_name")
     )
-    return D.leaf_collisions(parts).select("leaf_name", F.array_join("names", ",").alias("names"))
+    return D.leaf_collisions(parts)
 
 
 @check(
     "group_slug_collisions",
     "WITH n AS (SELECT DISTINCT g FROM (SELECT lower(p_type) AS g FROM part UNION ALL SELECT p_type || '!' FROM part "
-    "UNION ALL SELECT p_brand FROM part)) SELECT trim(regexp_replace(lower(g), '[^a-z0-9]+', '_', 'g'), '_') AS group_slug, "
-    "array_to_string(list_sort(list(g)), ',') AS names FROM n GROUP BY 1 HAVING count(*) > 1",
+    "UNION ALL SELECT p_brand FROM part)), x AS (SELECT g, trim(regexp_replace(lower(g), '[^a-z0-9]+', '_', 'g'), '_') AS slug "
+    "FROM n) SELECT slug AS group_slug, g AS group_name FROM (SELECT *, count(*) OVER (PARTITION BY slug) AS uses FROM x) WHERE uses > 1",
 )
 def group_collisions(spark, sf):
     """Names that differ only in case and signs."""
@@ -461,7 +462,7 @@ def group_collisions(spark, sf):
     groups = parts.select(F.lower("p_type").alias("group_name")).union(
         parts.select(F.concat("p_type", F.lit("!")))
     ).union(parts.select("p_brand"))
-    return D.slug_collisions(groups).select("group_slug", F.array_join("names", ",").alias("names"))
+    return D.slug_collisions(groups)
 
 
 _POLICY = PolicySettings(
@@ -704,6 +705,33 @@ def quota(spark, sf):
     return V.within_quota(settings(spark, sf), 40, ["full_name"]).select("full_name", "quota")
 
 
+@check(
+    "dry_run_actions",
+    f"{_CTE}, {_SETTINGS}, {_COLUMNS}, a AS ({_ACTIONS}), q AS (SELECT s.full_name, s.c_nationkey, a.action, c.names, "
+    "row_number() OVER (ORDER BY s.full_name) AS nth FROM s JOIN a USING (full_name) JOIN c USING (full_name)) "
+    "SELECT full_name, CASE WHEN nth > 90 THEN 'skip_quota' WHEN c_nationkey = 6 OR (c_nationkey < 8 AND NOT "
+    "list_contains(names, 'label')) THEN 'skip_column_missing' ELSE action END AS action, CASE WHEN nth > 90 THEN "
+    "'Monitor quota reached' WHEN c_nationkey = 6 THEN 'Column ''score'' (from prediction_column) not found' "
+    "WHEN c_nationkey < 8 AND NOT list_contains(names, 'label') THEN 'Column ''LABEL'' (from label_column) not found' "
+    "WHEN action = 'update' THEN 'config drift detected' WHEN action = 'no_change' THEN 'monitor config already in sync' "
+    "ELSE '' END AS reason FROM q",
+)
+def dry_run(spark, sf):
+    """Ten monitors exist, ninety more fit."""
+    return preview(
+        settings(spark, sf), inventory(spark, sf), _desired(spark, sf), _existing(spark, sf), _FIELDS, "INFERENCE", 10, ["full_name"]
+    )
+
+
+@check(
+    "slice_columns_missing",
+    f"{_CTE}, {_SETTINGS} SELECT full_name, 'Slicing column ''region'' not found in table schema' AS warning FROM s WHERE c_nationkey > 12",
+)
+def slices_missing(spark, sf):
+    """Configured slices that no column stands for."""
+    return slice_warnings(settings(spark, sf), inventory(spark, sf))
+
+
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     """What a run did, by nation."""
     nation = F.col("c_nationkey")

@@ -99,12 +99,12 @@ def stream_labels(spark, sf):
     return rows.filter("label IS NOT NULL")
 
 
-@check("late_labels_batch", f"SELECT doc_id, lang, quality FROM ({RATED})")
+@check("late_labels_batch", f"SELECT doc_id, lang, coalesce(quality, -1) AS quality FROM ({RATED})")
 def late_labels(spark, sf):
     """The log keeps rows that have no label yet."""
     log = table(spark, sf, "documents").select("doc_id", "lang")
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    return attach_labels(log, labels, "doc_id").withColumn("quality", F.col("quality"))
+    return attach_labels(log, labels, "doc_id").withColumn("quality", F.coalesce("quality", F.lit(-1)))
 
 
 @check(

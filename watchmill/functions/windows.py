@@ -58,6 +58,15 @@ def base_granularity(granularities: tuple[str, ...]) -> str | None:
     return min(finest, "1 day", key=_BY_WIDTH.index)
 
 
+def widest_ratio(granularities: tuple[str, ...]) -> int:
+    """How many base windows the widest granularity holds at most."""
+    base = base_granularity(granularities)
+    if base is None:
+        return 1
+    seconds = {**FIXED_WIDTHS, "1 month": 31 * 86400, "1 year": 366 * 86400}
+    return max(seconds[name] for name in granularities) // seconds[base]
+
+
 def as_instant(df: DataFrame, column: str) -> Column:
     """The time column as NTZ, whatever it was."""
     return F.col(f"`{column}`").cast("timestamp_ntz")

@@ -115,20 +115,19 @@ def execution_plan(tables: DataFrame, output_schema: str, group_tag: str = "moni
 
 
 def leaf_collisions(tables: DataFrame) -> DataFrame:
-    """Leaf names used by more than one table, with the tables."""
+    """Tables whose leaf name another table has too; rows (leaf_name, full_name)."""
     names = tables.select("full_name", leaf_name(F.col("full_name")).alias("leaf_name"))
-    return _collisions(names, "leaf_name", "full_name")
+    return _collisions(names, "leaf_name")
 
 
 def slug_collisions(groups: DataFrame) -> DataFrame:
-    """Group slugs that more than one group name leads to, with the names."""
+    """Group names whose slug another name leads to as well; rows (group_slug, group_name)."""
     names = groups.select("group_name", group_slug(F.col("group_name")).alias("group_slug"))
-    return _collisions(names, "group_slug", "group_name")
+    return _collisions(names, "group_slug")
 
 
-def _collisions(rows: DataFrame, key: str, name: str) -> DataFrame:
-    # Count first: only the names of keys that do collide are ever put in a list.
+def _collisions(rows: DataFrame, key: str) -> DataFrame:
+    # One row per name: a key that everything shares never becomes one long list in one task.
     unique = rows.distinct()
     shared = unique.groupBy(key).agg(F.count("*").alias("uses")).filter("uses > 1")
-    listed = unique.join(shared.select(key), key, "left_semi").groupBy(key)
-    return listed.agg(F.array_sort(F.collect_set(name)).alias("names"))
+    return unique.join(shared.select(key), key, "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from watchmill.functions.ordering import Sizes, running_totals
 from watchmill.operators.grouping import fan_out, group_columns, with_base_keys
+from watchmill.operators.moments import merge_moments, needs_two_rounds
 from watchmill.schemas import PERFORMANCE_FIELDS
 from watchmill.settings import REGRESSION, Monitor
 from watchmill.sources.scratch import materialize
@@ -58,30 +59,24 @@ def _regression(rows: DataFrame, monitor: Monitor) -> DataFrame:
     label = F.col(f"`{monitor.label_column}`").cast("double")
     error = F.col(f"`{monitor.prediction_column}`").cast("double") - label
     partial = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
+        F.count("*").alias("values"),
+        F.avg(label).alias("mean"),
+        (F.var_pop(label) * F.count("*")).alias("m2"),
         F.sum(error * error).alias("squares"),
         F.sum(F.abs(error)).alias("absolutes"),
         F.sum(F.try_divide(F.abs(error), F.abs(label))).alias("relatives"),
         F.count(F.when(label != 0, 1)).alias("nonzero"),
-        F.avg(label).alias("mean"),
-        (F.var_pop(label) * F.count("*")).alias("m2"),
-    )
-    centred = fan_out(partial, monitor).withColumn("centre", F.avg("mean").over(Window.partitionBy("g")))
-    off = F.col("mean") - F.col("centre")
-    merged = centred.groupBy("g").agg(
-        *[F.sum(name).alias(name) for name in ("n", "squares", "absolutes", "relatives", "nonzero")],
-        F.sum(F.col("n") * off).alias("shift"),
-        F.sum(F.col("m2") + F.col("n") * off * off).alias("spread"),
     )
-    n, total_squares = F.col("n"), F.col("spread") - F.col("shift") * F.col("shift") / F.col("n")
-    mean_square = F.col("squares") / n
+    sums = {name: F.sum for name in ("squares", "absolutes", "relatives", "nonzero")}
+    merged = merge_moments(fan_out(partial, monitor), ["g"], sums, two_rounds=needs_two_rounds(monitor))
+    n, mean_square = F.col("values"), F.col("squares") / F.col("values")
     return merged.select(
         "g",
         mean_square.alias("mean_squared_error"),
         F.sqrt(mean_square).alias("root_mean_squared_error"),
         (F.col("absolutes") / n).alias("mean_average_error"),
         F.try_divide(F.col("relatives"), F.col("nonzero")).alias("mean_absolute_percentage_error"),
-        F.when(total_squares > 0, 1 - F.col("squares") / total_squares).alias("r2_score"),
+        F.when(F.col("m2") > 0, 1 - F.col("squares") / F.col("m2")).alias("r2_score"),
     )
 
 

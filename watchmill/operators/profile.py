@@ -7,7 +7,7 @@ Stage two works on those few rows: it fans them out into granularities and slice
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from watchmill.operators.grouping import (
     profiled_columns,
     with_base_keys,
 )
+from watchmill.operators.moments import Merges, merge_moments, needs_two_rounds
 from watchmill.schemas import PERFORMANCE_FIELDS, PROFILE_METRICS, TABLE_ROW
 from watchmill.settings import Monitor
 
@@ -85,39 +86,16 @@ def partial_profiles(
 
 
 def merge_profiles(partials: DataFrame, monitor: Monitor) -> DataFrame:
-    """Merge partial profiles into rows per group ``g`` and column.
-
-    Squared deviations are merged around a centre taken from the group itself, which keeps the sum accurate when the
-    mean is large. The window and the aggregation share one shuffle; both see partials only.
-    """
-    spread = fan_out(partials, monitor)
-    group = Window.partitionBy("g", "column_name")
-    centred = spread.withColumn("centre", F.avg("mean").over(group))
-    off = F.col("mean") - F.col("centre")
-    sketches = []
+    """Merge partial profiles into rows per group ``g`` and column: rows, values, mean, stddev, low, high, sketches."""
+    merges: Merges = {"rows": F.sum, "low": F.min, "high": F.max}
     if "hll" in partials.columns:
-        sketches.append(F.hll_union_agg("hll").alias("hll"))
+        merges["hll"] = F.hll_union_agg
     if "kll" in partials.columns:
-        sketches.append(F.kll_merge_agg_double("kll", F.lit(RANK_SKETCH_SIZE)).alias("kll"))
-    merged = centred.groupBy("g", "column_name").agg(
-        F.sum("rows").alias("rows"),
-        F.sum("values").alias("values"),
-        F.sum(F.col("values") * off).alias("shift"),
-        F.sum(F.col("m2") + F.col("values") * off * off).alias("spread"),
-        F.max("centre").alias("centre"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        *sketches,
-    )
-    shift = F.try_divide(F.col("shift"), F.col("values"))
-    m2 = F.col("spread") - F.col("values") * shift * shift
-    spread_out = F.sqrt(F.greatest(m2, F.lit(0.0)) / (F.col("values") - 1))
-    return merged.withColumns(
-        {
-            "mean": F.col("centre") + shift,
-            "stddev": F.when(m2.isNotNull() & (F.col("values") > 1), spread_out),
-        }
-    ).drop("shift", "spread", "centre")
+        merges["kll"] = lambda name: F.kll_merge_agg_double(name, F.lit(RANK_SKETCH_SIZE))
+    spread = fan_out(partials, monitor)
+    merged = merge_moments(spread, ["g", "column_name"], merges, two_rounds=needs_two_rounds(monitor))
+    deviation = F.sqrt(F.col("m2") / (F.col("values") - 1))
+    return merged.withColumn("stddev", F.when(F.col("values") > 1, deviation)).drop("m2")
 
 
 def profile_columns(monitor: Monitor, distinct: Column, log_type: str) -> list[Column]:

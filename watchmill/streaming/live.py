@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchmill.functions.windows import as_instant, window_start
+from watchmill.functions.windows import as_instant, window_end, window_start
 from watchmill.operators.grouping import as_number, is_number, profiled_columns
 from watchmill.operators.profile import profile
 from watchmill.schemas import TABLE_ROW
@@ -97,8 +97,8 @@ def new_rows(df: DataFrame, at: str, high_water: Column | None = None, days: int
     """ST2: the last days of the data on a first run, after that everything past the stored mark."""
     if high_water is not None:
         return df.filter(F.col(at) > high_water)
-    latest = df.agg(F.max(at).alias("latest")).first().latest
-    return df.filter(F.col(at) >= F.lit(latest) - F.expr(f"INTERVAL {days} DAYS"))
+    latest = df.agg(F.max(at).cast("string").alias("latest")).first().latest
+    return df.filter(F.col(at) >= F.lit(latest).cast(df.schema[at].dataType) - F.expr(f"INTERVAL {days} DAYS"))
 
 
 def touched_windows(changes: DataFrame, monitor: Monitor, granularity: str) -> DataFrame:
@@ -108,7 +108,13 @@ def touched_windows(changes: DataFrame, monitor: Monitor, granularity: str) -> D
 
 
 def rows_of_windows(df: DataFrame, windows: DataFrame, monitor: Monitor, granularity: str) -> DataFrame:
-    """ST4: source rows that fall in any of the windows."""
+    """ST4: source rows that fall in any of the windows. The first and last of them bound the scan."""
+    bounds = [fold("window_start").cast("string").alias(name) for fold, name in ((F.min, "begin"), (F.max, "last"))]
+    span = windows.agg(*bounds).first()
+    if span.begin is not None:
+        at = as_instant(df, monitor.timestamp_column)
+        begin, last = (F.lit(text).cast("timestamp_ntz") for text in (span.begin, span.last))
+        df = df.filter((at >= begin) & (at < window_end(last, F.lit(granularity))))
     keyed = df.withColumn("__at", as_instant(df, monitor.timestamp_column))
     keyed = keyed.withColumn("window_start", window_start("__at", granularity))
     return keyed.join(windows, "window_start", "left_semi").drop("window_start", "__at")
