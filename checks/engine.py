@@ -381,7 +381,7 @@ def drift_sketch(spark, sf):
     )
     both = exact.join(near, ["window_start", "column_name"]).join(widths, "column_name")
     return both.groupBy("column_name").agg(
-        F.bool_and(F.abs(F.col("js") - F.col("js_distance")) < 0.05).alias("js_close"),
+        F.bool_and(F.abs(F.col("js") - F.col("js_distance")) < 0.02).alias("js_close"),
         F.bool_and(F.abs(F.col("ks") - F.col("ks_statistic")) < 0.02).alias("ks_close"),
         F.bool_and(F.abs(F.col("wd") - F.col("wasserstein_distance")) < 0.02 * F.col("width")).alias("wd_close"),
     )

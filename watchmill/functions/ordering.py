@@ -32,37 +32,61 @@ def grid_cell(value: Column, per_octave: float) -> Column:
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], value: str, sums: list[str], grids: tuple[float, ...] = GRIDS
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    sums: list[str],
+    grids: tuple[float, ...] = GRIDS,
+    *,
+    here: tuple[str, ...] = (),
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add ``<sum>_upto`` (total over all rows of the group with a value <= this one) and ``next_value`` (the
-    following value in the group, NULL at the end; meant for rows that are unique by value).
+    """Add running facts of each group, ordered by ``value``:
+
+    ``<sum>_upto``, the total over all rows with a value <= this one; ``<name>_here`` for the names in ``here``, the
+    total over the rows with exactly this value; ``next_value``, the following value, and ``next_<name>`` for the names
+    in ``carry``, all NULL at the end (meant for rows that are unique by value).
     """
+    followed = F.struct(F.col(value).alias("value"), *carry)
     if not grids:
         order = Window.partitionBy(*keys).orderBy(value)
         upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(
+        equal = order.rangeBetween(Window.currentRow, Window.currentRow)
+        found = df.select(
             "*",
             *[F.sum(name).over(upto).alias(f"{name}_upto") for name in sums],
-            F.lead(value).over(order).alias("next_value"),
+            *[F.sum(name).over(equal).alias(f"{name}_here") for name in here],
+            F.lead(followed).over(order).alias("__next"),
         )
+        return _unpack_next(found, carry)
 
     cell = f"__cell{len(grids)}"
     rows = df.withColumn(cell, grid_cell(F.col(value), grids[0]))
-    inside = running_totals(rows, [*keys, cell], value, sums, ())
+    inside = running_totals(rows, [*keys, cell], value, sums, (), here=here, carry=carry)
     cells = rows.groupBy(*keys, cell).agg(
-        F.min(value).alias("__first"), *[F.sum(name).alias(name) for name in sums]
+        F.min(followed).alias("__first"), *[F.sum(name).alias(name) for name in sums]
     )
-    totals = running_totals(cells, keys, "__first", sums, grids[1:])
+    cells = cells.withColumn("__at", F.col("__first.value"))
+    totals = running_totals(cells, keys, "__at", sums, grids[1:], carry=("__first",))
     before = totals.select(
         *keys,
         cell,
-        F.col("next_value").alias("__next_cell"),
+        F.col("next___first").alias("__next"),
         *[(F.col(f"{name}_upto") - F.col(name)).alias(f"__{name}_before") for name in sums],
     )
     joined = inside.join(before, [*keys, cell])
     added = {f"{name}_upto": F.col(f"{name}_upto") + F.col(f"__{name}_before") for name in sums}
-    added["next_value"] = F.coalesce("next_value", "__next_cell")
-    return joined.withColumns(added).drop(cell, "__next_cell", *[f"__{name}_before" for name in sums])
+    # The last value of a cell is followed by the first one of the next cell.
+    last = F.col("next_value").isNull()
+    added["next_value"] = F.when(last, F.col("__next.value")).otherwise(F.col("next_value"))
+    for name in carry:
+        added[f"next_{name}"] = F.when(last, F.col(f"__next.{name}")).otherwise(F.col(f"next_{name}"))
+    return joined.withColumns(added).drop(cell, "__next", *[f"__{name}_before" for name in sums])
+
+
+def _unpack_next(df: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    fields = {"next_value": F.col("__next.value"), **{f"next_{name}": F.col(f"__next.{name}") for name in carry}}
+    return df.withColumns(fields).drop("__next")
 
 
 @dataclass(frozen=True)

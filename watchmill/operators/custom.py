@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchmill.functions.templates import quoted, render
-from watchmill.operators.grouping import fan_out, group_columns, with_base_keys
+from watchmill.operators.grouping import fan_out, group_columns, named, with_base_keys
 from watchmill.schemas import TABLE_ROW
 from watchmill.settings import CustomMetric, Monitor, RunSettings
 
@@ -33,10 +33,10 @@ def custom_aggregates(df: DataFrame, monitor: Monitor) -> DataFrame:
     common = {name: quoted(column) for name, column in values.items() if column}
     computed: dict[tuple[str, str], Column] = {}
     for metric in metrics:
-        named = {name: quoted(name) for name in metric.input_columns if name != TABLE_ROW}
+        inputs = {name: quoted(name) for name in metric.input_columns if name != TABLE_ROW}
         for column in metric.input_columns:
             own = {} if column == TABLE_ROW else {"input_column": quoted(column)}
-            text = render(metric.definition, {**common, **named, **own})
+            text = render(metric.definition, {**common, **inputs, **own})
             computed[column, metric.name] = _value(F.expr(text), metric)
     rows, _ = with_base_keys(df, monitor)
     groups = fan_out(rows, monitor).groupBy("g")
@@ -44,11 +44,11 @@ def custom_aggregates(df: DataFrame, monitor: Monitor) -> DataFrame:
     position = {key: i for i, key in enumerate(computed)}
     entries = []
     for column in dict.fromkeys(column for column, _ in computed):
-        cells = [
-            (F.col(f"m{position[column, m.name]}") if (column, m.name) in position else _value(F.lit(None), m)).alias(m.name)
+        cells = {
+            m.name: F.col(f"m{position[column, m.name]}") if (column, m.name) in position else _value(F.lit(None), m)
             for m in metrics
-        ]
-        entries.append(F.struct(F.lit(column).alias("column_name"), *cells))
+        }
+        entries.append(named(column_name=F.lit(column), **cells))
     return wide.select(*group_columns(monitor), F.inline(F.array(*entries)))
 
 

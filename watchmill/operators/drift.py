@@ -105,7 +105,7 @@ def previous_windows(facts: DataFrame) -> DataFrame:
 
 
 def _sides(facts: DataFrame, columns: int) -> DataFrame:
-    """One row per (pair, column): both sizes and the common range. ``g`` is the later window."""
+    """One row per (pair, column): sizes of both windows and the common range. ``g`` is the later window."""
     pairs = previous_windows(facts).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
 
     def fact(side: str) -> Column:
@@ -118,69 +118,85 @@ def _sides(facts: DataFrame, columns: int) -> DataFrame:
         "c",
         F.col("p.size").alias("size_p"),
         F.col("q.size").alias("size_q"),
+        (F.col("p.values") + F.col("q.values")).alias("values"),
         F.least("p.low", "q.low").alias("low"),
         F.greatest("p.high", "q.high").alias("high"),
     )
 
 
+_SIDES = ["size_p", "size_q", "low", "high"]
+
+
 def _pair_counts(counts: DataFrame, sides: DataFrame, sizes: Sizes) -> DataFrame:
     """Rows (g, c, number, key, p, q, facts): each value with its count in the window and in the one before."""
-    full = sides.filter("size_p > 0 AND size_q > 0")
-    facts = ["size_p", "size_q", "low", "high"]
     roles = F.array(
         F.struct(F.col("g"), F.lit(True).alias("is_p")), F.struct(F.col("before").alias("g"), F.lit(False).alias("is_p"))
     )
-    roled = full.select(F.col("g").alias("pair"), "c", *facts, F.inline(roles))
+    full = sides.filter("size_p > 0 AND size_q > 0")
+    roled = full.select(F.col("g").alias("pair"), "c", *_SIDES, F.inline(roles))
     rows = join_facts(_usable(counts), roled, ["g", "c"], ["number", "key"], sizes)
-    count = F.col("n").cast("bigint")
-    return rows.groupBy(F.col("pair").alias("g"), "c", "number", "key").agg(
-        F.sum(F.when(F.col("is_p"), count).otherwise(0)).alias("p"),
-        F.sum(F.when(F.col("is_p"), 0).otherwise(count)).alias("q"),
-        *[F.max(name).alias(name) for name in facts],
+    rows = rows.drop("g").withColumnRenamed("pair", "g")
+    if not sizes.grids:
+        # Groups of a bounded size: one shuffle by group serves every step that follows.
+        rows = rows.repartition("g", "c")
+    return rows.groupBy("g", "c", "number", "key").agg(
+        F.sum(F.when(F.col("is_p"), F.col("n")).otherwise(0)).alias("p"),
+        F.sum(F.when(F.col("is_p"), 0).otherwise(F.col("n"))).alias("q"),
+        *[F.max(name).alias(name) for name in _SIDES],
     )
 
 
-def _share_scores(cells: DataFrame) -> DataFrame:
-    """M1, M4, M5 from rows (g, c, cell, is_number, p, q, size_p, size_q), one per value or bin."""
+_PART = ["p", "q", "size_p", "size_q"]
+
+
+def _cell_parts() -> list[Column]:
+    """Counts of a bin or value, both sizes."""
+    return [(F.sum(name) if name in ("p", "q") else F.max(name)).alias(name) for name in _PART]
+
+
+def _share_scores() -> list[Column]:
+    """M1, M4, M5 from one row per value or bin with p, q, size_p, size_q, is_number."""
     p, q = F.col("p") / F.col("size_p"), F.col("q") / F.col("size_q")
     pooled = (F.col("p") + F.col("q")) / (F.col("size_p") + F.col("size_q"))
-    chi = F.col("size_p") * F.pow(p - pooled, F.lit(2.0)) / pooled + F.col("size_q") * F.pow(q - pooled, F.lit(2.0)) / pooled
-    return cells.groupBy("g", "c").agg(
+    chi = F.col("size_p") * _square(p - pooled) / pooled + F.col("size_q") * _square(q - pooled) / pooled
+    return [
         distance(F.sum(js_term(p, q))).alias("js"),
         F.sum(psi_term(p, q)).alias("psi"),
         F.sum(F.when(~F.col("is_number"), chi)).alias("chi"),
-    )
+    ]
 
 
-def _gap_scores(points: DataFrame, grids: tuple[float, ...]) -> DataFrame:
-    """M2, M3 from rows (g, c, number, gap), one per value; gap is the difference of the two shares."""
-    steps = running_totals(points, ["g", "c"], "number", ["gap"], grids)
-    width = F.col("next_value") - F.col("number")
-    return steps.groupBy("g", "c").agg(
-        F.max(F.abs("gap_upto")).alias("ks"),
-        F.coalesce(F.sum(F.abs("gap_upto") * width), F.lit(0.0)).alias("wd"),
-    )
+def _square(value: Column) -> Column:
+    return value * value
+
+
+def _with_gaps(rows: DataFrame, grids: tuple[float, ...]) -> DataFrame:
+    """Add the difference of the two running shares at each number, and the following number."""
+    gap = F.col("p") / F.col("size_p") - F.col("q") / F.col("size_q")
+    rows = rows.withColumn("gap", gap)
+    if not grids:
+        return running_totals(rows, ["g", "c"], "number", ["gap"], ())
+    numbers = running_totals(rows.filter("number IS NOT NULL"), ["g", "c"], "number", ["gap"], grids)
+    none = F.lit(None).cast("double")
+    return numbers.unionByName(rows.filter("number IS NULL").withColumns({"gap_upto": none, "next_value": none}))
 
 
 def _consecutive_scores(counts: DataFrame, columns: int) -> tuple[DataFrame, DataFrame]:
     """The pairs and columns to report, and their scores."""
-    facts = group_facts(counts)
-    sizes = Sizes.of(facts)
-    sides = _sides(facts, columns)
+    sides = materialize(_sides(group_facts(counts), columns), "sides")
+    sizes = Sizes.of(sides)
     rows = _pair_counts(counts, sides, sizes)
     if sizes.grids:
         rows = materialize(rows, "pair-counts")
-    is_number = F.col("number").isNotNull()
-    cell = F.when(is_number, bin_of(F.col("number"), F.col("low"), F.col("high")).cast("string")).otherwise(F.col("key"))
-    cells = rows.groupBy("g", "c", cell.alias("cell"), is_number.alias("is_number")).agg(
-        F.sum("p").alias("p"),
-        F.sum("q").alias("q"),
-        F.max("size_p").alias("size_p"),
-        F.max("size_q").alias("size_q"),
+    is_number, number = F.col("number").isNotNull(), F.col("number")
+    cell = F.when(is_number, bin_of(number, F.col("low"), F.col("high")).cast("string")).otherwise(F.col("key"))
+    apart = F.when(is_number, F.abs("gap_upto"))
+    cells = _with_gaps(rows, sizes.grids).groupBy("g", "c", cell.alias("cell"), is_number.alias("is_number")).agg(
+        *_cell_parts(),
+        F.max(apart).alias("ks"),
+        F.sum(apart * F.coalesce(F.col("next_value") - number, F.lit(0.0))).alias("wd"),
     )
-    gap = F.col("p") / F.col("size_p") - F.col("q") / F.col("size_q")
-    points = rows.filter(is_number).groupBy("g", "c", "number").agg(F.sum(gap).alias("gap"))
-    scores = _share_scores(cells).join(_gap_scores(points, sizes.grids), ["g", "c"], "left")
+    scores = cells.groupBy("g", "c").agg(*_share_scores(), F.max("ks").alias("ks"), F.sum("wd").alias("wd"))
     return sides.select("g", "c"), scores
 
 
@@ -208,7 +224,7 @@ def _category_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: Dat
     rows = rows.withColumn("q", F.coalesce("q", F.lit(0)))
     p, q = F.col("p") / size_p, F.col("q") / size_q
     pooled = (F.col("p") + F.col("q")) / (size_p + size_q)
-    chi = size_p * F.pow(p - pooled, F.lit(2.0)) / pooled + size_q * F.pow(q - pooled, F.lit(2.0)) / pooled
+    chi = size_p * _square(p - pooled) / pooled + size_q * _square(q - pooled) / pooled
     matched = rows.groupBy("g", "c").agg(
         F.max("s").alias("s"),
         F.sum(js_term(p, q)).alias("js"),
@@ -231,108 +247,125 @@ def _category_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: Dat
     )
 
 
+def _axis(counts: DataFrame, baseline: DataFrame, pair: DataFrame) -> DataFrame:
+    """Values of all windows, their inner bin edges and the baseline values, on one axis per slice and column."""
+    zero = F.lit(0).cast("bigint")
+    no_group, no_edge = F.lit(None).cast(counts.schema["g"].dataType).alias("g"), F.lit(None).cast("int").alias("edge")
+    windows = counts.select("g", "s", "c", "number", F.col("n").alias("p"), zero.alias("q"), no_edge)
+    known = baseline.select(no_group, "s", "c", "number", zero.alias("p"), F.col("n").alias("q"), no_edge)
+    inner = F.array(
+        *[
+            F.struct(F.lit(k).alias("edge"), bin_edge(F.col("low"), F.col("high"), k).alias("number"))
+            for k in range(1, BINS)
+        ]
+    )
+    edges = pair.filter("low < high").select("g", "s", "c", F.inline(inner), zero.alias("p"), zero.alias("q"))
+    return windows.unionByName(known).unionByName(edges)
+
+
 def _number_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: DataFrame, sizes: Sizes) -> DataFrame:
     """M1, M2, M3, M5 against a numeric baseline, without copying the baseline to every window.
 
-    Values of all windows, the inner bin edges of all windows and the baseline values are laid on one axis per slice
-    and column. Running totals of the baseline give, at each value, its share G and the integral of G up to there;
-    running totals inside the window give the window's share F.
+    Running totals of the baseline along the common axis give, at each value, its share G and the integral of G up to
+    there; running totals inside the window give the window's share F.
     """
     pair = sides.select("g", "s", "c", "size_p", "size_q", "low", "high")
-    grids = sizes.grids
-    own = counts.select("g", "s", "c", "number", F.col("n").alias("p"))
-    own = materialize(running_totals(own, ["g", "c"], "number", ["p"], grids), "window-steps")
-    no_group = F.lit(None).cast(own.schema["g"].dataType)
-    nothing, none = F.lit(0).cast("bigint"), F.lit(None).cast("double")
-    windows = own.select(
-        "g", "s", "c", "number", "p", "p_upto", "next_value", F.lit(None).cast("int").alias("edge"), nothing.alias("q")
-    )
-    known = baseline.select(
-        no_group.alias("g"), "s", "c", "number", nothing.alias("p"), nothing.alias("p_upto"), none.alias("next_value"),
-        F.lit(None).cast("int").alias("edge"), F.col("n").alias("q"),
-    )
-    edges = pair.filter("low < high").select(
-        "g", "s", "c",
-        F.inline(
-            F.array(*[F.struct(F.lit(k).alias("edge"), bin_edge(F.col("low"), F.col("high"), k).alias("number"))
-                      for k in range(1, BINS)])
-        ),
-    )
-    edges = edges.select(
-        "g", "s", "c", "number", nothing.alias("p"), nothing.alias("p_upto"), none.alias("next_value"), "edge",
-        nothing.alias("q"),
-    )
-    # Baseline mass and first moment at each value, next to every window value or edge that equals it.
-    axis = windows.unionByName(known).unionByName(edges)
-    axis = axis.withColumn("m", F.col("q") * F.col("number"))
-    here = axis.groupBy("s", "c", "number").agg(F.sum("q").alias("q"), F.sum("m").alias("m"))
-    line = running_totals(here, ["s", "c"], "number", ["q", "m"], grids)
-    line = line.select("s", "c", "number", F.col("q").alias("q_here"), "q_upto", "m_upto")
-    marks = windows.unionByName(edges).drop("q").join(line, ["s", "c", "number"])
-    marks = materialize(join_facts(marks, pair.drop("s"), ["g", "c"], ["number"], sizes), "marks")
-
-    # Bins: the baseline's count below each inner edge closes one bin and opens the next.
-    below = F.col("q_upto") - F.col("q_here")
-    moved = marks.filter("edge IS NOT NULL").select(
-        "g", "c", "size_p", "size_q",
-        F.inline(F.array(
-            F.struct((F.col("edge") - 1).alias("cell"), below.alias("q")),
-            F.struct(F.col("edge").alias("cell"), (-below).alias("q")),
-        )),
-        nothing.alias("p"),
-    )
-    last = pair.select(
-        "g", "c", "size_p", "size_q",
-        F.when(F.col("low") < F.col("high"), BINS - 1).otherwise(0).alias("cell"), F.col("size_q").alias("q"),
-        nothing.alias("p"),
-    )
-    values = marks.filter("edge IS NULL")
-    binned = values.select(
-        "g", "c", "size_p", "size_q", bin_of(F.col("number"), F.col("low"), F.col("high")).alias("cell"),
-        nothing.alias("q"), "p",
-    )
-    cells = binned.unionByName(moved).unionByName(last).groupBy("g", "c", "cell").agg(
-        F.sum("p").alias("p"), F.sum("q").alias("q"), F.max("size_p").alias("size_p"), F.max("size_q").alias("size_q")
-    )
-    shares = _share_scores(cells.filter("p > 0 OR q > 0").withColumn("is_number", F.lit(True))).drop("chi")
-
-    # Both steps meet at the window's values: F is flat between two of them, G can only rise.
-    f, g = F.col("p_upto") / F.col("size_p"), F.col("q_upto") / F.col("size_q")
-    f_before = (F.col("p_upto") - F.col("p")) / F.col("size_p")
-    g_before = (F.col("q_upto") - F.col("q_here")) / F.col("size_q")
-    area = (F.col("number") * F.col("q_upto") - F.col("m_upto")) / F.col("size_q")
-    steps = values.select(
-        "g", "s", "c", "number", "next_value", "size_q", f.alias("f"), g.alias("share"), area.alias("area"),
-        F.greatest(F.abs(f - g), F.abs(f_before - g_before)).alias("apart"), g_before.alias("share_before"),
-    )
-    # The interval after a value needs the baseline at the next value: one lookup on the same axis.
-    ends = steps.select("g", "c", F.col("number").alias("next_value"), F.col("share_before").alias("share_end"),
-                        F.col("area").alias("area_end"))
-    steps = steps.join(ends, ["g", "c", "next_value"], "left")
+    axis = _axis(counts, baseline, pair).withColumn("m", F.col("q") * F.col("number"))
+    line = running_totals(axis, ["s", "c"], "number", ["q", "m"], sizes.grids, here=("q",)).filter("g IS NOT NULL")
+    line = line.select("g", "s", "c", "number", "p", "edge", "q_upto", "q_here", "m_upto")
+    marks = materialize(join_facts(line, pair.drop("s"), ["g", "c"], ["number"], sizes), "marks")
+
+    steps = _steps(marks.filter("edge IS NULL"), sizes)
     crossing = (F.col("share") < F.col("f")) & (F.col("f") < F.col("share_end"))
-    crossed = _crossings(steps.filter(crossing), baseline, grids)
+    crossed = _crossings(steps.filter(crossing), baseline, sizes.grids)
     steps = steps.join(crossed, ["g", "c", "number"], "left")
     width, rise = F.col("next_value") - F.col("number"), F.col("area_end") - F.col("area")
-    flat = F.abs(F.col("f") * width - rise)
+    before, after = F.col("cross_at") - F.col("number"), F.col("next_value") - F.col("cross_at")
     split = (
-        F.col("f") * (F.col("cross_at") - F.col("number")) - (F.col("cross_area") - F.col("area"))
-        + (F.col("area_end") - F.col("cross_area")) - F.col("f") * (F.col("next_value") - F.col("cross_at"))
+        F.col("f") * before
+        - (F.col("cross_area") - F.col("area"))
+        + (F.col("area_end") - F.col("cross_area"))
+        - F.col("f") * after
     )
-    inner = F.when(F.col("next_value").isNull(), 0.0).when(F.col("cross_at").isNotNull(), split).otherwise(flat)
-    found = steps.groupBy("g", "c").agg(
+    inside = F.when(F.col("next_value").isNull(), 0.0).when(F.col("cross_at").isNotNull(), split).otherwise(
+        F.abs(F.col("f") * width - rise)
+    )
+    binned = steps.groupBy("g", "c", bin_of(F.col("number"), F.col("low"), F.col("high")).alias("cell")).agg(
+        F.sum("p").alias("p"),
         F.max("apart").alias("ks"),
-        F.sum(inner).alias("inside"),
-        F.min_by("area", "number").alias("left_tail"),
-        F.max_by(F.struct("number", "area", "share"), "number").alias("end"),
-        F.max("s").alias("s"),
-        F.max("size_q").alias("size_q"),
+        F.sum(inside).alias("inside"),
+        F.min(F.struct("number", "area")).alias("first"),
+        F.max(F.struct("number", "area")).alias("last"),
+    )
+    parts = binned.unionByName(_baseline_bins(marks, pair), allowMissingColumns=True)
+    cells = parts.groupBy("g", "c", "cell").agg(
+        F.sum(F.coalesce("p", F.lit(0))).alias("p"),
+        F.sum(F.coalesce("q", F.lit(0))).alias("q"),
+        F.max("ks").alias("ks"),
+        F.sum("inside").alias("inside"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+    )
+    moments = baseline.groupBy("s", "c").agg(F.sum(F.col("number") * F.col("n")).alias("moment"))
+    facts = pair.join(moments, ["s", "c"]).select("g", "c", "size_p", "size_q", "moment")
+    whole = cells.join(facts, ["g", "c"]).withColumn("is_number", F.lit(True))
+    used = (F.col("p") > 0) | (F.col("q") > 0)
+    scores = whole.filter(used).groupBy("g", "c").agg(
+        *_share_scores(),
+        F.max("ks").alias("ks"),
+        F.sum("inside").alias("inside"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.max(F.col("moment") / F.col("size_q")).alias("mean_q"),
+    )
+    # Left of the first value F is zero, right of the last one it is one: there the areas below and above G remain.
+    right = F.greatest(F.col("mean_q") - F.col("last.number") + F.col("last.area"), F.lit(0.0))
+    return scores.withColumn("wd", F.col("inside") + F.col("first.area") + right)
+
+
+def _steps(values: DataFrame, sizes: Sizes) -> DataFrame:
+    """Both shares at each value of a window, and what the baseline does up to the next value of the window.
+
+    Both step functions meet at the window's values: F is flat between two of them, G can only rise.
+    """
+    if not sizes.grids:
+        values = values.repartition("g", "c")
+    values = running_totals(values, ["g", "c"], "number", ["p"], sizes.grids, carry=("q_upto", "q_here", "m_upto"))
+    size_p, size_q = F.col("size_p"), F.col("size_q")
+
+    def area(at: str, count: str, moment: str) -> Column:
+        return (F.col(at) * F.col(count) - F.col(moment)) / size_q
+
+    f, share = F.col("p_upto") / size_p, F.col("q_upto") / size_q
+    f_before = (F.col("p_upto") - F.col("p")) / size_p
+    share_before = (F.col("q_upto") - F.col("q_here")) / size_q
+    return values.select(
+        "g",
+        "s",
+        "c",
+        "number",
+        "next_value",
+        "low",
+        "high",
+        "p",
+        "size_q",
+        f.alias("f"),
+        share.alias("share"),
+        ((F.col("next_q_upto") - F.col("next_q_here")) / size_q).alias("share_end"),
+        area("number", "q_upto", "m_upto").alias("area"),
+        area("next_value", "next_q_upto", "next_m_upto").alias("area_end"),
+        F.greatest(F.abs(f - share), F.abs(f_before - share_before)).alias("apart"),
     )
-    moments = baseline.groupBy("s", "c").agg((F.sum(F.col("number") * F.col("n"))).alias("moment"))
-    found = found.join(moments, ["s", "c"])
-    # Right of the last value F is one: the integral of 1 - G is the mean excess over that value.
-    right_tail = F.col("moment") / F.col("size_q") - F.col("end.number") + F.col("end.area")
-    gaps = found.select("g", "c", "ks", (F.col("inside") + F.col("left_tail") + F.greatest(right_tail, F.lit(0.0))).alias("wd"))
-    return shares.join(gaps, ["g", "c"], "left")
+
+
+def _baseline_bins(marks: DataFrame, pair: DataFrame) -> DataFrame:
+    """Baseline counts per bin: the count below an inner edge closes one bin and opens the next."""
+    below = F.col("q_upto") - F.col("q_here")
+    closes = F.struct((F.col("edge") - 1).alias("cell"), below.alias("q"))
+    opens = F.struct(F.col("edge").alias("cell"), (-below).alias("q"))
+    moved = marks.filter("edge IS NOT NULL").select("g", "c", F.inline(F.array(closes, opens)))
+    last = F.when(F.col("low") < F.col("high"), BINS - 1).otherwise(0)
+    return moved.unionByName(pair.select("g", "c", last.alias("cell"), F.col("size_q").alias("q")))
 
 
 def _crossings(steps: DataFrame, baseline: DataFrame, grids: tuple[float, ...]) -> DataFrame:

@@ -70,12 +70,17 @@ def needs_fan_out(monitor: Monitor) -> bool:
     return len(monitor.granularities) > 1 or bool(monitor.slice_columns)
 
 
+def named(**fields: Column) -> Column:
+    """A struct whose field names are spelled out; aliases inside a plain struct get lost next to SQL functions."""
+    return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])
+
+
 def group_columns(monitor: Monitor, group: str = "g") -> list[Column]:
     """The public columns of a group: window, granularity, slice_key, slice_value."""
     start, granularity = F.col(f"{group}.window_start"), name_at(F.col(f"{group}.granularity"), monitor.granularities)
     end = window_end(start, granularity)
     return [
-        F.struct(start.cast("timestamp").alias("start"), end.cast("timestamp").alias("end")).alias("window"),
+        named(start=start.cast("timestamp"), end=end.cast("timestamp")).alias("window"),
         granularity.alias("granularity"),
         name_at(F.col(f"{group}.slice"), monitor.slice_columns).alias("slice_key"),
         F.col(f"{group}.slice_value").alias("slice_value"),

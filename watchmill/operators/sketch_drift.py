@@ -7,12 +7,12 @@ Ranks are off by less than one percent, so the results are close, not equal, to
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchmill.functions.ordering import total
 from watchmill.operators.drift import BINS, bin_edge, consecutive_drift, distance, drift_fields, js_term, psi_term
 from watchmill.operators.grouping import group_columns, is_number
 from watchmill.operators.profile import merge_profiles, partial_profiles
@@ -29,8 +29,32 @@ def _quantiles(sketch: str) -> Column:
     return F.kll_sketch_get_quantile_double(F.col(sketch), levels)
 
 
-def _share(side: str, condition) -> Column:
-    return F.size(F.filter(side, condition)) / F.lit(float(POINTS))
+def _shares_below(side: str, edges: list[Column]) -> Column:
+    """Share of the points below each edge, from zero to one."""
+
+    def below(edge: Column) -> Column:
+        return F.size(F.filter(side, lambda v: v < edge)) / F.lit(float(POINTS))
+
+    return F.array(F.lit(0.0), *[below(edge) for edge in edges], F.lit(1.0))
+
+
+def _largest_gap(left: str, right: str) -> Column:
+    """Largest difference of the two step functions: one walk over the merged points, judged after the last of equals."""
+
+    def tagged(side: str, step: float) -> Column:
+        return F.transform(side, lambda v: F.struct(v.alias("v"), F.lit(step).alias("step")))
+
+    merged = F.array_sort(F.concat(tagged(left, 1.0 / POINTS), tagged(right, -1.0 / POINTS)))
+    after = F.slice(F.transform(merged, lambda e: e["v"]), F.lit(2), F.lit(2 * POINTS))
+    walk = F.zip_with(merged, after, lambda e, nxt: F.struct(e["step"].alias("step"), F.coalesce(e["v"] < nxt, F.lit(True)).alias("last")))
+    start = F.struct(F.lit(0.0).alias("gap"), F.lit(0.0).alias("most"))
+
+    def step(so_far: Column, e: Column) -> Column:
+        gap = so_far["gap"] + e["step"]
+        most = F.when(e["last"], F.greatest(so_far["most"], F.abs(gap))).otherwise(so_far["most"])
+        return F.struct(gap.alias("gap"), most.alias("most"))
+
+    return F.aggregate(walk, start, step)["most"]
 
 
 def _compare(pairs: DataFrame) -> DataFrame:
@@ -44,23 +68,30 @@ def _compare(pairs: DataFrame) -> DataFrame:
         }
     )
     edges = [bin_edge(F.col("least"), F.col("most"), k) for k in range(1, BINS)]
-    below = {side: F.array(F.lit(0.0), *[_share(side, lambda v, e=e: v < e) for e in edges], F.lit(1.0)) for side in ("at_p", "at_q")}
-    rows = rows.withColumns({"below_p": below["at_p"], "below_q": below["at_q"]})
-    shares = [
-        tuple(F.get(side, F.lit(k + 1)) - F.get(side, F.lit(k)) for side in ("below_p", "below_q")) for k in range(BINS)
-    ]
-    constant = F.col("least") == F.col("most")
-    used = [F.when((p > 0) | (q > 0), psi_term(p, q)).otherwise(0.0) for p, q in shares]
-    gaps = F.transform(
-        F.concat("at_p", "at_q"),
-        lambda x: F.abs(_share("at_p", lambda v: v <= x) - _share("at_q", lambda v: v <= x)),
+    rows = rows.withColumns({"below_p": _shares_below("at_p", edges), "below_q": _shares_below("at_q", edges)})
+
+    def share(side: str, k: Column) -> Column:
+        return F.get(F.col(side), k + 1) - F.get(F.col(side), k)
+
+    bins = F.transform(
+        F.sequence(F.lit(0), F.lit(BINS - 1)),
+        lambda k: F.struct(share("below_p", k).alias("p"), share("below_q", k).alias("q")),
     )
+    rows = rows.withColumn("bins", bins)
+
+    def summed(term: Callable[[Column, Column], Column]) -> Column:
+        total = F.aggregate("bins", F.lit(0.0), lambda so_far, b: so_far + term(b["p"], b["q"]))
+        return F.when(F.col("least") == F.col("most"), 0.0).otherwise(total)
+
+    def filled_psi(p: Column, q: Column) -> Column:
+        return F.when((p > 0) | (q > 0), psi_term(p, q)).otherwise(0.0)
+
     moves = F.zip_with("at_p", "at_q", lambda p, q: F.abs(p - q) / POINTS)
     return rows.withColumns(
         {
-            "js": F.when(constant, 0.0).otherwise(distance(total([js_term(p, q) for p, q in shares]))),
-            "psi": F.when(constant, 0.0).otherwise(total(used)),
-            "ks": F.array_max(gaps),
+            "js": distance(summed(js_term)),
+            "psi": summed(filled_psi),
+            "ks": _largest_gap("at_p", "at_q"),
             "wd": F.aggregate(moves, F.lit(0.0), lambda so_far, move: so_far + move),
         }
     )
