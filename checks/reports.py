@@ -64,6 +64,11 @@ ALERTS = AlertSettings(
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def forget_metrics() -> None:
+    """Compute the metric tables anew on next use."""
+    _stored.clear()
+
+
 def _load(spark: SparkSession, sf: str, member: Member) -> DataFrame:
     name = member.monitor.leaf_name
     made = {"prices": priced, "returns": returns, "customer": segmented}.get(name)

@@ -226,7 +226,6 @@ def _category_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: Dat
     pooled = (F.col("p") + F.col("q")) / (size_p + size_q)
     chi = size_p * _square(p - pooled) / pooled + size_q * _square(q - pooled) / pooled
     matched = rows.groupBy("g", "c").agg(
-        F.max("s").alias("s"),
         F.sum(js_term(p, q)).alias("js"),
         F.sum(psi_term(p, q)).alias("psi"),
         F.sum(chi).alias("chi"),
@@ -236,7 +235,7 @@ def _category_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: Dat
         F.max(size_q).alias("size_q"),
     )
     rest = (size_q - F.col("q")) / size_q
-    joined = matched.join(lost_psi, ["s", "c"], "left")
+    joined = matched.withColumn("s", F.expr(_SLICE)).join(lost_psi, ["s", "c"], "left")
     return joined.select(
         "g",
         "c",
@@ -263,6 +262,10 @@ def _axis(counts: DataFrame, baseline: DataFrame, pair: DataFrame) -> DataFrame:
     return windows.unionByName(known).unionByName(edges)
 
 
+#: Parts of the Wasserstein distance that add up over the values of a window.
+_WALK = ["inside", "first_area", "last", "last_area"]
+
+
 def _number_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: DataFrame, sizes: Sizes) -> DataFrame:
     """M1, M2, M3, M5 against a numeric baseline, without copying the baseline to every window.
 
@@ -294,17 +297,17 @@ def _number_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: DataF
         F.sum("p").alias("p"),
         F.max("apart").alias("ks"),
         F.sum(inside).alias("inside"),
-        F.min(F.struct("number", "area")).alias("first"),
-        F.max(F.struct("number", "area")).alias("last"),
+        # One row is first and one is last; plain sums keep the aggregation on hashes.
+        F.sum(F.when(F.col("is_first"), F.col("area"))).alias("first_area"),
+        F.sum(F.when(F.col("next_value").isNull(), F.col("number"))).alias("last"),
+        F.sum(F.when(F.col("next_value").isNull(), F.col("area"))).alias("last_area"),
     )
     parts = binned.unionByName(_baseline_bins(marks, pair), allowMissingColumns=True)
     cells = parts.groupBy("g", "c", "cell").agg(
         F.sum(F.coalesce("p", F.lit(0))).alias("p"),
         F.sum(F.coalesce("q", F.lit(0))).alias("q"),
         F.max("ks").alias("ks"),
-        F.sum("inside").alias("inside"),
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
+        *[F.sum(name).alias(name) for name in _WALK],
     )
     moments = baseline.groupBy("s", "c").agg(F.sum(F.col("number") * F.col("n")).alias("moment"))
     facts = pair.join(moments, ["s", "c"]).select("g", "c", "size_p", "size_q", "moment")
@@ -313,14 +316,12 @@ def _number_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: DataF
     scores = whole.filter(used).groupBy("g", "c").agg(
         *_share_scores(),
         F.max("ks").alias("ks"),
-        F.sum("inside").alias("inside"),
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
+        *[F.sum(name).alias(name) for name in _WALK],
         F.max(F.col("moment") / F.col("size_q")).alias("mean_q"),
     )
     # Left of the first value F is zero, right of the last one it is one: there the areas below and above G remain.
-    right = F.greatest(F.col("mean_q") - F.col("last.number") + F.col("last.area"), F.lit(0.0))
-    return scores.withColumn("wd", F.col("inside") + F.col("first.area") + right)
+    right = F.greatest(F.col("mean_q") - F.col("last") + F.col("last_area"), F.lit(0.0))
+    return scores.withColumn("wd", F.col("inside") + F.col("first_area") + right)
 
 
 def _steps(values: DataFrame, sizes: Sizes) -> DataFrame:
@@ -349,6 +350,7 @@ def _steps(values: DataFrame, sizes: Sizes) -> DataFrame:
         "high",
         "p",
         "size_q",
+        (F.col("p_upto") == F.col("p")).alias("is_first"),
         f.alias("f"),
         share.alias("share"),
         ((F.col("next_q_upto") - F.col("next_q_here")) / size_q).alias("share_end"),
