@@ -177,7 +177,7 @@ def _with(group: str | None = None, *kinds: str) -> str:
         ]
         parts.append(f"p AS ({' UNION ALL '.join(rows)})")
     if "s" in kinds:
-        priced_sql = sql.regression(PRICED, "o_orderdate", ["1 month"], ["o_orderpriority"], "predicted", "total")
+        priced_sql = sql.regression(PRICED, "o_orderdate", ["1 month"], ["o_orderpriority"], "predicted", "total", True)
         returned_sql = sql.classification(RETURNS, "l_shipdate", ["1 year"], ["l_linestatus"], "chance", "returned")
         names = ", ".join(["window_start", "window_end", "granularity", "column_name", *sql.CLASSIFICATION, *sql.REGRESSION,
                            "slice_key", "slice_value"])
@@ -261,7 +261,8 @@ def drift_issues(spark, sf):
     return A.drift_issues(drift(spark, sf), ALERTS)
 
 
-@check("drift_alert", f"{_with(None, 'd')} {_ISSUE} ORDER BY d.js_distance DESC LIMIT 100")
+@check("drift_alert", f"{_with(None, 'd')} {_ISSUE} ORDER BY round(d.js_distance, 9) DESC, source_table_name, column_name, drift_type, "
+       "granularity, window_start, slice_key NULLS LAST, slice_value NULLS LAST LIMIT 100")
 def drift_alert(spark, sf):
     """O1: the flagship chain from raw tables to alert rows."""
     return A.drift_alert(drift(spark, sf), ALERTS)
@@ -391,7 +392,7 @@ def group_states(spark, sf):
     "worst_drifters",
     f"{_with(None, 'd')} SELECT source_table_name, department, owner, count(*) AS drift_events, "
     f"{r('max(js_distance)', 'max_drift')}, {r('avg(js_distance)', 'avg_drift')}, max(window_end) AS last_drift_time "
-    "FROM d WHERE js_distance >= 0.1 GROUP BY ALL ORDER BY max(js_distance) DESC LIMIT 20",
+    "FROM d WHERE js_distance >= 0.1 GROUP BY ALL ORDER BY max(js_distance) DESC, source_table_name LIMIT 20",
 )
 def worst_drifters(spark, sf):
     """A5, O3"""
@@ -403,7 +404,7 @@ def worst_drifters(spark, sf):
     f"{_with(None, 'p')} SELECT source_table_name, department, owner, count(DISTINCT column_name) AS columns_monitored, "
     f"{r('avg(null_rate)', 'avg_null_rate')}, {r('max(null_rate)', 'max_null_rate')}, "
     "sum(record_count)::BIGINT AS total_records, max(window_end) AS last_profile_time FROM p GROUP BY ALL "
-    "ORDER BY max(null_rate) DESC LIMIT 20",
+    "ORDER BY max(null_rate) DESC, source_table_name LIMIT 20",
 )
 def quality_summary(spark, sf):
     """A6, O3"""

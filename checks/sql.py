@@ -205,18 +205,22 @@ JOIN rest r ON b.granularity IS NOT DISTINCT FROM r.granularity AND b.ws IS NOT
   AND b.slice_key IS NOT DISTINCT FROM r.slice_key AND b.slice_value IS NOT DISTINCT FROM r.slice_value)"""
 
 
-def regression(source: str, ts: str, granularities: list[str], slices: list[str], prediction: str, label: str) -> str:
-    """Unrounded scores of a regression model."""
+def regression(
+    source: str, ts: str, granularities: list[str], slices: list[str], prediction: str, label: str, every: bool = False
+) -> str:
+    """Unrounded scores of a regression model; ``every`` keeps windows without a labelled row."""
     error = f"({prediction} - {label})"
+    known = f"CASE WHEN {error} IS NOT NULL THEN {label} END"
+    kept = "" if every else f"HAVING count({error}) > 0"
     return f"""(WITH w AS ({windowed(source, ts, granularities, slices)})
 SELECT ws AS window_start, we AS window_end, granularity, ':table' AS column_name,
   {", ".join(f"CAST(NULL AS DOUBLE) AS {name}" for name in CLASSIFICATION)},
   avg(pow({error}, 2)) AS mean_squared_error, sqrt(avg(pow({error}, 2))) AS root_mean_squared_error,
   avg(abs({error})) AS mean_average_error,
   avg(CASE WHEN {label} <> 0 THEN abs({error} / {label}) END) AS mean_absolute_percentage_error,
-  CASE WHEN var_pop({label}) > 0 THEN 1 - sum(pow({error}, 2)) / (var_pop({label}) * count(*)) END AS r2_score,
+  CASE WHEN var_pop({known}) > 0 THEN 1 - sum(pow({error}, 2)) / (var_pop({known}) * count({error})) END AS r2_score,
   slice_key, slice_value
-FROM w WHERE {prediction} IS NOT NULL AND {label} IS NOT NULL GROUP BY {KEYS})"""
+FROM w GROUP BY {KEYS} {kept})"""
 
 
 def rounded_columns(doubles: list[str]) -> str:

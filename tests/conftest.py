@@ -29,4 +29,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf():
-    return os.environ.get("SF_DIR", "/root/testdata/sf0.001")
+    return os.environ.get("SF_DIR", "/root/testdata/sf0.01")

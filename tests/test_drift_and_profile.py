@@ -54,6 +54,13 @@ def test_previous_window_skips_gaps_and_follows_its_slice(spark):
     assert windows == [("", _at(5)), ("", _at(9)), ("u", _at(5)), ("v", _at(9))]
 
 
+def test_nothing_to_compare(spark):
+    df = spark.createDataFrame([(_at(0), [1.0]), (_at(1), [2.0])], "at timestamp_ntz, v array<double>")
+    monitor = Monitor("a.b.c", "TIMESERIES", "at")
+    for rows in (consecutive_drift(df, monitor), sketch_drift(df, monitor), baseline_drift(df, df.drop("v"), monitor)):
+        assert rows.count() == 0 and "js_distance" in rows.columns
+
+
 def test_null_only_side_gives_null_scores(spark):
     rows = [(_at(0), None, "a"), (_at(1), 2.0, None), (_at(2), 2.0, "a")]
     df = spark.createDataFrame(rows, "at timestamp_ntz, x double, t string")

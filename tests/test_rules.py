@@ -167,6 +167,7 @@ def test_missing_functions_are_listed_once(spark):
 def _drift_rows(spark, rows):
     base = "source_table_name string, js_distance double, drift_threshold double"
     df = spark.createDataFrame(rows, base)
+    df = df.withColumns({n: F.lit(None).cast("string") for n in ("granularity", "slice_key", "slice_value")})
     fixed = {"owner": "o", "department": "d", "column_name": "c", "drift_type": "CONSECUTIVE", "runbook_url": "", "lineage_url": ""}
     df = df.withColumns({k: F.lit(v) for k, v in fixed.items()})
     return df.withColumns(

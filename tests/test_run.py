@@ -7,6 +7,7 @@ from watchmill.plans.run import compute_metrics, run
 from watchmill.settings import (
     AlertSettings,
     CustomMetric,
+    DiscoverySettings,
     Monitor,
     ProfileDefaults,
     RunSettings,
@@ -64,6 +65,31 @@ def test_run_over_three_tables(spark, sf):
     assert len(states) == 6 and states["ML Team", "Drift alert - ML Team"] == "TRIGGERED"
 
 
+def test_tagged_tables_quota_and_missing_columns(spark, sf):
+    names = ["main.web.events", "main.web.late", "main.sales.orders", "main.tmp_x.events"]
+    inventory = spark.createDataFrame(
+        [(n, n.split(".")[1], "MANAGED", {"monitor_enabled": "true"}, i) for i, n in enumerate(names)],
+        "full_name string, schema_name string, table_type string, tags map<string,string>, priority int",
+    )
+    settings = RunSettings(
+        "main",
+        ProfileDefaults("monitoring", profile_type="TIMESERIES", timeseries_timestamp_column="ts", granularity="1 month"),
+        include_tagged_tables=True,
+        discovery=DiscoverySettings(),
+        monitored_tables={"main.sales.orders": TableSettings(), "main.web.more": TableSettings()},
+    )
+    paths = {n: f"{sf}/events.parquet" for n in names} | {"main.sales.orders": f"{sf}/orders.parquet"}
+    report = run(spark, settings, new_path(spark, "run"), {}, paths, inventory=inventory, quota=3, distinct="none")
+    assert report.tables == {
+        "main.web.events": "created",
+        "main.web.late": "created",
+        "main.sales.orders": "skipped_column_missing: ts",
+        "main.web.more": "skipped_quota",
+    }
+    row = report.summary(spark).first()
+    assert (row.tables_discovered, row.monitors_created, row.monitors_skipped) == (4, 2, 2)
+
+
 def test_run_refuses_bad_settings(spark):
     settings = RunSettings("main", ProfileDefaults("a.b", timestamp_column="ts"), monitored_tables={"main.a.t": TableSettings()})
     with pytest.raises(ValueError, match="output_schema_name"):

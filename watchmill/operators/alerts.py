@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +35,20 @@ def drift_limits(default: float) -> tuple[Column, Column]:
     return critical, F.least(critical, F.greatest(F.lit(WARNING_FLOOR), critical / 2))
 
 
+def _ties(*columns: str) -> list[Column]:
+    """Further sort keys, so that a limit cuts equal rows in the same place on every run."""
+    names = ("source_table_name", "column_name", *columns, "granularity", "window_start", "slice_key", "slice_value")
+    return [F.asc_nulls_last(name) for name in names]
+
+
 def drift_issues(drift: DataFrame, alerts: AlertSettings) -> DataFrame:
     """Rows at or above their warning limit, with severity."""
     critical, warning = drift_limits(alerts.drift_threshold)
-    return drift.filter(_js() >= warning).select(
+    return _drift_rows(drift.filter(_js() >= warning), critical, warning)
+
+
+def _drift_rows(drift: DataFrame, critical: Column, warning: Column) -> DataFrame:
+    return drift.select(
         "source_table_name",
         "owner",
         "department",
@@ -57,7 +68,11 @@ def drift_issues(drift: DataFrame, alerts: AlertSettings) -> DataFrame:
 
 def drift_alert(drift: DataFrame, alerts: AlertSettings, limit: int = ALERT_ROWS) -> DataFrame:
     """O1: the strongest drift issues."""
-    return drift_issues(drift, alerts).orderBy(F.desc("js_distance")).limit(limit)
+    critical, warning = drift_limits(alerts.drift_threshold)
+    # Beyond nine digits a distance depends on the order of its additions, which must not order equal rows.
+    strongest = [F.desc(F.round("js_distance", 9)), *_ties("drift_type")]
+    worst = drift.filter(_js() >= warning).orderBy(*strongest).limit(limit)
+    return _drift_rows(worst, critical, warning)
 
 
 def tiered_issues(drift: DataFrame, alerts: AlertSettings) -> dict[str, DataFrame]:
@@ -71,22 +86,27 @@ def tiered_issues(drift: DataFrame, alerts: AlertSettings) -> dict[str, DataFram
     }
 
 
-def quality_issues(profile: DataFrame, alerts: AlertSettings) -> DataFrame | None:
-    """P20: rows that break an enabled limit, named by the first limit they break; None if no limit is set."""
+def quality_issues(profile: DataFrame, alerts: AlertSettings, limit: int | None = None) -> DataFrame | None:
+    """P20: rows that break an enabled limit, named by the first limit they break; None if no limit is set. With
+    ``limit`` only the worst ones.
+    """
     tests = [
-        (alerts.null_rate_threshold, "HIGH_NULL_RATE", lambda limit: F.col("null_rate") > limit),
-        (alerts.row_count_min, "LOW_ROW_COUNT", lambda limit: F.col("record_count") < limit),
-        (alerts.distinct_count_min, "LOW_CARDINALITY", lambda limit: F.col("distinct_count") < limit),
+        (alerts.null_rate_threshold, "HIGH_NULL_RATE", lambda bound: F.col("null_rate") > bound),
+        (alerts.row_count_min, "LOW_ROW_COUNT", lambda bound: F.col("record_count") < bound),
+        (alerts.distinct_count_min, "LOW_CARDINALITY", lambda bound: F.col("distinct_count") < bound),
     ]
-    enabled = [(name, test(limit)) for limit, name, test in tests if limit is not None]
+    enabled = [(name, test(bound)) for bound, name, test in tests if bound is not None]
     if not enabled:
         return None
-    issue, broken = F.lit(None).cast("string"), F.lit(False)
+    issue = F.lit(None).cast("string")
     for name, test in reversed(enabled):
         issue = F.when(test, name).otherwise(issue)
-    for _, test in enabled:
-        broken = broken | test
-    return profile.filter(broken).select(
+    broken = reduce(operator.or_, [test for _, test in enabled])
+    rows = profile.filter(broken)
+    if limit is not None:
+        order = [F.desc("null_rate"), F.asc("record_count"), *_ties()]
+        rows = rows.orderBy(*order).limit(limit)
+    return rows.select(
         "source_table_name",
         "owner",
         "department",
@@ -105,10 +125,7 @@ def quality_issues(profile: DataFrame, alerts: AlertSettings) -> DataFrame | Non
 
 def quality_alert(profile: DataFrame, alerts: AlertSettings, limit: int = ALERT_ROWS) -> DataFrame | None:
     """O2: the worst quality issues."""
-    issues = quality_issues(profile, alerts)
-    if issues is None:
-        return None
-    return issues.orderBy(F.desc("null_rate"), F.asc("record_count")).limit(limit)
+    return quality_issues(profile, alerts, limit)
 
 
 def rule_rows(drift: DataFrame, table: str, rule: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from watchmill.functions.ordering import Sizes, join_facts, running_totals, total
 from watchmill.operators.frequencies import ALL_ROWS, value_counts
 from watchmill.operators.grouping import group_columns, is_category, is_number, name_at, profiled_columns
-from watchmill.schemas import DRIFT_METRICS
+from watchmill.schemas import DRIFT_METRICS, empty
 from watchmill.settings import Monitor
 from watchmill.sources.scratch import materialize
 
@@ -30,10 +30,9 @@ _SCORES = ["js", "psi", "chi", "ks", "wd"]
 
 
 def drift_fields(df: DataFrame, monitor: Monitor) -> list[T.StructField]:
-    """The columns drift is defined for; slices and the time column are left out."""
-    skip = {name.lower() for name in (*monitor.slice_columns, monitor.timestamp_column or "")}
-    fields = profiled_columns(df, monitor)
-    return [f for f in fields if (is_number(f) or is_category(f)) and f.name.lower() not in skip]
+    """The columns drift is defined for: numbers, texts and booleans other than the time column."""
+    at = (monitor.timestamp_column or "").lower()
+    return [f for f in profiled_columns(df, monitor) if (is_number(f) or is_category(f)) and f.name.lower() != at]
 
 
 # --- statistics over shares -------------------------------------------------------------------------------------
@@ -471,16 +470,20 @@ def _metric_rows(
 def consecutive_drift(df: DataFrame, monitor: Monitor) -> DataFrame:
     """Every window against the previous non-empty window of its granularity and slice."""
     fields = drift_fields(df, monitor)
+    if not fields:
+        return empty(df.sparkSession, DRIFT_METRICS)
     counts = materialize(value_counts(df, monitor, fields), "counts")
     every, scores = _consecutive_scores(counts, len(fields))
     return _metric_rows(every, scores, monitor, fields, "CONSECUTIVE")
 
 
 def baseline_drift(df: DataFrame, baseline: DataFrame, monitor: Monitor) -> DataFrame:
-    """Every window against the whole baseline table, slice by slice."""
-    fields = drift_fields(df, monitor)
-    still = Monitor(monitor.table, "SNAPSHOT", granularities=(), slices=monitor.slice_columns)
+    """Every window against the whole baseline table, slice by slice, in the columns both have."""
     by_name = {f.name.lower(): f for f in baseline.schema}
+    fields = [f for f in drift_fields(df, monitor) if f.name.lower() in by_name]
+    if not fields:
+        return empty(df.sparkSession, DRIFT_METRICS)
+    still = Monitor(monitor.table, "SNAPSHOT", granularities=(), slices=monitor.slice_columns)
     same = [by_name[f.name.lower()] for f in fields]
     counts = materialize(value_counts(df, monitor, fields), "counts")
     known = materialize(value_counts(baseline, still, same), "baseline-counts")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from watchmill.operators.drift import BINS, bin_edge, consecutive_drift, distance, drift_fields, js_term, psi_term
 from watchmill.operators.grouping import group_columns, is_number
 from watchmill.operators.profile import merge_profiles, partial_profiles
-from watchmill.schemas import DRIFT_METRICS
+from watchmill.schemas import DRIFT_METRICS, empty
 from watchmill.settings import Monitor
 
 #: Quantiles that stand for one side, each with the same share of its rows.
@@ -102,6 +102,8 @@ def sketch_drift(df: DataFrame, monitor: Monitor) -> DataFrame:
     fields = drift_fields(df, monitor)
     numbers = tuple(f.name for f in fields if is_number(f))
     texts = tuple(f.name for f in fields if not is_number(f))
+    if not fields:
+        return empty(df.sparkSession, DRIFT_METRICS)
     result = None
     if numbers:
         result = _number_drift(df, replace(monitor, columns=numbers))

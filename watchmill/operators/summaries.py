@@ -26,7 +26,7 @@ def worst_drifters(drift: DataFrame, limit: int = TOP_ROWS) -> DataFrame:
         F.avg(_js()).alias("avg_drift"),
         F.max("window_end").alias("last_drift_time"),
     )
-    return events.orderBy(F.desc("max_drift")).limit(limit)
+    return events.orderBy(F.desc("max_drift"), "source_table_name").limit(limit)
 
 
 def quality_summary(profile: DataFrame, limit: int = TOP_ROWS) -> DataFrame:
@@ -38,7 +38,7 @@ def quality_summary(profile: DataFrame, limit: int = TOP_ROWS) -> DataFrame:
         F.sum("record_count").alias("total_records"),
         F.max("window_end").alias("last_profile_time"),
     )
-    return tables.orderBy(F.desc("max_null_rate")).limit(limit)
+    return tables.orderBy(F.desc("max_null_rate"), "source_table_name").limit(limit)
 
 
 def feature_drift(drift: DataFrame, table: str) -> DataFrame:

@@ -17,9 +17,11 @@ from watchmill.operators.custom import (
     with_custom_aggregates,
     with_derived,
 )
+from watchmill.operators.discovery import discover
 from watchmill.operators.drift import baseline_drift, consecutive_drift, snapshot_drift
 from watchmill.operators.performance import performance
 from watchmill.operators.profile import profile, safe_slices, with_performance
+from watchmill.operators.provisioning import run_summary
 from watchmill.operators.sketch_drift import sketch_drift
 from watchmill.operators.unify import Member, unified_drift, unified_performance, unified_profile
 from watchmill.schemas import DRIFT_METRICS, PROFILE_METRICS, empty
@@ -47,6 +49,11 @@ class RunReport:
     views: dict[str, dict[str, str]] = field(default_factory=dict)
     alerts: DataFrame | None = None
 
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """Counts by action."""
+        rows = [(name, text.split(":")[0]) for name, text in self.tables.items()]
+        return run_summary(spark.createDataFrame(rows, "full_name string, action string"))
+
 
 def compute_metrics(
     df: DataFrame,
@@ -84,6 +91,27 @@ def compute_metrics(
     return TableMetrics(rows, drift)
 
 
+def _table_names(
+    settings: RunSettings, inventory: DataFrame | None, tags: dict[str, dict[str, str]]
+) -> list[str]:
+    """Tables found by their tags, most important first, then the configured ones. Tags found are added."""
+    configured = list(settings.monitored_tables)
+    if not (settings.include_tagged_tables and settings.discovery and inventory is not None):
+        return configured
+    # Names and tags of the tables to monitor, not their data.
+    found = discover(inventory, settings.discovery).select("full_name", "tags").collect()
+    for row in found:
+        tags.setdefault(row.full_name, dict(row.tags))
+    return [row.full_name for row in found if row.full_name not in settings.monitored_tables] + configured
+
+
+def _missing_column(df: DataFrame, monitor: Monitor) -> str | None:
+    """P15 for one table."""
+    present = {name.lower() for name in df.columns}
+    asked = (monitor.prediction_column, monitor.timestamp_column, monitor.label_column, monitor.model_id_column)
+    return next((name for name in asked if name and name.lower() not in present), None)
+
+
 def run(
     spark: SparkSession,
     settings: RunSettings,
@@ -91,22 +119,30 @@ def run(
     tags: dict[str, dict[str, str]] | None = None,
     paths: dict[str, str] | None = None,
     *,
+    inventory: DataFrame | None = None,
+    quota: int | None = None,
     distinct: str = "approx",
     drift_mode: str = "exact",
 ) -> RunReport:
-    """The whole run over the configured tables. Settings that break a rule stop it before any work starts; a table
-    that fails is reported and left out of its group's views.
+    """The whole run over the configured tables and, with an ``inventory``, the ones their tags enroll. Settings that
+    break a rule stop it before any work starts; a table that fails, lacks a column or exceeds the ``quota`` is reported
+    and left out of its group's views.
     """
     problems = [*settings_problems(settings), *template_problems(settings), *missing_functions(spark, settings)]
     if problems:
         raise ValueError(f"settings cannot be used: {problems}")
-    tags = tags or {}
+    tags = dict(tags or {})
     report = RunReport()
-    names = list(settings.monitored_tables)
+    names = _table_names(settings, inventory, tags)
+    for name in names[quota:] if quota is not None else ():
+        report.tables[name] = "skipped_quota"
 
-    def one(name: str) -> Member:
+    def one(name: str) -> Member | str:
         df = read_table(spark, name, paths)
         monitor = resolve_monitor(settings, name, tags.get(name), df.schema)
+        missing = _missing_column(df, monitor)
+        if missing:
+            return f"skipped_column_missing: {missing}"
         limit = settings.profile_defaults.max_slicing_cardinality
         monitor = monitor.with_slices(safe_slices(df, monitor.slices, limit))
         baseline = read_table(spark, monitor.baseline_table, paths) if monitor.baseline_table else None
@@ -118,13 +154,16 @@ def run(
 
     members: dict[str, Member] = {}
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
-        started = {name: pool.submit(one, name) for name in names}
+        started = {name: pool.submit(one, name) for name in names[:quota]}
         for name, task in started.items():
             try:
-                members[name] = task.result()
-                report.tables[name] = "created"
+                result = task.result()
             except Exception as error:
                 report.tables[name] = f"failed: {error}"
+                continue
+            if isinstance(result, Member):
+                members[name] = result
+            report.tables[name] = "created" if isinstance(result, Member) else result
 
     groups: dict[str, list[Member]] = {}
     for name, member in members.items():
