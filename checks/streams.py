@@ -161,7 +161,7 @@ def written(spark, sf):
     write_metrics(with_performance(profile(half, monitor, distinct="none"), None), path)
     rest = events.filter("event_type NOT IN ('click', 'view', 'error')")
     write_metrics(with_performance(touched_profile(events, rest, monitor, distinct="none"), None), path)
-    stored = read_written_metrics(spark, path, PROFILE_METRICS.fieldNames())
+    stored = read_written_metrics(spark, path, PROFILE_METRICS)
     rows = flat_profile(stored).filter("column_name = 'value'")
     return rows.select("granularity", "window_start", "record_count", *DOUBLES_PROFILE)
 

@@ -188,7 +188,7 @@ def _slugs(spark: SparkSession, names: list[str]) -> dict[str, str]:
 def _group_frames(spark: SparkSession, settings: RunSettings, output_path: str, members: list[Member]) -> dict:
     def stored(kind: str, schema) -> list[tuple[Member, DataFrame]]:
         return [
-            (m, read_written_metrics(spark, f"{output_path}/{m.monitor.leaf_name}_{kind}_metrics", schema.fieldNames()))
+            (m, read_written_metrics(spark, f"{output_path}/{m.monitor.leaf_name}_{kind}_metrics", schema))
             for m in members
         ]
 

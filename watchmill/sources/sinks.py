@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 logger = logging.getLogger(__name__)
 
@@ -32,9 +33,9 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     )
 
 
-def read_written_metrics(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Metric rows from their folder, in schema order."""
-    return spark.read.parquet(path).select(*columns)
+def read_written_metrics(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Metric rows from their folder. The schema is given, so a table without rows so far can be read as well."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
 def ensure_schema(spark: SparkSession, name: str) -> None:
