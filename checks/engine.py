@@ -275,18 +275,26 @@ def frequencies(spark, sf):
 # --- drift --------------------------------------------------------------------------------------------------------
 
 
+#: Prices in thousands keep the sixth digit of a distance clear of the rounding of large sums.
+_LINES_K = "SELECT *, l_extendedprice / 1000 AS price FROM lineitem"
+_ORDERS_K = "SELECT *, o_totalprice / 1000 AS price FROM orders"
+
+
+def in_thousands(spark: SparkSession, sf: str, name: str, column: str) -> DataFrame:
+    return table(spark, sf, name).withColumn("price", F.col(column) / 1000)
+
+
 @check(
     "drift_consecutive_sliced",
     drift_sql(
-        "SELECT * FROM lineitem", "l_shipdate", ["1 month"], ["l_returnflag"],
-        ["l_quantity", "l_extendedprice", "l_discount"], ["l_linestatus"],
+        _LINES_K, "l_shipdate", ["1 month"], ["l_returnflag"], ["l_quantity", "price", "l_discount"], ["l_linestatus"],
     ),
 )
 def drift_consecutive(spark, sf):
     """J9, J12, T7, T8, M1-M6"""
-    columns = ("l_quantity", "l_extendedprice", "l_discount", "l_linestatus")
+    columns = ("l_quantity", "price", "l_discount", "l_linestatus")
     monitor = Monitor(_LINES.table, "TIMESERIES", "l_shipdate", ("1 month",), ("l_returnflag",), columns)
-    return flat_drift(consecutive_drift(table(spark, sf, "lineitem"), monitor))
+    return flat_drift(consecutive_drift(in_thousands(spark, sf, "lineitem", "l_extendedprice"), monitor))
 
 
 @check(
@@ -299,21 +307,21 @@ def drift_granularities(spark, sf):
     return flat_drift(consecutive_drift(table(spark, sf, "events"), monitor))
 
 
-_EARLY = "SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'"
+_EARLY = f"SELECT * FROM ({_LINES_K}) WHERE l_shipdate < TIMESTAMP '1998-01-01'"
 
 
 @check(
     "drift_baseline",
     drift_sql(
-        "SELECT * FROM lineitem", "l_shipdate", ["1 year"], ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_tax"],
-        ["l_linestatus"], baseline=_EARLY,
+        _LINES_K, "l_shipdate", ["1 year"], ["l_returnflag"], ["l_quantity", "price", "l_tax"], ["l_linestatus"],
+        baseline=_EARLY,
     ),
 )
 def drift_baseline(spark, sf):
     """Every year against the lines shipped before 1998."""
-    lines = table(spark, sf, "lineitem")
+    lines = in_thousands(spark, sf, "lineitem", "l_extendedprice")
     early = lines.filter("l_shipdate < TIMESTAMP_NTZ'1998-01-01 00:00:00'")
-    columns = ("l_quantity", "l_extendedprice", "l_tax", "l_linestatus")
+    columns = ("l_quantity", "price", "l_tax", "l_linestatus")
     monitor = Monitor(_LINES.table, "TIMESERIES", "l_shipdate", ("1 year",), ("l_returnflag",), columns)
     return flat_drift(baseline_drift(lines, early, monitor))
 
@@ -321,15 +329,15 @@ def drift_baseline(spark, sf):
 @check(
     "drift_baseline_missing_categories",
     drift_sql(
-        "SELECT * FROM orders", "o_orderdate", ["1 month"], [], ["o_totalprice"], ["o_orderpriority", "o_orderstatus"],
-        baseline="SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_totalprice > 100000",
+        _ORDERS_K, "o_orderdate", ["1 month"], [], ["price"], ["o_orderpriority", "o_orderstatus"],
+        baseline=f"SELECT * FROM ({_ORDERS_K}) WHERE o_orderpriority <> '1-URGENT' AND o_totalprice > 100000",
     ),
 )
 def drift_baseline_missing(spark, sf):
     """Categories on one side only."""
-    orders = table(spark, sf, "orders")
+    orders = in_thousands(spark, sf, "orders", "o_totalprice")
     known = orders.filter("o_orderpriority <> '1-URGENT' AND o_totalprice > 100000")
-    columns = ("o_totalprice", "o_orderpriority", "o_orderstatus")
+    columns = ("price", "o_orderpriority", "o_orderstatus")
     monitor = Monitor("main.sales.orders", "TIMESERIES", "o_orderdate", ("1 month",), (), columns)
     return flat_drift(baseline_drift(orders, known, monitor))
 
