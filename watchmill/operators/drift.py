@@ -379,9 +379,14 @@ def _crossings(steps: DataFrame, baseline: DataFrame, grids: tuple[float, ...])
     first = counted.groupBy("s", "c").agg(F.min("number").alias("origin"))
     move = F.col("next_value") - F.col("number")
     moves = counted.filter("next_value IS NOT NULL").select(
-        "s", "c", F.col("n_upto").cast("double").alias("level"), move.alias("moved"), (move * F.col("n_upto")).alias("swept")
+        "s",
+        "c",
+        F.col("n_upto").cast("double").alias("level"),
+        move.alias("moved"),
+        (move * F.col("n_upto")).alias("swept"),
     )
-    asked = steps.select("s", "c", (F.col("f") * F.col("size_q")).alias("level"), F.lit(0.0).alias("moved"), F.lit(0.0).alias("swept"))
+    level, nothing = (F.col("f") * F.col("size_q")).alias("level"), F.lit(0.0)
+    asked = steps.select("s", "c", level, nothing.alias("moved"), nothing.alias("swept"))
     line = moves.unionByName(asked).groupBy("s", "c", "level").agg(
         F.sum("moved").alias("moved"), F.sum("swept").alias("swept")
     )
@@ -390,7 +395,7 @@ def _crossings(steps: DataFrame, baseline: DataFrame, grids: tuple[float, ...])
         "s", "c", "level", (F.col("moved_upto") - F.col("moved")).alias("path"),
         (F.col("swept_upto") - F.col("swept")).alias("swept_path"),
     )
-    asked = steps.select("g", "s", "c", "number", "size_q", (F.col("f") * F.col("size_q")).alias("level"))
+    asked = steps.select("g", "s", "c", "number", "size_q", level)
     hit = asked.join(line, ["s", "c", "level"]).join(first, ["s", "c"])
     return hit.select(
         "g", "c", "number", (F.col("origin") + F.col("path")).alias("cross_at"),

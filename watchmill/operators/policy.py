@@ -39,7 +39,9 @@ def naming_violations(tables: DataFrame, policy: PolicySettings) -> list[DataFra
     return missed + forbidden
 
 
-def requirement_violations(settings: DataFrame, policy: PolicySettings, profile_type: str, default_slices: tuple[str, ...]) -> list[DataFrame]:
+def requirement_violations(
+    settings: DataFrame, policy: PolicySettings, profile_type: str, default_slices: tuple[str, ...]
+) -> list[DataFrame]:
     """Missing baselines (inference only), missing slices, too many tables."""
     found = []
     if policy.require_baseline and profile_type == "INFERENCE":
@@ -60,7 +62,9 @@ def requirement_violations(settings: DataFrame, policy: PolicySettings, profile_
     return found
 
 
-def policy_violations(settings: DataFrame, policy: PolicySettings, profile_type: str, default_slices: tuple[str, ...] = ()) -> DataFrame:
+def policy_violations(
+    settings: DataFrame, policy: PolicySettings, profile_type: str, default_slices: tuple[str, ...] = ()
+) -> DataFrame:
     """All violations of the configured tables."""
     parts = naming_violations(settings, policy) + requirement_violations(settings, policy, profile_type, default_slices)
     if not parts:
@@ -71,9 +75,8 @@ def policy_violations(settings: DataFrame, policy: PolicySettings, profile_type:
 def tag_violations(settings: DataFrame, tags: DataFrame, required: tuple[str, ...]) -> DataFrame:
     """P25: required tags that are blank or missing in the tags and in the setting of the same name."""
     known = [name for name in required if name in settings.columns]
-    own = F.create_map(*[part for name in known for part in (F.lit(name), F.col(name).cast("string"))]) if known else (
-        F.create_map().cast("map<string,string>")
-    )
+    pairs = [part for name in known for part in (F.lit(name), F.col(name).cast("string"))]
+    own = F.create_map(*pairs) if known else F.create_map().cast("map<string,string>")
     asked = settings.select("full_name", own.alias("own"), F.explode(F.array(*[F.lit(n) for n in required])).alias("tag"))
     joined = asked.join(tags.select("full_name", "tags"), "full_name", "left")
 
@@ -97,8 +100,12 @@ def missing_columns(settings: DataFrame, inventory: DataFrame, profile_type: str
     """The first configured column of each table that its schema lacks, with the columns it has."""
     names = CHECKED_COLUMNS[profile_type]
     if not names:
-        return settings.select("full_name", F.lit("").alias("setting"), F.lit("").alias("column_name"),
-                               F.array().cast("array<string>").alias("available")).filter(F.lit(False))
+        return settings.select(
+            "full_name",
+            F.lit("").alias("setting"),
+            F.lit("").alias("column_name"),
+            F.array().cast("array<string>").alias("available"),
+        ).filter(F.lit(False))
     asked = F.array(*[F.struct(F.lit(n).alias("setting"), F.col(n).alias("column_name")) for n in names])
     wanted = settings.select("full_name", F.filter(asked, lambda a: a["column_name"].isNotNull()).alias("asked"))
     lower = F.transform("columns", lambda c: F.lower(c["name"]))
