@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchmill.sources.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-__all__ = ["Query", "WordCache", "map_frames", "materialize", "table", "texts"]
+__all__ = ["Query", "WordCache", "let", "map_frames", "materialize", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def map_frames(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(over, schema)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once for all its uses in an expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 class WordCache(dict):
     """What a function gives for words met before, at most ``limit`` of them; a full cache starts anew.
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from watchmill.llm.common import Query
 from watchmill.llm.language import op6_language
+from watchmill.llm.neighbours import op5_embedding_near_duplicates
 from watchmill.llm.packing import op8_pack_documents
 from watchmill.llm.pieces import op1_encode_pieces
 from watchmill.llm.simhash import op10_simhash_near_duplicates
+from watchmill.llm.sketches import op2_fingerprints
 from watchmill.llm.surrogates import op9_surrogates
 from watchmill.llm.templates import op4_page_text
 from watchmill.llm.toxicity import op3_toxicity
@@ -14,8 +16,10 @@ from watchmill.llm.urls import op7_url_verdicts
 
 QUERIES: dict[str, Query] = {
     "op1_encode_pieces": op1_encode_pieces,
+    "op2_fingerprints": op2_fingerprints,
     "op3_toxicity": op3_toxicity,
     "op4_page_text": op4_page_text,
+    "op5_embedding_near_duplicates": op5_embedding_near_duplicates,
     "op6_language": op6_language,
     "op7_url_verdicts": op7_url_verdicts,
     "op8_pack_documents": op8_pack_documents,

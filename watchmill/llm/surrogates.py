@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchmill.llm.common import materialize, table
+from watchmill.llm.common import let, materialize, table
 
 KEY = "surrogates-1"
 
@@ -109,85 +109,101 @@ def _pick(values: list[str] | str, number: Column) -> Column:
 
 def recode(text: Column, seed: Column) -> Column:
     """Every letter and digit replaced by another of its kind; separators stay, and do not change what the others become."""
-    stream = _stream(seed, F.length(text))
-    hexadecimal = text.rlike("^[0-9a-f]{16,}$")
 
-    def one(at: Column) -> Column:
-        char = F.substr(text, at, F.lit(1))
-        before = F.length(F.regexp_replace(F.substr(text, F.lit(1), at - 1), r"[^\p{L}\p{N}]", ""))
-        number = _draw(stream, before)
-        new = char
-        for alphabet in reversed(ALPHABETS):
-            new = F.when(F.contains(F.lit(alphabet), char), _pick(alphabet, number)).otherwise(new)
-        return F.when(hexadecimal & char.rlike("[a-f]"), _pick(HEX, number)).otherwise(new)
+    def one(given: Column, at: Column) -> Column:
+        before = F.length(F.regexp_replace(F.substr(given["text"], F.lit(1), at - 1), r"[^\p{L}\p{N}]", ""))
+        drawn = F.struct(F.substr(given["text"], at, F.lit(1)).alias("char"), _draw(given["stream"], before).alias("number"))
+        return let(drawn, lambda d: _of_kind(d["char"], d["number"], given["hex"]))
 
-    return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), ""))
+    def all_of(given: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(given["text"])), lambda at: one(given, at)), "")
+
+    given = F.struct(
+        text.alias("text"), _stream(seed, F.length(text)).alias("stream"), text.rlike("^[0-9a-f]{16,}$").alias("hex")
+    )
+    return F.when(F.length(text) == 0, text).otherwise(let(given, all_of))
+
+
+def _of_kind(char: Column, number: Column, hexadecimal: Column) -> Column:
+    new = char
+    for alphabet in reversed(ALPHABETS):
+        new = F.when(F.contains(F.lit(alphabet), char), _pick(alphabet, number)).otherwise(new)
+    return F.when(hexadecimal & char.rlike("[a-f]"), _pick(HEX, number)).otherwise(new)
 
 
 def _luhn(digits: Column, doubled_last: bool) -> Column:
     """Sum of a number's digits from the right, every second one doubled."""
-    reverse = F.reverse(digits)
 
-    def add(total: Column, at: Column) -> Column:
+    def add(total: Column, reverse: Column, at: Column) -> Column:
         digit = F.substr(reverse, at, F.lit(1)).cast("int")
         twice = F.when(digit > 4, digit * 2 - 9).otherwise(digit * 2)
         return total + F.when(at % 2 == (1 if doubled_last else 0), twice).otherwise(digit)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
+    return let(
+        F.reverse(digits),
+        lambda reverse: F.aggregate(F.sequence(F.lit(1), F.length(reverse)), F.lit(0), lambda total, at: add(total, reverse, at)),
+    )
 
 
 def _card(mention: Column, seed: Column) -> Column:
     """Keeps the first digit, and the check digit is right if it was."""
-    drawn = F.concat(F.substr(mention, F.lit(1), F.lit(1)), F.substr(recode(mention, seed), F.lit(2), F.length(mention)))
-    payload = F.regexp_replace(F.substr(drawn, F.lit(1), F.length(drawn) - 1), "[^0-9]", "")
-    check = F.pmod(10 - F.pmod(_luhn(payload, True), F.lit(10)), F.lit(10)).cast("string")
     valid = _luhn(F.regexp_replace(mention, "[^0-9]", ""), False) % 10 == 0
-    return F.when(valid, F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
+
+    def checked(drawn: Column) -> Column:
+        payload = F.regexp_replace(F.substr(drawn, F.lit(1), F.length(drawn) - 1), "[^0-9]", "")
+        check = F.pmod(10 - F.pmod(_luhn(payload, True), F.lit(10)), F.lit(10)).cast("string")
+        return F.when(valid, F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
+
+    recoded = F.substr(recode(mention, seed), F.lit(2), F.length(mention))
+    return let(F.concat(F.substr(mention, F.lit(1), F.lit(1)), recoded), checked)
 
 
 def _name(mention: Column, seed: Column) -> Column:
-    stream = _stream(seed, F.lit(1))
     title, bare = F.regexp_extract(mention, rf"^(?:{_TITLES})\.? ", 0), F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")
-    script = F.when(bare.rlike(r"^\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
 
-    def by_script(make) -> Column:
-        return F.when(script == "cyrillic", make("cyrillic")).otherwise(make("latin"))
+    def drawn(given: Column) -> Column:
+        def pick(values: list[str], index: int) -> Column:
+            return _pick(values, _draw(given["stream"], F.lit(index)))
 
-    gender = _gender(mention)
-    first = by_script(
-        lambda s: F.when(gender == "f", _pick(FIRST_NAMES[s, "f"], _draw(stream, F.lit(0)))).otherwise(_pick(FIRST_NAMES[s, "m"], _draw(stream, F.lit(0))))
-    )
-    family = by_script(lambda s: F.initcap(F.concat(*(_pick(SYLLABLES[s], _draw(stream, F.lit(i))) for i in range(1, 6)))))
-    return F.concat(title, F.when(bare.contains(" "), F.concat_ws(" ", first, family)).otherwise(family))
+        def in_script(script: str) -> Column:
+            first = F.when(given["gender"] == "f", pick(FIRST_NAMES[script, "f"], 0)).otherwise(pick(FIRST_NAMES[script, "m"], 0))
+            family = F.initcap(F.concat(*(pick(SYLLABLES[script], i) for i in range(1, 6))))
+            return F.when(given["bare"].contains(" "), F.concat_ws(" ", first, family)).otherwise(family)
 
+        name = F.when(given["bare"].rlike(r"^\p{IsCyrillic}"), in_script("cyrillic")).otherwise(in_script("latin"))
+        return F.concat(given["title"], name)
 
-def surrogate(kind: Column, mention: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of a mention."""
+    stream = _stream(seed, F.lit(1))
+    return let(F.struct(title.alias("title"), bare.alias("bare"), _gender(mention).alias("gender"), stream.alias("stream")), drawn)
 
-    def seed(of: Column, salt: str = "") -> Column:
-        return F.concat(F.lit(f"{key}|{salt}|"), kind, F.lit("|"), of, F.lit("|"), attempt.cast("string"))
 
-    entity = entity_of(kind, mention)
+def surrogate(kind: Column, mention: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
+    """The replacement of a mention of an entity."""
+    seed = F.concat(F.lit(f"{key}||"), kind, F.lit("|"), entity, F.lit("|"), attempt.cast("string"))
     local, domain = F.substring_index(mention, "@", 1), F.substring_index(mention, "@", -1)
     last = F.substring_index(domain, ".", -1)
     labels = F.substr(domain, F.lit(1), F.length(domain) - F.length(last))
     host = F.concat(F.lit(f"{key}|domain|"), F.lower(domain))  # one domain stays one domain
-    octets = _stream(seed(entity), F.lit(1))
-    value = _secret(mention)
+    address = let(
+        _stream(seed, F.lit(1)),
+        lambda stream: F.array_join(F.transform(F.split(mention, r"\."), lambda _, i: (_draw(stream, i) % 254 + 1).cast("string")), "."),
+    )
     code = F.regexp_extract(mention, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+
+    def after(start: Column) -> Column:
+        """The mention from its beginning, kept as it is, and the rest recoded."""
+        return F.concat(start, recode(F.substr(mention, F.length(start) + 1, F.length(mention)), seed))
+
     return (
-        F.when(kind == "email", F.concat(recode(local, seed(entity)), F.lit("@"), recode(labels, host), last))
-        .when(
-            kind == "address",
-            F.array_join(F.transform(F.split(mention, r"\."), lambda _, i: (_draw(octets, i) % 254 + 1).cast("string")), "."),
-        )
-        .when(kind == "name", _name(mention, seed(entity)))
-        .when(kind == "secret", F.concat(F.substr(mention, F.lit(1), F.length(mention) - F.length(value)), recode(value, seed(entity))))
-        .when(kind == "access_key", F.concat(F.lit("AKIA"), recode(F.substr(mention, F.lit(5), F.lit(16)), seed(entity))))
-        .when(kind == "account", F.concat(F.substr(mention, F.lit(1), F.lit(2)), recode(F.substr(mention, F.lit(3), F.length(mention)), seed(entity))))
-        .when(kind == "card", _card(mention, seed(entity)))
-        .when(kind == "phone", F.concat(code, recode(F.substr(mention, F.length(code) + 1, F.length(mention)), seed(entity))))
-        .otherwise(recode(mention, seed(entity)))
+        F.when(kind == "email", F.concat(recode(local, seed), F.lit("@"), recode(labels, host), last))
+        .when(kind == "address", address)
+        .when(kind == "name", _name(mention, seed))
+        .when(kind == "card", _card(mention, seed))
+        .when(kind == "secret", after(F.substr(mention, F.lit(1), F.length(mention) - F.length(_secret(mention)))))
+        .when(kind == "access_key", after(F.lit("AKIA")))
+        .when(kind == "account", after(F.substr(mention, F.lit(1), F.lit(2))))
+        .when(kind == "phone", after(code))
+        .otherwise(recode(mention, seed))
     )
 
 
@@ -215,8 +231,8 @@ def retries(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     entities = materialize(entities, "entities")
     settled, pending, attempt = None, entities, 0
     while True:
-        drawn = surrogate(F.col("kind"), mention, F.lit(attempt), key)
-        drawn = pending.withColumn("surrogate", entity_of(F.col("kind"), drawn)).withColumn("attempt", F.lit(attempt))
+        drawn = surrogate(F.col("kind"), mention, F.col("entity"), F.lit(attempt), key)
+        drawn = pending.withColumn("surrogate", let(drawn, lambda new: entity_of(F.col("kind"), new))).withColumn("attempt", F.lit(attempt))
         taken = entities.select("kind", F.col("entity").alias("surrogate"))
         if settled is not None:
             taken = taken.unionByName(settled.select("kind", "surrogate"))
@@ -250,9 +266,11 @@ def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text") -> Dat
         attempts = held["attempts_"]
 
     def one(mention: Column) -> Column:
-        kind = kind_of(mention)
-        known = F.element_at(attempts, F.concat_ws("|", kind, entity_of(kind, mention)))
-        return surrogate(kind, mention, F.coalesce(known, F.lit(0)), key)
+        def with_entity(kind: Column, entity: Column) -> Column:
+            known = F.element_at(attempts, F.concat_ws("|", kind, entity))
+            return surrogate(kind, mention, entity, F.coalesce(known, F.lit(0)), key)
+
+        return let(kind_of(mention), lambda kind: let(entity_of(kind, mention), lambda entity: with_entity(kind, entity)))
 
     news = F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), one)
     parts = F.split(body, ANY, -1)

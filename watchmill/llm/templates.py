@@ -15,7 +15,6 @@ import html as references
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
