@@ -40,19 +40,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 class WordCache(dict):
-    """What a function gives for words met before, at most ``limit`` of them; a full cache starts anew.
+    """What a function gives for words met before.
 
-    Words repeat, so a worker meets most of them again. The result never depends on what is kept.
+    Words repeat, so a worker meets most of them again. When ``limit`` words are kept, they become the old ones and those not
+    met again are let go with the next change, so at most twice as many are held. The result never depends on what is kept.
     """
 
-    def __init__(self, function: Callable[[str], bytes], limit: int = 200_000):
+    def __init__(self, function: Callable, limit: int = 250_000):
         super().__init__()
-        self.function, self.limit = function, limit
+        self.function, self.limit, self.old = function, limit, {}
 
-    def __missing__(self, word: str) -> bytes:
-        value = self.function(word)
+    def __missing__(self, word: str):
+        value = self.old.get(word)
+        if value is None:
+            value = self.function(word)
         if len(word) <= 64:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[word] = value
         return value

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from watchmill.llm.common import WordCache, map_frames, table, texts
 SPACE = "▁"
 #: Fixed values of the model format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+#: Words of up to so many characters are merged by looking through their pairs.
+SHORT = 200
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -110,7 +113,7 @@ class PieceModel:
         word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         whole = re.compile(r"(?s:.+)")
         self.words = word if all(word.fullmatch(p) for p in self.ids) else whole
-        self.known = WordCache(self._merge)
+        self.known, self.packed = WordCache(self._merge), WordCache(self._pack)
 
     def normalize(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
         """The normalised text, and for each of its bytes where the original bytes it comes from begin and end."""
@@ -148,6 +151,34 @@ class PieceModel:
 
     def _merge(self, word: str) -> bytes:
         """Ids of one word, each with the bytes it takes of the normalised text in its upper half."""
+        parts = self._merge_short(word) if len(word) <= SHORT else self._merge_long(word)
+        return b"".join(map(self.packed.__getitem__, parts))
+
+    def _pack(self, part: str) -> bytes:
+        if part in self.ids:
+            numbers = [self.ids[part] | len(part.encode()) << 32]
+        elif self.fallback:
+            numbers = [self.byte_ids[b] | 1 << 32 for b in part.encode()]
+        else:
+            numbers = [self.unknown | len(part.encode()) << 32]
+        return np.array(numbers, dtype="<i8").tobytes()
+
+    def _merge_short(self, word: str) -> list[str]:
+        """Merge the best pair, the first of equals, until none is known."""
+        parts, known, never = list(word), self.rank.get, math.inf
+        ranks = [known(a + b, never) for a, b in zip(word, word[1:])]
+        while ranks and (best := min(ranks)) < never:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = known(parts[i - 1] + parts[i], never)
+            if i < len(ranks):
+                ranks[i] = known(parts[i] + parts[i + 1], never)
+        return parts
+
+    def _merge_long(self, word: str) -> list[str]:
+        """The same in linear-logarithmic time: pairs wait in a heap, and those that a merge has overtaken are skipped."""
         parts: list[str | None] = list(word)
         n, rank, heap = len(parts), self.rank, []
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -168,17 +199,7 @@ class PieceModel:
                     heapq.heappush(heap, (rank[longer], i, k, longer))
             if (h := before[i]) >= 0 and (longer := parts[h] + pair) in rank:
                 heapq.heappush(heap, (rank[longer], h, i, longer))
-        out = []
-        for part in parts:
-            if part is None:
-                continue
-            if part in self.ids:
-                out.append(self.ids[part] | len(part.encode()) << 32)
-            elif self.fallback:
-                out += [self.byte_ids[b] | 1 << 32 for b in part.encode()]
-            else:
-                out.append(self.unknown | len(part.encode()) << 32)
-        return np.array(out, dtype="<i8").tobytes()
+        return [part for part in parts if part is not None]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and where the original bytes of each piece begin and end."""
