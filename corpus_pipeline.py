@@ -1,23 +1,65 @@
-"""The corpus pipeline: from raw documents to packed training sequences, in stages that are written one by one."""
+"""The corpus pipeline: from raw documents to packed training sequences, in stages that are written one by one.
+
+Documents in no learned language go, toxic ones go, of near duplicates one stays, personal data gets surrogates, and what is
+left is packed. Every stage but the last returns the columns of its input.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from watchmill.llm import language, simhash, surrogates, toxicity
 from watchmill.llm.common import materialize, table
 from watchmill.llm.packing import pack_documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter, and null ones; the model is learned from the rows at hand."""
+    model = language.learn(docs.select("doc_id", "text", "lang"))
+    judged = language.language_of(F.col("text"), model, spark)
+    return docs.where(judged["lang_pred"] != language.UNKNOWN)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts that are more likely toxic than not; the model is learned from the labelled rows at hand."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    judged = toxicity.severity_of(F.col("text"), model, spark)
+    return docs.where(~judged["toxic"])
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates only the document with the smallest id stays; rows without an id stay too."""
+    found = simhash.near_duplicates(docs)
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Surrogates for personal data; n_chars follows the text."""
+    replaced = surrogates.replace_entities(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        replaced = replaced.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
+    return replaced
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, packed into sequences."""
     return pack_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", in_a_language),
+    ("toxicity", not_toxic),
+    ("near-duplicates", one_of_each),
+    ("personal-data", private),
+    ("packing", packed),
+]
 #: Models, fingerprints and tokenizers cannot be said in SQL; tests/llm holds the rows against a brute-force version.
 ORACLE_SQL: str | None = None
 
@@ -25,5 +67,5 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,6 +12,9 @@ from watchmill.sources.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Rows given to a function at once.
+AT_ONCE = 500
+
 __all__ = ["Query", "WordCache", "let", "map_frames", "materialize", "table", "texts"]
 
 
@@ -25,11 +28,12 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def map_frames(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply a function to every Arrow batch of a frame."""
+    """Apply a function to all rows of a frame, some hundred at a time, so that what it makes of them stays small."""
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield function(frame)
+            for start in range(0, len(frame), AT_ONCE):
+                yield function(frame.iloc[start : start + AT_ONCE].reset_index(drop=True))
 
     return df.mapInPandas(over, schema)
 
@@ -46,7 +50,7 @@ class WordCache(dict):
     met again are let go with the next change, so at most twice as many are held. The result never depends on what is kept.
     """
 
-    def __init__(self, function: Callable, limit: int = 250_000):
+    def __init__(self, function: Callable, limit: int = 150_000):
         super().__init__()
         self.function, self.limit, self.old = function, limit, {}
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchmill.llm.common import map_frames, table, texts
@@ -120,19 +120,25 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
     return LanguageModel(languages, word_rows, gram_rows, np.nan_to_num(word_logs, nan=math.log(SMOOTHING)), np.nan_to_num(gram_logs, nan=math.log(SMOOTHING)))
 
 
+def language_of(text: Column, model: LanguageModel, spark: SparkSession) -> Column:
+    """struct<lang_pred, score> of a text column; texts without a letter, and null ones, are ``und`` at 0."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def judge(found: pd.Series) -> pd.DataFrame:
+        judged = [shared.value.predict(t) for t in found]
+        return pd.DataFrame({"lang_pred": [lang for lang, _ in judged], "score": [float(score) for _, score in judged]})
+
+    return judge(F.coalesce(text, F.lit("")))
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) for every whole text; texts without a letter, and null ones, are ``und`` at 0.
+    """doc_id, lang_pred and score (0 to 1) for every whole text.
 
     Only the text is looked at. Repeated rows and rows without doc_id are judged as they come; extra columns are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def over(frame: pd.DataFrame) -> pd.DataFrame:
-        judged = [shared.value.predict(text) for text in frame["text"]]
-        out = pd.DataFrame(judged, columns=["lang_pred", "score"], index=frame.index)
-        return pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64")}).join(out.astype({"score": "float64", "lang_pred": object}))
-
-    return map_frames(texts(docs), over, "doc_id long, lang_pred string, score double")
+    judged = texts(docs).select("doc_id", language_of(F.col("text"), model, docs.sparkSession).alias("judged"))
+    return judged.select("doc_id", "judged.lang_pred", "judged.score")
 
 
 def identify(docs: DataFrame) -> DataFrame:

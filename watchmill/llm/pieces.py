@@ -109,12 +109,27 @@ class PieceModel:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, kind) in enumerate(zip(self.pieces, kinds)) if kind == BYTE}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.silent = {i for i, kind in enumerate(kinds) if kind == CONTROL}
-        # No pair is merged across the end of a word if no piece holds a space sign after another character.
-        word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        whole = re.compile(r"(?s:.+)")
-        self.words = word if all(word.fullmatch(p) for p in self.ids) else whole
+        space = lambda text: text.replace(SPACE, " ").encode()
+        self.surfaces = [space(p) if kind == NORMAL else b"" for p, kind in zip(self.pieces, kinds)]
+        self.surfaces[self.unknown] = space(self.unknown_text)
+        for i, byte in self.byte_of.items():
+            self.surfaces[i] = bytes([byte])
+        self.words = self._cuts()
         self.known, self.packed = WordCache(self._merge), WordCache(self._pack)
 
+    def _cuts(self) -> re.Pattern:
+        """Finds parts of a text that can be merged by themselves: no piece goes beyond one of them.
+
+        Parts end where the kind of character changes, or else before space signs, if every piece is one such part.
+        """
+        letter = r"[^\W\d_" + "".join(sorted(re.escape(c) for c in set("".join(self.ids)) if c.isalnum() and not c.isalpha())) + "]"
+        kinds = re.compile(f"{SPACE}*(?:{letter}+|(?:(?!{letter})[^{SPACE}])+)|{SPACE}+", re.DOTALL)
+        spaces = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
+        for pattern in (kinds, spaces):
+            if all(pattern.fullmatch(p) and pattern.match(p).end() == len(p) for p in self.ids):
+                return pattern
+        return re.compile(".+", re.DOTALL)
+
     def normalize(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
         """The normalised text, and for each of its bytes where the original bytes it comes from begin and end."""
         raw = text.encode()
@@ -214,30 +229,28 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control pieces are silent, bytes that are no valid character become U+FFFD."""
-        parts, pieces = [], self.pieces
-        first = 0
-        while first < len(ids) and ids[first] in self.silent:
-            first += 1
-        if self.byte_of.keys().isdisjoint(ids) and self.unknown not in ids and self.silent.isdisjoint(ids):
-            parts = list(map(pieces.__getitem__, ids))
-            text = "".join(parts)
+        raw = b"".join(map(self.surfaces.__getitem__, ids))
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            text = self._decode_broken(ids)
         else:
-            held = bytearray()
-            for i in [*ids, -1]:
-                if i in self.byte_of:
-                    held.append(self.byte_of[i])
-                    continue
-                if held:
-                    parts.append(_characters(bytes(held)))
-                    held.clear()
-                if i == self.unknown:
-                    parts.append(self.unknown_text)
-                elif i >= 0 and i not in self.silent:
-                    parts.append(pieces[i])
-            text = "".join(parts)
-        if first < len(ids) and self.kinds[ids[first]] == NORMAL and (self.prefix or self.squeeze):
-            text = text.lstrip(SPACE) if self.squeeze else text.removeprefix(SPACE)
-        return text.replace(SPACE, " ")
+            text = text.replace(SPACE, " ")
+        first = next((i for i in ids if i not in self.silent), self.unknown)
+        if self.kinds[first] == NORMAL and (self.prefix or self.squeeze):
+            text = text.lstrip(" ") if self.squeeze else text.removeprefix(" ")
+        return text
+
+    def _decode_broken(self, ids: list[int]) -> str:
+        """Runs of byte pieces are decoded by themselves, so that broken ones do not spoil their neighbours."""
+        parts, held = [], bytearray()
+        for i in [*ids, self.unknown]:
+            if i in self.byte_of:
+                held.append(self.byte_of[i])
+                continue
+            parts += [_characters(bytes(held)), self.surfaces[i].decode()]
+            held.clear()
+        return "".join(parts[:-1]).replace(SPACE, " ")
 
 
 def _characters(raw: bytes) -> str:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchmill.llm.common import WordCache, map_frames, materialize, table, texts
@@ -132,24 +132,22 @@ def learn(docs: DataFrame, labels: DataFrame, per_kind: int = PER_KIND) -> Sever
     return model
 
 
-def grade(docs: DataFrame, model: SeverityModel) -> DataFrame:
-    """doc_id, severity (expected grade), grade (likeliest), p_toxic (chance of any grade above 0) and toxic (p_toxic at least
-    a half) for every whole text.
+def severity_of(text: Column, model: SeverityModel, spark: SparkSession) -> Column:
+    """struct<severity, grade, p_toxic, toxic> of a text column; a null text counts as empty.
 
-    A null text counts as empty. Repeated rows and rows without doc_id are judged as they come; extra columns are left out.
-    Without labels of both kinds nothing is toxic.
+    severity is the expected grade, grade the likeliest, p_toxic the chance of any grade above 0; toxic is p_toxic of at least
+    a half.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    caches: dict[int, WordCache] = {}
-
-    def over(frame: pd.DataFrame) -> pd.DataFrame:
-        judge = shared.value
-        if not caches:
-            caches[0] = judge.known()
-        chances = [judge.probabilities(count_features(text, caches[0])) for text in frame["text"]]
+    shared = spark.sparkContext.broadcast(model)
+    kept: list[WordCache] = []
+
+    @F.pandas_udf("severity double, grade int, p_toxic double, toxic boolean")
+    def judge(found: pd.Series) -> pd.DataFrame:
+        if not kept:
+            kept.append(shared.value.known())
+        chances = [shared.value.probabilities(count_features(t, kept[0])) for t in found]
         return pd.DataFrame(
             {
-                "doc_id": frame["doc_id"].astype("Int64"),
                 "severity": [float(p @ np.arange(len(p))) for p in chances],
                 "grade": [int(p.argmax()) for p in chances],
                 "p_toxic": [float(1 - p[0]) for p in chances],
@@ -157,7 +155,17 @@ def grade(docs: DataFrame, model: SeverityModel) -> DataFrame:
             }
         )
 
-    return map_frames(texts(docs), over, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
+    return judge(F.coalesce(text, F.lit("")))
+
+
+def grade(docs: DataFrame, model: SeverityModel) -> DataFrame:
+    """doc_id, severity, grade, p_toxic and toxic of every whole text.
+
+    Repeated rows and rows without doc_id are judged as they come; extra columns are left out. Without labels of both kinds
+    nothing is toxic.
+    """
+    judged = texts(docs).select("doc_id", severity_of(F.col("text"), model, docs.sparkSession).alias("judged"))
+    return judged.select("doc_id", "judged.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
