@@ -61,7 +61,7 @@ def test_compiled_character_maps_are_followed_by_longest_prefix(rule):
         normal, starts, stops = model.normalize(text)
         assert normal == normalizer.normalize(text)
         assert len(starts) == len(stops) == len(normal.encode())
-        assert all(0 <= a < b <= len(text.encode()) for a, b in zip(starts, stops))
+        assert all(0 <= a <= b <= len(text.encode()) for a, b in zip(starts, stops))
         assert list(starts) == sorted(starts)
 
 

@@ -66,10 +66,10 @@ class Node:
 
 @dataclass
 class Parsed:
-    """What a page is made of: how often each tag path opens, and its texts with path, block number and whether named away."""
+    """What a page is made of: how often each tag path opens, and the texts that are kept, with path and block number."""
 
     tags: Counter = field(default_factory=Counter)
-    texts: list[tuple[str, int, str, bool]] = field(default_factory=list)
+    texts: list[tuple[str, int, str]] = field(default_factory=list)
 
 
 def _named(tag: str, rest: str) -> tuple[str, bool]:
@@ -90,14 +90,15 @@ def parse(html: str | None) -> Parsed:
     for part in PARTS.finditer(html or ""):
         text, tag = part["text"], part["tag"]
         if text is not None:
-            if stack and (stack[-1].dropped or not text.strip()) and not (text.strip() == "" and not stack[-1].dropped):
-                continue
-            page.texts.append((stack[-1].path if stack else "", block, references.unescape(text), bool(stack) and stack[-1].dropped))
+            if not stack or not stack[-1].dropped:
+                page.texts.append((stack[-1].path if stack else "", block, references.unescape(text)))
             continue
         if tag is None:
             continue
         tag = tag.lower()
         block += tag in BLOCKS
+        if tag == "br" and stack and not stack[-1].dropped:
+            page.texts.append((stack[-1].path, block, " "))
         if part["end"]:
             if any(node.tag == tag for node in stack):
                 while stack.pop().tag != tag:
@@ -124,9 +125,7 @@ def _page_tokens(html: str | None) -> tuple[Counter, Counter]:
     """Occurrences of every token of a page, and the characters of kept text below every tag path."""
     page = parse(html)
     tokens, chars = Counter({f"<{path}": n for path, n in page.tags.items()}), Counter()
-    for path, _, text, dropped in page.texts:
-        if dropped:
-            continue
+    for path, _, text in page.texts:
         words = text.split()
         tokens.update(f"{path}>{word}" for word in words)
         size, at = sum(map(len, words)), path
@@ -200,11 +199,11 @@ def extract_page(html: str | None, main: str | None, template_words: frozenset[s
     A page without that slot gives all its kept text.
     """
     page = parse(html)
-    inside = [t for t in page.texts if not t[3] and main and (t[0] == main or t[0].startswith(f"{main}/"))]
+    inside = [t for t in page.texts if main and (t[0] == main or t[0].startswith(f"{main}/"))]
     if not any(t[2].strip() for t in inside):
-        inside = [t for t in page.texts if not t[3]]
+        inside = page.texts
     lines, blocks = [], {}
-    for path, block, text, _ in inside:
+    for path, block, text in inside:
         blocks.setdefault(block, []).append((path, text))
     for parts in blocks.values():
         words = "".join(text for _, text in parts).split()

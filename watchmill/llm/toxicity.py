@@ -3,8 +3,8 @@
 One weight vector serves all thresholds: the chance of a grade of at most j is the logistic function of threshold j less the
 weighted sum, and the thresholds are kept in order. The output is the expected grade.
 
-The labels tell toxic documents only from others, so toxic documents are graded by how thickly they hold words that occur
-almost only in toxic ones: grade 1 below the median of toxic documents, grade 2 from there on; all others have grade 0.
+The labels tell toxic documents only from others, so toxic documents are graded by how many words they hold that occur almost
+only in toxic ones: grade 2 above the median of toxic documents, else grade 1; all others have grade 0.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Besides the word itself, its beginnings of these lengths are features.
 BEGINNINGS = (4, 5, 6)
 #: Bounds of learning: labelled documents of either kind, features kept, documents that a feature has to be in.
-PER_KIND, FEATURES, SEEN, STEPS, RIDGE = 3000, 2000, 3, 400, 0.002
-#: A feature marks toxic documents if it is this many standard errors more common there, and this share of its documents is.
-MARKS, MARKED_SHARE = 3.0, 0.9
+PER_KIND, FEATURES, SEEN, STEPS, RIDGE = 4000, 1000, 3, 400, 2e-5
+#: Only features are kept of whose sampled documents this share is toxic, those first that are by most standard errors more
+#: common there. What does not tell toxic documents would add up to noise in long ones.
+MARKED_SHARE = 0.9
 
 
 def features_of(word: str) -> list[str]:
@@ -109,24 +110,24 @@ def learn(docs: DataFrame, labels: DataFrame, per_kind: int = PER_KIND) -> Sever
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     odds = F.log(a / (sizes[True] + 1 - a)) - F.log(b / (sizes[False] + 1 - b))
     scored = counted.where(F.col("n") >= SEEN).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    chosen = scored.orderBy(F.abs("z").desc(), "feature").limit(FEATURES).toPandas()
+    marked = scored.where((F.col("a") >= MARKED_SHARE * F.col("n")) & (F.col("z") > 0))
+    chosen = marked.orderBy(F.col("z").desc(), "feature").limit(FEATURES).toPandas()
     model = SeverityModel({f: i for i, f in enumerate(chosen["feature"])})
-    marks = set(chosen[(chosen["z"] >= MARKS) & (chosen["a"] >= MARKED_SHARE * chosen["n"]) & chosen["feature"].str.endswith("$")].index)
+    words = set(chosen[chosen["feature"].str.endswith("$")].index)
 
     def rows(frame: pd.DataFrame) -> pd.DataFrame:
         known, out = model.known(), []
         for text, toxic in zip(frame["text"], frame["toxic"]):
             counts = count_features(text, known)
-            thick = sum(n for row, n in counts.items() if row in marks) / max(1, len(WORDS.findall(text)))
-            out.append((int(toxic), thick, list(counts), [math.log1p(n) for n in counts.values()]))
-        return pd.DataFrame(out, columns=["toxic", "thick", "at", "value"])
+            out.append((int(toxic), sum(n for row, n in counts.items() if row in words), list(counts), [math.log1p(n) for n in counts.values()]))
+        return pd.DataFrame(out, columns=["toxic", "marks", "at", "value"])
 
-    drawn = map_frames(sample, rows, "toxic int, thick double, at array<int>, value array<double>").collect()
+    drawn = map_frames(sample, rows, "toxic int, marks int, at array<int>, value array<double>").collect()
     x, grades = np.zeros((len(drawn), len(chosen))), np.zeros(len(drawn), dtype=np.int64)
-    middle = float(np.median([r["thick"] for r in drawn if r["toxic"]]))
+    middle = float(np.median([r["marks"] for r in drawn if r["toxic"]]))
     for i, row in enumerate(drawn):
         x[i, row["at"]] = row["value"]
-        grades[i] = (1 + (row["thick"] >= middle)) if row["toxic"] else 0
+        grades[i] = (1 + (row["marks"] > middle)) if row["toxic"] else 0
     grades = np.unique(grades, return_inverse=True)[1]
     model.weights, model.thresholds = fit_cumulative_link(x, grades, int(grades.max()) + 1)
     return model
