@@ -50,7 +50,7 @@ class WordCache(dict):
     met again are let go with the next change, so at most twice as many are held. The result never depends on what is kept.
     """
 
-    def __init__(self, function: Callable, limit: int = 300_000):
+    def __init__(self, function: Callable, limit: int = 500_000):
         super().__init__()
         self.function, self.limit, self.old = function, limit, {}
 
