@@ -188,6 +188,28 @@ def profile_nested_and_text(spark, sf):
     )
 
 
+@check("profile_default_with_nulls", profile_sql(SEGMENTED, None, [], [], ["c_nationkey"], ["segment"]))
+def profile_default_nulls(spark, sf):
+    """A1 as it is by default: NULL is no value in the approximate distinct counts, which are exact at this size."""
+    monitor = Monitor("main.sales.customer", "SNAPSHOT", granularities=(), columns=("c_nationkey", "segment"))
+    return flat_profile(profile(segmented(spark, sf), monitor))
+
+
+@check(
+    "profile_map_column",
+    "SELECT 'props' AS column_name, count(*) AS record_count, count(*) FILTER (WHERE user_id % 5 = 0) AS null_count, "
+    "count(DISTINCT event_type || (user_id % 3)) FILTER (WHERE user_id % 5 <> 0) AS distinct_count FROM events",
+)
+def profile_maps(spark, sf):
+    """A1: a map column, by default; maps that differ in the order of their entries are equal."""
+    kind, rest = (F.lit("kind"), F.col("event_type")), (F.lit("rest"), (F.col("user_id") % 3).cast("string"))
+    props = F.when(F.col("event_id") % 2 == 0, F.create_map(*kind, *rest)).otherwise(F.create_map(*rest, *kind))
+    events = table(spark, sf, "events").select(F.when(F.col("user_id") % 5 != 0, props).alias("props"))
+    monitor = Monitor("main.web.props", "SNAPSHOT", granularities=())
+    rows = flat_profile(profile(events, monitor)).filter("column_name = 'props'")
+    return rows.select("column_name", "record_count", "null_count", "distinct_count")
+
+
 @check(
     "profile_baseline_log",
     profile_sql(
@@ -214,9 +236,9 @@ def profile_sketch(spark, sf):
     lines = table(spark, sf, "lineitem")
     near = flat_profile(profile(lines, monitor)).select("window_start", "column_name", F.col("distinct_count").alias("near"))
     true = flat_profile(profile(lines, monitor, distinct="exact"))
-    both = true.join(near, ["window_start", "column_name"]).filter("column_name != ':table'")
+    both = true.join(near, ["window_start", "column_name"], "full").filter("column_name != ':table'")
     close = F.abs(F.col("near") - F.col("distinct_count")) <= F.greatest(F.col("distinct_count") * 0.1, F.lit(1))
-    return both.groupBy("column_name").agg(F.bool_and(close).alias("close"))
+    return both.groupBy("column_name").agg(F.bool_and(F.coalesce(close, F.lit(False))).alias("close"))
 
 
 @check(
@@ -387,14 +409,62 @@ def drift_sketch(spark, sf):
         F.col("ks_statistic").alias("ks"),
         F.col("wasserstein_distance").alias("wd"),
     )
-    both = exact.join(near, ["window_start", "column_name"]).join(widths, "column_name")
+    both = exact.join(near, ["window_start", "column_name"], "full").join(widths, "column_name")
+
+    def always(close) -> F.Column:
+        return F.bool_and(F.coalesce(close, F.lit(False)))
+
     return both.groupBy("column_name").agg(
-        F.bool_and(F.abs(F.col("js") - F.col("js_distance")) < 0.02).alias("js_close"),
-        F.bool_and(F.abs(F.col("ks") - F.col("ks_statistic")) < 0.02).alias("ks_close"),
-        F.bool_and(F.abs(F.col("wd") - F.col("wasserstein_distance")) < 0.02 * F.col("width")).alias("wd_close"),
+        always(F.abs(F.col("js") - F.col("js_distance")) < 0.02).alias("js_close"),
+        always(F.abs(F.col("ks") - F.col("ks_statistic")) < 0.02).alias("ks_close"),
+        always(F.abs(F.col("wd") - F.col("wasserstein_distance")) < 0.02 * F.col("width")).alias("wd_close"),
     )
 
 
+#: Quantities with NaN and both infinities; in the first month there is nothing else.
+_ODD = (
+    "SELECT *, CASE WHEN l_shipdate < TIMESTAMP '1995-02-01' OR l_linenumber = 7 THEN 'NaN'::DOUBLE "
+    "WHEN l_linenumber = 6 AND l_discount > 0.05 THEN 'Infinity'::DOUBLE WHEN l_tax > 0.075 THEN '-Infinity'::DOUBLE "
+    "ELSE l_quantity END AS amount FROM lineitem"
+)
+
+
+def not_finite(spark: SparkSession, sf: str) -> DataFrame:
+    amount = (
+        F.when((F.col("l_shipdate") < F.expr("TIMESTAMP_NTZ'1995-02-01 00:00:00'")) | (F.col("l_linenumber") == 7), float("nan"))
+        .when((F.col("l_linenumber") == 6) & (F.col("l_discount") > 0.05), float("inf"))
+        .when(F.col("l_tax") > 0.075, float("-inf"))
+        .otherwise(F.col("l_quantity"))
+    )
+    return table(spark, sf, "lineitem").withColumn("amount", amount)
+
+
+@check(
+    "drift_consecutive_not_finite",
+    drift_sql(_ODD, "l_shipdate", ["1 month"], ["l_returnflag"], ["amount", "l_tax"], ["l_linestatus"]),
+)
+def drift_odd(spark, sf):
+    """NaN and the infinities count as categories beside the bins."""
+    columns = ("amount", "l_tax", "l_linestatus")
+    monitor = Monitor(_LINES.table, "TIMESERIES", "l_shipdate", ("1 month",), ("l_returnflag",), columns)
+    return flat_drift(consecutive_drift(not_finite(spark, sf), monitor))
+
+
+@check(
+    "drift_baseline_not_finite",
+    drift_sql(
+        _ODD, "l_shipdate", ["1 year"], ["l_returnflag"], ["amount", "l_tax"], ["l_linestatus"],
+        baseline=f"SELECT * FROM ({_ODD}) WHERE l_quantity < 30",
+    ),
+)
+def drift_baseline_odd(spark, sf):
+    """The same against a baseline."""
+    lines = not_finite(spark, sf)
+    columns = ("amount", "l_tax", "l_linestatus")
+    monitor = Monitor(_LINES.table, "TIMESERIES", "l_shipdate", ("1 year",), ("l_returnflag",), columns)
+    return flat_drift(baseline_drift(lines, lines.filter("l_quantity < 30"), monitor))
+
+
 # --- model quality ------------------------------------------------------------------------------------------------
 
 _CHANCE = Monitor(
@@ -452,7 +522,42 @@ def model_documents(spark, sf):
 )
 def model_confusion(spark, sf):
     """The confusion table of a three-class model."""
-    return confusion(_guessed(spark, sf), _STATUS).select(F.year("g.window_start").alias("y"), "label", "guess", "n")
+    return confusion(_guessed(spark, sf), _STATUS, False).select(F.year("g.window_start").alias("y"), "label", "guess", "n")
+
+
+_KINDS = {"whole_and_double": ("truth", "said"), "flag_and_whole": ("flag", "said_flag")}
+
+
+@check(
+    "model_classes_of_different_types",
+    "SELECT 'whole_and_double' AS kind, year(l_shipdate) AS y, round(avg(CASE WHEN l_quantity > 25 OR l_linenumber % 3 = 1 "
+    "THEN 1.0 ELSE 0.0 END) + 0.0000000234, 6) AS accuracy_score, true AS no_loss, true AS no_area FROM lineitem GROUP BY 2 UNION ALL "
+    "SELECT 'flag_and_whole', year(l_shipdate), round(avg(CASE WHEN (l_returnflag = 'R') = (l_quantity > 25) THEN 1.0 "
+    "ELSE 0.0 END) + 0.0000000234, 6), true, true FROM lineitem GROUP BY 2",
+)
+def model_types(spark, sf):
+    """Classes are compared by value whatever their types; without probabilities no log loss and no area."""
+    lines = table(spark, sf, "lineitem").withColumns(
+        {
+            "truth": F.col("l_linenumber") % 3,
+            "said": F.when(F.col("l_quantity") > 25, F.col("l_linenumber") % 3).otherwise(1).cast("double"),
+            "flag": F.col("l_returnflag") == "R",
+            "said_flag": (F.col("l_quantity") > 25).cast("int"),
+        }
+    )
+    parts = []
+    for kind, (label, said) in _KINDS.items():
+        monitor = Monitor("main.ml.kinds", "INFERENCE", "l_shipdate", ("1 year",), (), (), said, label)
+        parts.append(
+            performance(lines, monitor).select(
+                F.lit(kind).alias("kind"),
+                F.year("window.start").cast("bigint").alias("y"),
+                "accuracy_score",
+                F.col("log_loss").isNull().alias("no_loss"),
+                F.col("roc_auc_score").isNull().alias("no_area"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
 
 
 _STATUS = Monitor("main.ml.status", "INFERENCE", "o_orderdate", ("1 year",), (), (), "guess", "o_orderstatus")

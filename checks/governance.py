@@ -478,12 +478,12 @@ _POLICY = PolicySettings(
 @check(
     "policy_violations",
     f"{_CTE}, {_SETTINGS} SELECT 'naming_pattern' AS \"check\", full_name AS \"table\", "
-    "'Table name does not match required pattern ''main\\.nation_1''' AS message FROM s WHERE NOT starts_with(full_name, 'main.nation_1') "
-    "UNION ALL SELECT 'forbidden_pattern', full_name, 'Table name matches forbidden pattern ''.*_0000000\\d[13]$''' FROM s "
+    "'name misses the asked form: main\\.nation_1' AS message FROM s WHERE NOT starts_with(full_name, 'main.nation_1') "
+    "UNION ALL SELECT 'forbidden_pattern', full_name, 'name has a banned form: .*_0000000\\d[13]$' FROM s "
     "WHERE regexp_full_match(full_name, '.*_0000000[0-9][13]') "
-    "UNION ALL SELECT 'require_baseline', full_name, 'Baseline table required by policy but not configured' FROM s WHERE c_nationkey <= 5 "
-    "UNION ALL SELECT 'require_slicing', full_name, 'At least one slicing_expr required by policy' FROM s WHERE c_nationkey <= 12 "
-    "UNION ALL SELECT 'max_tables_per_config', '', 'Config has ' || count(*) || ' tables, max allowed is 10' FROM s HAVING count(*) > 10",
+    "UNION ALL SELECT 'require_baseline', full_name, 'no baseline is set' FROM s WHERE c_nationkey <= 5 "
+    "UNION ALL SELECT 'require_slicing', full_name, 'no slice is set' FROM s WHERE c_nationkey <= 12 "
+    "UNION ALL SELECT 'max_tables_per_config', '', 'tables: ' || count(*) || ', limit: 10' FROM s HAVING count(*) > 10",
 )
 def policy(spark, sf):
     """P23, P24"""
@@ -493,7 +493,7 @@ def policy(spark, sf):
 @check(
     "required_tag_violations",
     f"{_CTE}, {_SETTINGS} SELECT 'required_tags' AS \"check\", s.full_name AS \"table\", "
-    "'Required tag ''' || t.tag || ''' missing (not found in tags or per-table setting)' AS message FROM s JOIN e USING (full_name) "
+    "'tag without a value: ' || t.tag AS message FROM s JOIN e USING (full_name) "
     "CROSS JOIN (VALUES ('owner'), ('department')) t(tag) WHERE CASE t.tag WHEN 'owner' THEN set_owner IS NULL AND "
     "coalesce(trim(e.owner), '') = '' ELSE coalesce(trim(e.department), '') = '' END",
 )
@@ -510,7 +510,7 @@ def required_tags_estate(spark, sf):
     """P25: blank tags count as missing."""
     bare = inventory(spark, sf).select("full_name")
     rows = P.tag_violations(bare, inventory(spark, sf), ("owner",))
-    return rows.select("table", F.regexp_extract("message", "'(.*)'", 1).alias("tag"))
+    return rows.select("table", F.regexp_extract("message", ": (.*)$", 1).alias("tag"))
 
 
 @check(
@@ -711,9 +711,9 @@ def quota(spark, sf):
     "row_number() OVER (ORDER BY s.full_name) AS nth FROM s JOIN a USING (full_name) JOIN c USING (full_name)) "
     "SELECT full_name, CASE WHEN nth > 90 THEN 'skip_quota' WHEN c_nationkey = 6 OR (c_nationkey < 8 AND NOT "
     "list_contains(names, 'label')) THEN 'skip_column_missing' ELSE action END AS action, CASE WHEN nth > 90 THEN "
-    "'Monitor quota reached' WHEN c_nationkey = 6 THEN 'Column ''score'' (from prediction_column) not found' "
-    "WHEN c_nationkey < 8 AND NOT list_contains(names, 'label') THEN 'Column ''LABEL'' (from label_column) not found' "
-    "WHEN action = 'update' THEN 'config drift detected' WHEN action = 'no_change' THEN 'monitor config already in sync' "
+    "'over quota' WHEN c_nationkey = 6 THEN 'prediction_column names a missing column: score' "
+    "WHEN c_nationkey < 8 AND NOT list_contains(names, 'label') THEN 'label_column names a missing column: LABEL' "
+    "WHEN action = 'update' THEN 'settings differ' WHEN action = 'no_change' THEN 'settings agree' "
     "ELSE '' END AS reason FROM q",
 )
 def dry_run(spark, sf):
@@ -725,7 +725,7 @@ def dry_run(spark, sf):
 
 @check(
     "slice_columns_missing",
-    f"{_CTE}, {_SETTINGS} SELECT full_name, 'Slicing column ''region'' not found in table schema' AS warning FROM s WHERE c_nationkey > 12",
+    f"{_CTE}, {_SETTINGS} SELECT full_name, 'no such slice column: region' AS warning FROM s WHERE c_nationkey > 12",
 )
 def slices_missing(spark, sf):
     """Configured slices that no column stands for."""

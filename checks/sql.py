@@ -82,7 +82,8 @@ def drift(
 ) -> str:
     """Unrounded drift rows: consecutive windows, or every window against a baseline query."""
     number_counts = " UNION ALL ".join(
-        f"SELECT {KEYS}, '{c}' AS column_name, CAST({c} AS DOUBLE) + 0.0 AS v, CAST(NULL AS VARCHAR) AS t, count(*) AS n "
+        f"SELECT {KEYS}, '{c}' AS column_name, CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) + 0.0 END AS v, "
+        f"CASE WHEN NOT isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS VARCHAR) END AS t, count(*) AS n "
         f"FROM {{w}} WHERE {c} IS NOT NULL GROUP BY ALL"
         for c in numbers
     )
@@ -130,10 +131,11 @@ terms AS (SELECT {_PAIR}, is_text,
   np * pow(p - (p * np + q * nq) / (np + nq), 2) / ((p * np + q * nq) / (np + nq))
   + nq * pow(q - (p * np + q * nq) / (np + nq), 2) / ((p * np + q * nq) / (np + nq)) AS chi FROM cells),
 shares AS (SELECT {_PAIR}, sqrt(least(greatest(sum(js), 0), 1)) AS js, sum(psi) AS psi,
-  CASE WHEN bool_or(is_text) THEN sum(chi) END AS chi FROM terms GROUP BY ALL),
-walk AS (SELECT {_PAIR}, abs(sum(p / np - q / nq) OVER o) AS gap, lead(v) OVER o - v AS width
-  FROM usable WHERE v IS NOT NULL WINDOW o AS (PARTITION BY {_PAIR} ORDER BY v)),
-gaps AS (SELECT {_PAIR}, max(gap) AS ks, coalesce(sum(gap * width), 0) AS wd FROM walk GROUP BY ALL),
+  CASE WHEN max(column_name) IN ({", ".join(f"'{c}'" for c in texts) or "''"}) THEN sum(chi) END AS chi FROM terms GROUP BY ALL),
+finite AS (SELECT {_PAIR}, v, p / nullif(sum(p) OVER g, 0) - q / nullif(sum(q) OVER g, 0) AS step
+  FROM usable WHERE v IS NOT NULL WINDOW g AS (PARTITION BY {_PAIR})),
+walk AS (SELECT {_PAIR}, abs(sum(step) OVER o) AS gap, lead(v) OVER o - v AS width FROM finite WINDOW o AS (PARTITION BY {_PAIR} ORDER BY v)),
+gaps AS (SELECT {_PAIR}, max(gap) AS ks, CASE WHEN max(gap) IS NOT NULL THEN coalesce(sum(gap * width), 0) END AS wd FROM walk GROUP BY ALL),
 every_row AS (SELECT {KEYS}, n.column_name FROM pairs CROSS JOIN (VALUES {names}) n(column_name))
 SELECT a.ws AS window_start, a.we AS window_end, a.granularity, '{kind}' AS drift_type, a.slice_key, a.slice_value,
   a.column_name, s.js AS js_distance, g.ks AS ks_statistic, g.wd AS wasserstein_distance,

@@ -94,7 +94,7 @@ def stream_labels(spark, sf):
         F.col("o_orderstatus").alias("label"),
         F.col("o_orderdate").cast("timestamp").alias("labelled_at"),
     )
-    joined = join_late_labels(log, labels, "event_id", "at", "labelled_at", "3000 days")
+    joined = join_late_labels(log, labels, "event_id", "at", "labelled_at", "10 days", "3000 days")
     rows = streamed(spark, joined.select("event_id", "user_id", "label"), "late-labels")
     return rows.filter("label IS NOT NULL")
 

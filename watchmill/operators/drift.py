@@ -6,11 +6,15 @@ use ``running_totals``. No group is ever sorted, collected or joined in a single
 
 Numeric columns get js_distance and population_stability_index over ten equal bins between the smallest and the largest
 value of both sides (M6), the Kolmogorov-Smirnov statistic and the Wasserstein distance. Text and boolean columns get
-js_distance, population_stability_index and the chi-squared statistic over their values. NULL is no category.
+js_distance, population_stability_index and the chi-squared statistic over their values. NULL is no category. NaN and the
+infinities of a numeric column are three categories beside its bins; the Kolmogorov-Smirnov statistic and the Wasserstein
+distance compare the finite values, and are NULL where a side has none.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +29,6 @@ from watchmill.sources.scratch import materialize
 BINS = 10
 #: Share that stands in for an empty bin in the population stability index.
 SHARE_FLOOR = 1e-4
-_FINITE = "abs(number) < double('infinity')"
 _SCORES = ["js", "psi", "chi", "ks", "wd"]
 
 
@@ -72,14 +75,16 @@ def bin_of(value: Column, low: Column, high: Column) -> Column:
 
 # --- facts per group ----------------------------------------------------------------------------------------------
 
-_FACTS = ["size", "values", "low", "high"]
+_FACTS = ["size", "finite", "values", "low", "high"]
 
 
 def group_facts(counts: DataFrame) -> DataFrame:
-    """Rows (g, c, size, values, low, high): counted rows, distinct values and range per column of every group."""
-    usable = counts.filter(f"number IS NULL OR {_FINITE}")
-    return usable.groupBy("g", "c").agg(
+    """Rows (g, c, size, finite, values, low, high): counted rows, those with a finite number, distinct values and range per
+    column of every group.
+    """
+    return counts.groupBy("g", "c").agg(
         F.sum("n").alias("size"),
+        F.sum(F.when(F.col("number").isNotNull(), F.col("n")).otherwise(0)).alias("finite"),
         F.count("*").alias("values"),
         F.min("number").alias("low"),
         F.max("number").alias("high"),
@@ -87,43 +92,42 @@ def group_facts(counts: DataFrame) -> DataFrame:
 
 
 def _usable(counts: DataFrame) -> DataFrame:
-    return counts.filter(F.col("c") != ALL_ROWS).filter(f"number IS NULL OR {_FINITE}")
+    return counts.filter(F.col("c") != ALL_ROWS)
 
 
 # --- consecutive windows ------------------------------------------------------------------------------------------
 
 
 def previous_windows(facts: DataFrame) -> DataFrame:
-    """Rows (g, before, now, then) per group; ``before`` is the earlier non-empty window of the slice, ``now`` and
-    ``then`` hold the facts of all columns of the two windows.
+    """Rows (g, before) per group; ``before`` is the earlier non-empty window of the slice. Only the starts of the
+    windows are put in order, without the facts of their columns.
     """
-    one_row = facts.groupBy("g").agg(F.collect_list(F.struct("c", *_FACTS)).alias("now"))
     slices = Window.partitionBy("g.granularity", "g.slice", "g.slice_value").orderBy("g.window_start")
-    paired = one_row.select("g", "now", F.lag("g").over(slices).alias("before"), F.lag("now").over(slices).alias("then"))
-    return paired.filter("before IS NOT NULL")
+    starts = facts.filter(F.col("c") == ALL_ROWS).select("g")
+    return starts.withColumn("before", F.lag("g").over(slices)).filter("before IS NOT NULL")
 
 
 def _sides(facts: DataFrame, columns: int) -> DataFrame:
     """One row per (pair, column): sizes of both windows and the common range. ``g`` is the later window."""
     pairs = previous_windows(facts).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-
-    def fact(side: str) -> Column:
-        return F.get(F.filter(side, lambda entry: entry["c"] == F.col("c")), F.lit(0))
-
-    both = pairs.select("g", "before", "c", fact("now").alias("p"), fact("then").alias("q"))
-    return both.select(
+    side = F.struct(*_FACTS)
+    now = facts.select("g", "c", side.alias("p"))
+    then = facts.select(F.col("g").alias("before"), "c", side.alias("q"))
+    return pairs.join(now, ["g", "c"], "left").join(then, ["before", "c"], "left").select(
         "g",
         "before",
         "c",
         F.col("p.size").alias("size_p"),
         F.col("q.size").alias("size_q"),
+        F.col("p.finite").alias("finite_p"),
+        F.col("q.finite").alias("finite_q"),
         (F.col("p.values") + F.col("q.values")).alias("values"),
         F.least("p.low", "q.low").alias("low"),
         F.greatest("p.high", "q.high").alias("high"),
     )
 
 
-_SIDES = ["size_p", "size_q", "low", "high"]
+_SIDES = ["size_p", "size_q", "finite_p", "finite_q", "low", "high"]
 
 
 def _pair_counts(counts: DataFrame, sides: DataFrame, sizes: Sizes) -> DataFrame:
@@ -171,8 +175,8 @@ def _square(value: Column) -> Column:
 
 def _with_gaps(rows: DataFrame, grids: tuple[float, ...]) -> DataFrame:
     """Add the difference of the two running shares at each number, and the following number."""
-    gap = F.col("p") / F.col("size_p") - F.col("q") / F.col("size_q")
-    rows = rows.withColumn("gap", gap)
+    gap = F.try_divide("p", "finite_p") - F.try_divide("q", "finite_q")
+    rows = rows.withColumn("gap", F.when(F.col("number").isNotNull(), gap).otherwise(0.0))
     if not grids:
         return running_totals(rows, ["g", "c"], "number", ["gap"], ())
     numbers = running_totals(rows.filter("number IS NOT NULL"), ["g", "c"], "number", ["gap"], grids)
@@ -189,7 +193,7 @@ def _consecutive_scores(counts: DataFrame, columns: int) -> tuple[DataFrame, Dat
         rows = materialize(rows, "pair-counts")
     is_number, number = F.col("number").isNotNull(), F.col("number")
     cell = F.when(is_number, bin_of(number, F.col("low"), F.col("high")).cast("string")).otherwise(F.col("key"))
-    apart = F.when(is_number, F.abs("gap_upto"))
+    apart = F.when(is_number & (F.col("finite_p") > 0) & (F.col("finite_q") > 0), F.abs("gap_upto"))
     cells = _with_gaps(rows, sizes.grids).groupBy("g", "c", cell.alias("cell"), is_number.alias("is_number")).agg(
         *_cell_parts(),
         F.max(apart).alias("ks"),
@@ -265,13 +269,27 @@ def _axis(counts: DataFrame, baseline: DataFrame, pair: DataFrame) -> DataFrame:
 _WALK = ["inside", "first_area", "last", "last_area"]
 
 
-def _number_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: DataFrame, sizes: Sizes) -> DataFrame:
-    """M1, M2, M3, M5 against a numeric baseline, without copying the baseline to every window.
+def _cells_off_the_axis(odd: DataFrame, odd_baseline: DataFrame, sides: DataFrame) -> DataFrame:
+    """Cells of the values that no bin holds: NaN, both infinities, and all finite ones where the other side has none."""
+    cell = F.when(F.col("key") == "NaN", -1).when(F.col("key") == "Infinity", -2).otherwise(-3).alias("cell")
+    now = odd.select("g", "c", cell, F.col("n").alias("p"))
+    then = odd_baseline.select("s", "c", "key", "n").join(sides.select("g", "s", "c"), ["s", "c"]).select("g", "c", cell, F.col("n").alias("q"))
+    lone = sides.filter("finite_p = 0 OR finite_q = 0")
+    lone = lone.select("g", "c", F.lit(0).alias("cell"), F.col("finite_p").alias("p"), F.col("finite_q").alias("q"))
+    return now.unionByName(then, allowMissingColumns=True).unionByName(lone, allowMissingColumns=True)
+
+
+def _number_baseline_scores(
+    counts: DataFrame, baseline: DataFrame, sides: DataFrame, sizes: Sizes, odd: DataFrame, odd_baseline: DataFrame
+) -> DataFrame:
+    """M1, M2, M3, M5 against a numeric baseline, without copying the baseline to every window. The last two frames hold
+    the values that are not finite.
 
     Running totals of the baseline along the common axis give, at each value, its share G and the integral of G up to
     there; running totals inside the window give the window's share F.
     """
-    pair = sides.select("g", "s", "c", "size_p", "size_q", "low", "high")
+    sizes_q = F.col("finite_q").alias("size_q")
+    pair = sides.filter("finite_p > 0 AND finite_q > 0").select("g", "s", "c", F.col("finite_p").alias("size_p"), sizes_q, "low", "high")
     axis = _axis(counts, baseline, pair).withColumn("m", F.col("q") * F.col("number"))
     line = running_totals(axis, ["s", "c"], "number", ["q", "m"], sizes.grids, here=("q",)).filter("g IS NOT NULL")
     line = line.select("g", "s", "c", "number", "p", "edge", "q_upto", "q_here", "m_upto")
@@ -302,6 +320,7 @@ def _number_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: DataF
         F.sum(F.when(F.col("next_value").isNull(), F.col("area"))).alias("last_area"),
     )
     parts = binned.unionByName(_baseline_bins(marks, pair), allowMissingColumns=True)
+    parts = parts.unionByName(_cells_off_the_axis(odd, odd_baseline, sides), allowMissingColumns=True)
     cells = parts.groupBy("g", "c", "cell").agg(
         F.sum(F.coalesce("p", F.lit(0))).alias("p"),
         F.sum(F.coalesce("q", F.lit(0))).alias("q"),
@@ -309,14 +328,14 @@ def _number_baseline_scores(counts: DataFrame, baseline: DataFrame, sides: DataF
         *[F.sum(name).alias(name) for name in _WALK],
     )
     moments = baseline.groupBy("s", "c").agg(F.sum(F.col("number") * F.col("n")).alias("moment"))
-    facts = pair.join(moments, ["s", "c"]).select("g", "c", "size_p", "size_q", "moment")
+    facts = sides.join(moments, ["s", "c"], "left").select("g", "c", "size_p", "size_q", "finite_q", "moment")
     whole = cells.join(facts, ["g", "c"]).withColumn("is_number", F.lit(True))
     used = (F.col("p") > 0) | (F.col("q") > 0)
     scores = whole.filter(used).groupBy("g", "c").agg(
         *_share_scores(),
         F.max("ks").alias("ks"),
         *[F.sum(name).alias(name) for name in _WALK],
-        F.max(F.col("moment") / F.col("size_q")).alias("mean_q"),
+        F.max(F.try_divide("moment", "finite_q")).alias("mean_q"),
     )
     # Left of the first value F is zero, right of the last one it is one: there the areas below and above G remain.
     right = F.greatest(F.col("mean_q") - F.col("last") + F.col("last_area"), F.lit(0.0))
@@ -421,6 +440,8 @@ def _baseline_scores(counts: DataFrame, baseline: DataFrame, fields: list[T.Stru
             "c",
             "size_p",
             "size_q",
+            "finite_p",
+            "finite_q",
             "values_p",
             "values_q",
             F.least("low_p", "low_q").alias("low"),
@@ -434,7 +455,7 @@ def _baseline_scores(counts: DataFrame, baseline: DataFrame, fields: list[T.Stru
     sizes = Sizes(measured.groups or 0, measured.largest or 0)
 
     def numbers(df: DataFrame, *keys: str) -> DataFrame:
-        return df.filter("number IS NOT NULL").filter(_FINITE).groupBy(*keys, "c", "number").agg(F.sum("n").alias("n"))
+        return df.filter("number IS NOT NULL").groupBy(*keys, "c", "number").agg(F.sum("n").alias("n"))
 
     scores = None
     if any(is_category(f) for f in fields):
@@ -443,7 +464,11 @@ def _baseline_scores(counts: DataFrame, baseline: DataFrame, fields: list[T.Stru
         scores = _complete(found)
     if any(is_number(f) for f in fields):
         figures = full.filter("low IS NOT NULL")
-        found = _complete(_number_baseline_scores(numbers(values, "g", "s"), numbers(known, "s"), figures, sizes))
+        of_numbers = F.col("c").isin([i for i, field in enumerate(fields) if is_number(field)])
+        odd, odd_baseline = (side.filter("number IS NULL").filter(of_numbers) for side in (values, known))
+        found = _complete(
+            _number_baseline_scores(numbers(values, "g", "s"), numbers(known, "s"), figures, sizes, odd, odd_baseline)
+        )
         scores = found if scores is None else scores.unionByName(found)
     return every, scores
 
@@ -459,7 +484,8 @@ def _complete(scores: DataFrame) -> DataFrame:
 def _metric_rows(
     every: DataFrame, scores: DataFrame, monitor: Monitor, fields: list[T.StructField], drift_type: str
 ) -> DataFrame:
-    rows = every.join(scores, ["g", "c"], "left")
+    of_categories = F.col("c").isin([i for i, field in enumerate(fields) if is_category(field)])
+    rows = every.join(scores, ["g", "c"], "left").withColumn("chi", F.when(of_categories, F.col("chi")))
     return rows.select(
         *group_columns(monitor),
         F.lit(drift_type).alias("drift_type"),
@@ -472,25 +498,53 @@ def _metric_rows(
     ).select(*[f.name for f in DRIFT_METRICS])
 
 
-def consecutive_drift(df: DataFrame, monitor: Monitor) -> DataFrame:
-    """Every window against the previous non-empty window of its granularity and slice."""
+def stored_counts(df: DataFrame, monitor: Monitor, fields: list[T.StructField]) -> DataFrame:
+    """The value counts of the given columns, written once for all comparisons of a table."""
+    return materialize(value_counts(df, monitor, fields), "counts")
+
+
+def consecutive_drift(df: DataFrame, monitor: Monitor, counts: DataFrame | None = None) -> DataFrame:
+    """Every window against the previous non-empty window of its granularity and slice. ``counts`` are those that
+    ``stored_counts`` made of the same columns.
+    """
     fields = drift_fields(df, monitor)
     if not fields:
         return empty(df.sparkSession, DRIFT_METRICS)
-    counts = materialize(value_counts(df, monitor, fields), "counts")
+    counts = counts or stored_counts(df, monitor, fields)
     every, scores = _consecutive_scores(counts, len(fields))
     return _metric_rows(every, scores, monitor, fields, "CONSECUTIVE")
 
 
-def baseline_drift(df: DataFrame, baseline: DataFrame, monitor: Monitor) -> DataFrame:
-    """Every window against the whole baseline table, slice by slice, in the columns both have."""
+def shared_with_baseline(monitor: Monitor, baseline: DataFrame) -> Monitor:
+    """The monitor with the slices that the baseline has too."""
+    present = {name.lower() for name in baseline.columns}
+    model = monitor.model_id_column
+    return replace(
+        monitor,
+        slices=tuple(name for name in monitor.slices if name.lower() in present),
+        model_id_column=model if model and model.lower() in present else None,
+    )
+
+
+def compared_fields(df: DataFrame, baseline: DataFrame, monitor: Monitor) -> list[T.StructField]:
+    """The columns of a baseline comparison: those both tables have."""
+    present = {name.lower() for name in baseline.columns}
+    return [f for f in drift_fields(df, monitor) if f.name.lower() in present]
+
+
+def baseline_drift(df: DataFrame, baseline: DataFrame, monitor: Monitor, counts: DataFrame | None = None) -> DataFrame:
+    """Every window against the whole baseline table, slice by slice, in the columns and slices both have.
+
+    ``counts`` are those that ``stored_counts`` made of the same columns and slices.
+    """
+    monitor = shared_with_baseline(monitor, baseline)
     by_name = {f.name.lower(): f for f in baseline.schema}
-    fields = [f for f in drift_fields(df, monitor) if f.name.lower() in by_name]
+    fields = compared_fields(df, baseline, monitor)
     if not fields:
         return empty(df.sparkSession, DRIFT_METRICS)
     still = Monitor(monitor.table, "SNAPSHOT", granularities=(), slices=monitor.slice_columns)
     same = [by_name[f.name.lower()] for f in fields]
-    counts = materialize(value_counts(df, monitor, fields), "counts")
+    counts = counts or stored_counts(df, monitor, fields)
     known = materialize(value_counts(baseline, still, same), "baseline-counts")
     every, scores = _baseline_scores(counts, known, fields)
     return _metric_rows(every, scores, monitor, fields, "BASELINE")

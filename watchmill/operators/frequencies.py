@@ -31,11 +31,15 @@ def _entry(i: int, field: T.StructField):
     name, column = F.lit(i).alias("c"), F.col(f"`{field.name}`")
     if not is_number(field):
         return F.struct(name, F.lit(None).cast("double").alias("number"), as_key(field).alias("key"))
-    text = F.lit(None).cast("string")
+    text, number = F.lit(None).cast("string"), as_number(field)
     if isinstance(field.dataType, _WIDE):
         whole = isinstance(field.dataType, T.LongType)
         text = F.when(F.abs(column.cast("double")) > _EXACT, column.cast("string")) if whole else column.cast("string")
-    return F.struct(name, as_number(field).alias("number"), text.alias("key"))
+    elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        # NaN and the infinities have no place on an axis; they are values of their own, like texts.
+        finite = F.abs(number) < F.lit(float("inf"))
+        number, text = F.when(finite, number), F.when(~finite, number.cast("string"))
+    return F.struct(name, number.alias("number"), text.alias("key"))
 
 
 def value_counts(df: DataFrame, monitor: Monitor, fields: list[T.StructField] | None = None) -> DataFrame:

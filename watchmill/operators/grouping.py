@@ -101,6 +101,10 @@ def is_category(field: T.StructField) -> bool:
     return isinstance(field.dataType, (T.StringType, T.BooleanType))
 
 
+def is_nested(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+
+
 def as_number(field: T.StructField) -> Column:
     """The value as a double, with one zero instead of two."""
     return F.col(f"`{field.name}`").cast("double") + F.lit(0.0)
@@ -112,6 +116,10 @@ def as_key(field: T.StructField) -> Column:
     Long texts and nested values become a digest, so a table of value counts never carries whole documents.
     """
     column = F.col(f"`{field.name}`")
-    nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
-    text = F.to_json(column) if nested else column.cast("string")
+    if isinstance(field.dataType, T.MapType):
+        # Entries in order of their keys' text, so that equal maps have equal text.
+        entries = F.transform(F.map_entries(column), lambda e: F.struct(e["key"].cast("string").alias("k"), F.to_json(F.struct(e["value"])).alias("v")))
+        text = F.to_json(F.array_sort(entries))
+    else:
+        text = F.to_json(column) if is_nested(field) else column.cast("string")
     return F.when(F.length(text) <= 32, text).otherwise(F.sha2(text, 256))

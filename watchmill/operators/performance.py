@@ -24,10 +24,19 @@ def _type(df: DataFrame, column: str) -> T.DataType:
 
 
 def has_scores(df: DataFrame, monitor: Monitor) -> bool:
-    """A fractional prediction next to a numeric or boolean label is a probability."""
+    """Predictions are probabilities if all labels are 0 or 1 and any prediction lies strictly between them.
+
+    The types decide first; only a fractional prediction next to a numeric or boolean label needs a look at the rows.
+    """
     prediction, label = _type(df, monitor.prediction_column), _type(df, monitor.label_column)
     fractional = isinstance(prediction, (T.FractionalType, T.DecimalType))
-    return fractional and isinstance(label, (T.NumericType, T.BooleanType))
+    if not (fractional and isinstance(label, (T.NumericType, T.BooleanType))):
+        return False
+    score = F.col(f"`{monitor.prediction_column}`").cast("double")
+    truth = F.col(f"`{monitor.label_column}`").cast("double")
+    seen = df.agg(F.bool_and(truth.isin(0.0, 1.0)).alias("binary"), F.bool_or((score > 0) & (score < 1)).alias("between"))
+    row = seen.first()
+    return bool(row.binary and row.between)
 
 
 def labelled(df: DataFrame, monitor: Monitor) -> DataFrame:
@@ -87,16 +96,27 @@ def _classes(df: DataFrame, monitor: Monitor, scored: bool) -> tuple[Column, Col
     """True and predicted class as text."""
     label, prediction = F.col(f"`{monitor.label_column}`"), F.col(f"`{monitor.prediction_column}`")
     if not scored:
-        return label.cast("string"), prediction.cast("string")
+        kinds = [_type(df, name) for name in (monitor.label_column, monitor.prediction_column)]
+        any_text = any(isinstance(kind, T.StringType) for kind in kinds)
+        return _class_text(label, kinds[0], any_text), _class_text(prediction, kinds[1], any_text)
     return (
         label.cast("int").cast("string"),
         F.when(prediction.cast("double") >= 0.5, "1").otherwise("0"),
     )
 
 
-def confusion(df: DataFrame, monitor: Monitor) -> DataFrame:
+def _class_text(value: Column, kind: T.DataType, beside_text: bool) -> Column:
+    """A class as text that does not depend on its type: 1, 1.0 and true are one class, beside a text true is 'true'."""
+    if isinstance(kind, T.BooleanType):
+        return value.cast("string") if beside_text else value.cast("int").cast("string")
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+        return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    return value.cast("string")
+
+
+def confusion(df: DataFrame, monitor: Monitor, scored: bool) -> DataFrame:
     """Rows (g, label, guess, n, loss, losses): how often each class was taken for which, and the log loss sums."""
-    scored = has_scores(df, monitor)
     label, guess = _classes(df, monitor, scored)
     loss = F.lit(None).cast("double")
     if scored:
@@ -212,8 +232,9 @@ def ranking(df: DataFrame, monitor: Monitor) -> DataFrame:
 
 
 def _classification(rows: DataFrame, monitor: Monitor) -> DataFrame:
-    table = materialize(confusion(rows, monitor), "confusion")
+    scored = has_scores(rows, monitor)
+    table = materialize(confusion(rows, monitor, scored), "confusion")
     scores = _per_class(table).join(_fairness(table), "g")
-    if has_scores(rows, monitor):
+    if scored:
         scores = scores.join(ranking(rows, monitor), "g", "left")
     return scores

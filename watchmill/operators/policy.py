@@ -24,7 +24,7 @@ def naming_violations(tables: DataFrame, policy: PolicySettings) -> list[DataFra
         _violations(
             tables.filter(~name.rlike(anchored(pattern))),
             "naming_pattern",
-            F.lit(f"Table name does not match required pattern '{pattern}'"),
+            F.lit(f"name misses the asked form: {pattern}"),
         )
         for pattern in policy.naming_patterns
     ]
@@ -32,7 +32,7 @@ def naming_violations(tables: DataFrame, policy: PolicySettings) -> list[DataFra
         _violations(
             tables.filter(name.rlike(anchored(pattern))),
             "forbidden_pattern",
-            F.lit(f"Table name matches forbidden pattern '{pattern}'"),
+            F.lit(f"name has a banned form: {pattern}"),
         )
         for pattern in policy.forbidden_patterns
     ]
@@ -47,15 +47,15 @@ def requirement_violations(
     if policy.require_baseline and profile_type == "INFERENCE":
         without = settings.filter(F.coalesce("baseline_table_name", F.lit("")) == "")
         found.append(
-            _violations(without, "require_baseline", F.lit("Baseline table required by policy but not configured"))
+            _violations(without, "require_baseline", F.lit("no baseline is set"))
         )
     if policy.require_slicing and not default_slices:
         without = settings.filter(F.coalesce(F.size("slicing_exprs"), F.lit(0)) <= 0)
-        found.append(_violations(without, "require_slicing", F.lit("At least one slicing_expr required by policy")))
+        found.append(_violations(without, "require_slicing", F.lit("no slice is set")))
     if policy.max_tables_per_config is not None:
         limit = policy.max_tables_per_config
         counted = settings.agg(F.count("*").alias("n")).filter(F.col("n") > limit)
-        message = F.format_string(f"Config has %d tables, max allowed is {limit}", "n")
+        message = F.format_string(f"tables: %d, limit: {limit}", "n")
         found.append(
             _violations(counted.withColumn("full_name", F.lit(_NO_TABLE)), "max_tables_per_config", message)
         )
@@ -84,7 +84,7 @@ def tag_violations(settings: DataFrame, tags: DataFrame, required: tuple[str, ..
         return F.coalesce(F.length(F.btrim(F.col(values).getItem(F.col("tag")))) > 0, F.lit(False))
 
     missing = joined.filter(~filled("own") & ~filled("tags"))
-    message = F.format_string("Required tag '%s' missing (not found in tags or per-table setting)", "tag")
+    message = F.concat(F.lit("tag without a value: "), "tag")
     return _violations(missing, "required_tags", message)
 
 

@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from watchmill.operators.frequencies import distinct_counts, value_counts
 from watchmill.operators.grouping import (
+    as_key,
     as_number,
     fan_out,
     group_columns,
+    is_nested,
     is_number,
     profiled_columns,
     with_base_keys,
@@ -44,7 +46,9 @@ def _aggregates(field: T.StructField, i: int, distinct_sketch: bool, rank_sketch
         if rank_sketch:
             found.append(F.kll_sketch_agg_double(number, F.lit(RANK_SKETCH_SIZE)).alias(f"kll_{i}"))
     if distinct_sketch:
-        found.append(F.hll_sketch_agg(F.xxhash64(column)).alias(f"hll_{i}"))
+        # NULL has a hash too, and maps have none: nested values are counted by their text.
+        value = as_key(field) if is_nested(field) else column
+        found.append(F.hll_sketch_agg(F.when(column.isNotNull(), F.xxhash64(value))).alias(f"hll_{i}"))
     return found
 
 

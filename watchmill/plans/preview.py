@@ -24,13 +24,13 @@ def preview(
     quota = within_quota(settings.select("full_name", *_new(order)), existing_monitors, order, limit)
     absent = missing_columns(settings, inventory, profile_type).select(
         "full_name",
-        F.format_string("Column '%s' (from %s) not found", "column_name", "setting").alias("missing"),
+        F.concat("setting", F.lit(" names a missing column: "), "column_name").alias("missing"),
     )
     plan = planned_actions(desired, existing, fields).select("full_name", F.col("action").alias("planned"))
     rows = quota.select("full_name", "quota").join(absent, "full_name", "left").join(plan, "full_name", "left")
     over, lacks = F.col("quota") == "skip_quota", F.col("missing").isNotNull()
-    reasons = {"update": "config drift detected", "no_change": "monitor config already in sync"}
-    reason = F.when(over, "Monitor quota reached").when(lacks, F.col("missing"))
+    reasons = {"update": "settings differ", "no_change": "settings agree"}
+    reason = F.when(over, "over quota").when(lacks, F.col("missing"))
     for name, text in reasons.items():
         reason = reason.when(F.col("planned") == name, text)
     return rows.select(
@@ -51,5 +51,5 @@ def slice_warnings(settings: DataFrame, inventory: DataFrame) -> DataFrame:
     joined = wanted.join(inventory.select("full_name", lower.alias("names")), "full_name")
     absent = joined.filter(~F.array_contains("names", F.lower(F.regexp_replace("slice", "^`|`$", ""))))
     return absent.select(
-        "full_name", F.format_string("Slicing column '%s' not found in table schema", "slice").alias("warning")
+        "full_name", F.concat(F.lit("no such slice column: "), "slice").alias("warning")
     )

@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchmill.functions.naming import DEFAULT_GROUP, group_slug
 from watchmill.functions.templates import template_problems
-from watchmill.operators.alerts import alert_state, drift_issues, quality_issues
+from watchmill.functions.windows import as_instant
+from watchmill.operators.alerts import (
+    alert_state,
+    drift_issues,
+    due_notifications,
+    quality_issues,
+    resolve_destinations,
+    routes,
+)
 from watchmill.operators.custom import (
+    ROW_KEYS,
     custom_aggregates,
+    custom_drift,
     missing_functions,
     with_custom_aggregates,
     with_derived,
 )
-from watchmill.operators.discovery import discover
-from watchmill.operators.drift import baseline_drift, consecutive_drift, snapshot_drift
+from watchmill.operators.discovery import discover, leaf_collisions, slug_collisions
+from watchmill.operators.drift import (
+    baseline_drift,
+    compared_fields,
+    consecutive_drift,
+    drift_fields,
+    shared_with_baseline,
+    snapshot_drift,
+    stored_counts,
+)
 from watchmill.operators.performance import performance
 from watchmill.operators.profile import profile, safe_slices, with_performance
 from watchmill.operators.provisioning import run_summary
@@ -26,7 +45,7 @@ from watchmill.operators.sketch_drift import sketch_drift
 from watchmill.operators.unify import Member, unified_drift, unified_performance, unified_profile
 from watchmill.schemas import DRIFT_METRICS, PROFILE_METRICS, empty
 from watchmill.settings import Monitor, RunSettings, TableSettings, resolve_monitor, settings_problems
-from watchmill.sources.sinks import publish_groups, read_written_metrics, write_metrics
+from watchmill.sources.sinks import drop_stale_views, ensure_schema, publish_groups, read_written_metrics, write_metrics
 from watchmill.sources.tables import read_table
 
 #: Tables worked on at the same time; Spark schedules their jobs together.
@@ -48,6 +67,10 @@ class RunReport:
     tables: dict[str, str] = field(default_factory=dict)
     views: dict[str, dict[str, str]] = field(default_factory=dict)
     alerts: DataFrame | None = None
+    #: Firing alerts that are due, one row for each address.
+    notifications: DataFrame | None = None
+    #: Rows without an instant, which belong to no window, of each table that has any.
+    without_time: dict[str, int] = field(default_factory=dict)
 
     def summary(self, spark: SparkSession) -> DataFrame:
         """Counts by action."""
@@ -71,24 +94,49 @@ def compute_metrics(
     """
     rows = with_performance(profile(df, monitor, distinct=distinct), performance(df, monitor))
     if baseline is not None:
-        still = Monitor(monitor.table, "SNAPSHOT", granularities=(), slices=monitor.slice_columns, columns=monitor.columns)
+        common = shared_with_baseline(monitor, baseline).slice_columns
+        still = Monitor(monitor.table, "SNAPSHOT", granularities=(), slices=common, columns=monitor.columns)
         rows = rows.unionByName(with_performance(profile(baseline, still, log_type="BASELINE", distinct=distinct), None))
     if any(metric.metric_type == "aggregate" for metric in monitor.custom_metrics):
         rows = with_custom_aggregates(rows, custom_aggregates(df, monitor))
     rows = with_derived(rows, monitor.custom_metrics, df.columns)
 
     parts = []
-    if monitor.granularities:
-        compare = sketch_drift if drift_mode == "sketch" else consecutive_drift
-        parts.append(compare(df, monitor))
+    counts = None
+    if monitor.granularities and drift_mode == "sketch":
+        parts.append(sketch_drift(df, monitor))
+    elif monitor.granularities:
+        fields = drift_fields(df, monitor)
+        counts = stored_counts(df, monitor, fields) if fields else None
+        parts.append(consecutive_drift(df, monitor, counts))
     elif previous is not None:
         parts.append(snapshot_drift(df, previous, monitor))
     if baseline is not None:
-        parts.append(baseline_drift(df, baseline, monitor))
+        shared = shared_with_baseline(monitor, baseline)
+        alike = shared.slice_columns == monitor.slice_columns and compared_fields(df, baseline, shared) == drift_fields(df, monitor)
+        parts.append(baseline_drift(df, baseline, monitor, counts if alike else None))
     drift = parts[0] if parts else empty(df.sparkSession, DRIFT_METRICS)
     for part in parts[1:]:
         drift = drift.unionByName(part)
-    return TableMetrics(rows, drift)
+    return TableMetrics(rows, _with_custom_drift(drift, rows, monitor, baseline is not None))
+
+
+def _with_custom_drift(drift: DataFrame, profiles: DataFrame, monitor: Monitor, has_baseline: bool) -> DataFrame:
+    """Drift rows with the custom drift metrics beside them. A column without other drift gets rows of its own."""
+    names = [metric.name for metric in monitor.custom_metrics if metric.metric_type == "drift"]
+    if not names:
+        return drift
+    current = profiles.filter("log_type = 'INPUT'")
+    found = custom_drift(current, monitor.custom_metrics) if monitor.granularities else None
+    if has_baseline:
+        against = custom_drift(current, monitor.custom_metrics, profiles.filter("log_type = 'BASELINE'"))
+        found = against if found is None else found.unionByName(against)
+    if found is None:
+        return drift
+    key = F.struct(*ROW_KEYS, "column_name", "drift_type")
+    own = [f.name for f in DRIFT_METRICS if f.name not in (*ROW_KEYS, "column_name", "drift_type")]
+    left, right = drift.select(key.alias("key"), *own), found.select(key.alias("key"), *names)
+    return left.join(right, "key", "full").select("key.*", *own, *names)
 
 
 def _table_names(
@@ -112,6 +160,23 @@ def _missing_column(df: DataFrame, monitor: Monitor) -> str | None:
     return next((name for name in asked if name and name.lower() not in present), None)
 
 
+def _collisions(spark: SparkSession, settings: RunSettings, names: list[str], tags: dict[str, dict[str, str]]) -> list:
+    """Tables that would write to the same place, groups that would share views, metrics of one name."""
+    found = []
+    if names:
+        frame = spark.createDataFrame([(name,) for name in names], "full_name string")
+        found += [("leaf_name", row.full_name) for row in leaf_collisions(frame).collect()]
+        groups = {tags.get(name, {}).get(settings.monitor_group_tag, DEFAULT_GROUP) for name in names}
+        frame = spark.createDataFrame([(group,) for group in sorted(groups)], "group_name string")
+        found += [("group_slug", row.group_name) for row in slug_collisions(frame).collect()]
+    layers = {"defaults": settings.profile_defaults.custom_metrics}
+    layers |= {name: own.custom_metrics or () for name, own in settings.monitored_tables.items()}
+    for layer, metrics in layers.items():
+        uses = Counter(metric.name for metric in metrics)
+        found += [("metric_name", f"{layer}: {name}") for name, n in uses.items() if n > 1]
+    return sorted(found)
+
+
 def run(
     spark: SparkSession,
     settings: RunSettings,
@@ -123,10 +188,17 @@ def run(
     quota: int | None = None,
     distinct: str = "approx",
     drift_mode: str = "exact",
+    materialized: bool = False,
+    history: DataFrame | None = None,
+    destinations: DataFrame | None = None,
 ) -> RunReport:
     """The whole run over the configured tables and, with an ``inventory``, the ones their tags enroll. Settings that
-    break a rule stop it before any work starts; a table that fails, lacks a column or exceeds the ``quota`` is reported
-    and left out of its group's views.
+    break a rule, and names that collide, stop it before any work starts; a table that fails, lacks a column or exceeds
+    the ``quota`` is reported and left out of its group's views.
+
+    ``materialized`` stores the unified frames as tables of the output schema, which other sessions can read, and drops
+    those of groups that are gone. ``history`` (alert_name, fired_at) holds earlier notifications and ``destinations``
+    (name, id) the known ones.
     """
     problems = [*settings_problems(settings), *template_problems(settings), *missing_functions(spark, settings)]
     if problems:
@@ -134,6 +206,9 @@ def run(
     tags = dict(tags or {})
     report = RunReport()
     names = _table_names(settings, inventory, tags)
+    collisions = _collisions(spark, settings, names, tags)
+    if collisions:
+        raise ValueError(f"names collide: {collisions}")
     for name in names[quota:] if quota is not None else ():
         report.tables[name] = "skipped_quota"
 
@@ -144,7 +219,13 @@ def run(
         if missing:
             return f"skipped_column_missing: {missing}"
         limit = settings.profile_defaults.max_slicing_cardinality
-        monitor = monitor.with_slices(safe_slices(df, monitor.slices, limit))
+        safe = safe_slices(df, monitor.slice_columns, limit)
+        model = monitor.model_id_column if monitor.model_id_column in safe else None
+        monitor = replace(monitor, slices=tuple(s for s in monitor.slices if s in safe), model_id_column=model)
+        if monitor.granularities:
+            lost = df.filter(as_instant(df, monitor.timestamp_column).isNull()).count()
+            if lost:
+                report.without_time[name] = lost
         baseline = read_table(spark, monitor.baseline_table, paths) if monitor.baseline_table else None
         metrics = compute_metrics(df, monitor, baseline, distinct=distinct, drift_mode=drift_mode)
         leaf = f"{output_path}/{monitor.leaf_name}"
@@ -170,11 +251,39 @@ def run(
         groups.setdefault(tags.get(name, {}).get(settings.monitor_group_tag, DEFAULT_GROUP), []).append(member)
     slugs = _slugs(spark, list(groups))
     frames = {slugs[name]: _group_frames(spark, settings, output_path, found) for name, found in groups.items()}
-    report.views = publish_groups(frames)
+    schema = settings.profile_defaults.output_schema_name if materialized else None
+    if schema:
+        ensure_schema(spark, schema)
+    report.views = publish_groups(frames, schema=schema)
+    if schema:
+        drop_stale_views(spark, list(frames), schema=schema)
     report.alerts = _alerts(settings, {name: frames[slugs[name]] for name in groups})
+    report.notifications = _notifications(spark, settings, report.alerts, history, destinations)
     return report
 
 
+def _notifications(
+    spark: SparkSession,
+    settings: RunSettings,
+    states: DataFrame | None,
+    history: DataFrame | None,
+    destinations: DataFrame | None,
+) -> DataFrame | None:
+    """Who is to be told of which firing alert now."""
+    if states is None:
+        return None
+    history = history if history is not None else spark.createDataFrame([], "alert_name string, fired_at timestamp")
+    known = destinations if destinations is not None else spark.createDataFrame([], "name string, id string")
+    alerting = settings.alerting
+    routing = spark.createDataFrame(
+        [(group, list(names)) for group, names in alerting.group_notifications.items()],
+        "monitor_group string, destinations array<string>",
+    )
+    due = due_notifications(states, history, F.current_timestamp(), alerting.repeat_seconds)
+    routed = routes(due.select("monitor_group").distinct(), routing, alerting.default_notifications)
+    return due.drop("last_fired").join(resolve_destinations(routed, known), "monitor_group")
+
+
 def _slugs(spark: SparkSession, names: list[str]) -> dict[str, str]:
     if not names:
         return {}

@@ -51,16 +51,21 @@ def publish(df: DataFrame, name: str, *, materialized: bool = False) -> None:
         df.createOrReplaceTempView(name)
 
 
-def publish_groups(frames: dict[str, dict[str, callable]], *, materialized: bool = False) -> dict[str, dict[str, str]]:
+def publish_groups(
+    frames: dict[str, dict[str, callable]], *, materialized: bool = False, schema: str | None = None
+) -> dict[str, dict[str, str]]:
     """Publish the views of every group; ``frames`` maps group slug -> kind -> a function giving the frame.
 
-    A performance view that fails is left out; the others have to succeed.
+    With a ``schema`` they are stored as its tables, and other sessions can read them. A performance view that fails is
+    left out; the others have to succeed.
     """
+    materialized = materialized or schema is not None
+    place = f"{schema}." if schema else ""
     published: dict[str, dict[str, str]] = {}
     for slug, kinds in frames.items():
         published[slug] = {}
         for kind, build in kinds.items():
-            name = VIEW_PREFIXES[kind] + slug
+            name = place + VIEW_PREFIXES[kind] + slug
             try:
                 publish(build(), name, materialized=materialized)
             except Exception as error:
@@ -75,7 +80,7 @@ def publish_groups(frames: dict[str, dict[str, callable]], *, materialized: bool
 def stale_views(views: DataFrame, active_slugs: DataFrame) -> DataFrame:
     """Views of groups that are gone, from rows (view_name) and (slug). No active group: nothing is stale."""
     cases = [
-        F.when(F.startswith("view_name", F.lit(prefix)), F.substring("view_name", len(prefix) + 1, 1000))
+        F.when(F.startswith("view_name", F.lit(prefix)), F.substr("view_name", F.lit(len(prefix) + 1)))
         for prefix in VIEW_PREFIXES.values()
     ]
     ours = views.withColumn("slug", reduce(lambda a, b: F.coalesce(a, b), cases)).filter("slug IS NOT NULL")
@@ -84,15 +89,21 @@ def stale_views(views: DataFrame, active_slugs: DataFrame) -> DataFrame:
     return gone.join(F.broadcast(any_active), "any_active", "left_semi").select("view_name", "slug")
 
 
-def drop_stale_views(spark: SparkSession, active_slugs: list[str]) -> list[str]:
-    """Drop the session views of groups that are gone; returns their names."""
+def drop_stale_views(spark: SparkSession, active_slugs: list[str], *, schema: str | None = None) -> list[str]:
+    """Drop the session views, or the stored tables of a schema, of groups that are gone; returns their names."""
     if not active_slugs:
         return []
-    views = spark.sql("SHOW VIEWS").select(F.col("viewName").alias("view_name"))
+    if schema:
+        views = spark.sql(f"SHOW TABLES IN {schema}").filter("NOT isTemporary").select(F.col("tableName").alias("view_name"))
+    else:
+        views = spark.sql("SHOW VIEWS").select(F.col("viewName").alias("view_name"))
     active = spark.createDataFrame([(slug,) for slug in active_slugs], "slug string")
     names = [row.view_name for row in stale_views(views, active).orderBy("view_name").collect()]
     for name in names:
-        spark.catalog.dropTempView(name)
+        if schema:
+            spark.sql(f"DROP TABLE IF EXISTS {schema}.{name}")
+        else:
+            spark.catalog.dropTempView(name)
     return names
 
 

@@ -28,17 +28,16 @@ def inventory_row(df: DataFrame, full_name: str, table_type: str = "MANAGED") ->
     )
 
 
-def fold_tags(tag_rows: DataFrame, order: str | None = None) -> DataFrame:
-    """One map of tags per table; on a repeated tag the row last in ``order`` wins."""
+def fold_tags(tag_rows: DataFrame, order: str = "tag_value") -> DataFrame:
+    """One map of tags per table; on a repeated tag the row last in ``order`` wins, by default the largest value."""
     full_name = F.concat_ws(".", "catalog_name", "schema_name", "table_name").alias("full_name")
-    value = F.max_by("tag_value", order) if order else F.last("tag_value")
-    latest = tag_rows.groupBy(full_name, "tag_name").agg(value.alias("tag_value"))
+    latest = tag_rows.groupBy(full_name, "tag_name").agg(F.max_by("tag_value", order).alias("tag_value"))
     return latest.groupBy("full_name").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("tag_name", "tag_value")))).alias("tags")
     )
 
 
-def tags_of_schemas(tag_rows: DataFrame, schemas: list[str], order: str | None = None) -> DataFrame:
+def tags_of_schemas(tag_rows: DataFrame, schemas: list[str], order: str = "tag_value") -> DataFrame:
     """Tags of the tables in the chosen schemas."""
     return fold_tags(tag_rows.filter(F.col("schema_name").isin(schemas)), order)
 

@@ -74,13 +74,22 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def join_late_labels(
-    predictions: DataFrame, labels: DataFrame, key: str, predicted_at: str, labelled_at: str, within: str = "90 days"
+    predictions: DataFrame,
+    labels: DataFrame,
+    key: str,
+    predicted_at: str,
+    labelled_at: str,
+    delay: str,
+    within: str = "90 days",
 ) -> DataFrame:
     """ST3: predictions with the label that follows inside the given time. Works on streams (both sides carry a
     watermark, so state is bounded) and on batches.
+
+    Rows of a stream may be out of order by up to ``delay``. What comes later than that is not joined; the windows it
+    falls in are recomputed from the stored rows by ``touched_profile``.
     """
-    p = predictions.withWatermark(predicted_at, "0 seconds") if predictions.isStreaming else predictions
-    q = labels.withWatermark(labelled_at, "0 seconds") if labels.isStreaming else labels
+    p = predictions.withWatermark(predicted_at, delay) if predictions.isStreaming else predictions
+    q = labels.withWatermark(labelled_at, delay) if labels.isStreaming else labels
     q = q.withColumnRenamed(key, "__key")
     inside = (F.col(labelled_at) >= F.col(predicted_at)) & (
         F.col(labelled_at) <= F.col(predicted_at) + F.expr(f"INTERVAL {within}")
