@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text is cut into lines, lines into sentences and long sentences into runs of words; each part has a digest. Every digest is
-added to one cell in each of three subtables, and a cell keeps the number, the exclusive or of the digests, and that of their
-checks. Subtracting the cells of two versions leaves the digests that only one of them has. A cell with one digest left gives
+added to one cell in each of three subtables, and a cell keeps the number, the exclusive or of the digests, and the sum of their
+lower bits. Only where a single digest is left do the last two agree. Subtracting the cells of two versions leaves the digests that only one of them has. A cell with one digest left gives
 it away; taking it out of its other cells lays open more, until nothing is left. If that gets stuck, it is tried again with
 more cells. Large sets are dealt by digest bits into sections with a sketch each, so that the work grows with the text.
 
@@ -21,14 +21,13 @@ WORDS = 8
 PART = rf"(?:\S*[^\s.!?][^\S\n]+){{0,{WORDS - 1}}}\S+"
 TABLES = 3
 #: Cells of a subtable, at the first try and when peeling got stuck; after the last the two sets are compared as they are.
-SIZES = (8, 16, 32)
+SIZES = (8, 32)
 #: Digests of both versions in a section on average, and rounds of peeling.
-LOAD, ROUNDS = 12, 12
+LOAD, ROUNDS = 12, 6
 #: Documents of a block of neighbours.
 BLOCK_BITS, LEVEL_BITS = 6, 10
 
-CELL = "struct<n:int,key:bigint,mark:bigint>"
-FOUND = "struct<key:bigint,n:int>"
+FOUND = "array<struct<key:bigint,n:int>>"
 
 
 def digests(text: Column) -> Column:
@@ -37,70 +36,86 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda part: F.xxhash64(part)))
 
 
+def _mark(digest: Column) -> Column:
+    return digest.bitwiseAND(F.lit((1 << 40) - 1))
+
+
 def _cell(n: Column, key: Column, mark: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), key.alias("key"), mark.alias("mark")).cast(CELL)
+    return F.struct(n.alias("n"), key.alias("key"), mark.alias("mark"))
+
+
+def _slot(digest: Column, subtable: int, size: int) -> Column:
+    """The cell of a subtable that a digest belongs to; every subtable uses other bits."""
+    return F.shiftright(digest, 10 * subtable).bitwiseAND(F.lit(size - 1).cast("long"))
 
 
-def _stands(digest: Column, at: Column, size: int) -> Column:
-    """Whether a digest belongs to the cell at an index of all subtables."""
-    subtable = F.floor(at / size).cast("int")
-    bits = F.when(subtable == 0, digest).when(subtable == 1, F.shiftright(digest, 10)).otherwise(F.shiftright(digest, 20))
-    return F.pmod(bits, F.lit(size)) == at % size
+def _slots(size: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
 
 
 def sketch(items: Column, size: int = SIZES[0]) -> Column:
-    """Cells of a set of digests."""
+    """Cells of a set of digests: one array for each subtable."""
     empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
-    def fill(at: Column) -> Column:
-        return F.aggregate(
-            F.filter(items, lambda d: _stands(d, at, size)),
-            empty,
-            lambda cell, d: _cell(cell["n"] + 1, cell["key"].bitwiseXOR(d), cell["mark"].bitwiseXOR(F.xxhash64(d))),
+    def fill(subtable: int) -> Column:
+        return F.transform(
+            _slots(size),
+            lambda slot: F.aggregate(
+                F.filter(items, lambda d: _slot(d, subtable, size) == slot),
+                empty,
+                lambda cell, d: _cell(cell["n"] + 1, cell["key"].bitwiseXOR(d), cell["mark"] + _mark(d)),
+            ),
         )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * size - 1)), fill)
+    return F.array(*(fill(subtable) for subtable in range(TABLES)))
 
 
 def subtract(one: Column, other: Column) -> Column:
-    return F.zip_with(
-        one, other, lambda a, b: _cell(a["n"] - b["n"], a["key"].bitwiseXOR(b["key"]), a["mark"].bitwiseXOR(b["mark"]))
-    )
+    def cells(a: Column, b: Column) -> Column:
+        return _cell(a["n"] - b["n"], a["key"].bitwiseXOR(b["key"]), a["mark"] - b["mark"])
+
+    return F.zip_with(one, other, lambda a, b: F.zip_with(a, b, cells))
 
 
 def peel(cells: Column, size: int) -> Column:
     """Digests that are left in subtracted cells, array<struct<key, n>> with n 1 or -1 by side; null if peeling gets stuck."""
-    start = F.struct(cells.alias("cells"), F.array().cast(f"array<{FOUND}>").alias("found"))
-    kind = f"struct<cells:array<{CELL}>,found:array<{FOUND}>>"
 
     def alone(cell: Column) -> Column:
-        return (F.abs(cell["n"]) == 1) & (cell["mark"] == F.xxhash64(cell["key"]))
+        return (F.abs(cell["n"]) == 1) & (cell["mark"] == cell["n"] * _mark(cell["key"]))
+
+    def without(table: Column, subtable: int, found: Column) -> Column:
+        def less(cell: Column, gone: Column) -> Column:
+            return _cell(cell["n"] - gone["n"], cell["key"].bitwiseXOR(gone["key"]), cell["mark"] - gone["n"] * _mark(gone["key"]))
+
+        return F.zip_with(
+            table,
+            _slots(size),
+            lambda cell, slot: F.aggregate(F.filter(found, lambda f: _slot(f["key"], subtable, size) == slot), cell, less),
+        )
 
     def step(state: Column, _: Column) -> Column:
         pure = F.array_distinct(
-            F.transform(F.filter(state["cells"], alone), lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n")).cast(FOUND))
+            F.transform(F.filter(F.flatten(state["cells"]), alone), lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n")))
         )
 
         def take_out(found: Column) -> Column:
-            left = F.transform(
-                state["cells"],
-                lambda cell, at: F.aggregate(
-                    F.filter(found, lambda f: _stands(f["key"], at, size)),
-                    cell,
-                    lambda c, f: _cell(c["n"] - f["n"], c["key"].bitwiseXOR(f["key"]), c["mark"].bitwiseXOR(F.xxhash64(f["key"]))),
-                ),
-            )
-            return F.struct(left.alias("cells"), F.concat(state["found"], found).alias("found")).cast(kind)
+            left = F.array(*(without(F.get(state["cells"], F.lit(t)), t, found) for t in range(TABLES)))
+            return F.struct(left.alias("cells"), F.concat(state["found"], found).alias("found"))
 
         return let(pure, lambda found: F.when(F.size(found) == 0, state).otherwise(take_out(found)))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start.cast(kind), step)
-    return let(done, lambda d: F.when(F.forall(d["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0)), d["found"]))
+    start = F.struct(cells.alias("cells"), F.array().cast(FOUND).alias("found"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+    empty = lambda d: F.forall(F.flatten(d["cells"]), lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["mark"] == 0))
+    return let(done, lambda d: F.when(empty(d), d["found"]))
 
 
 def _sides(found: Column) -> Column:
-    mine = F.size(F.filter(found, lambda f: f["n"] == 1))
-    return F.when(found.isNotNull(), F.struct(mine.alias("mine"), (F.size(found) - mine).alias("other")))
+    def counted(f: Column) -> Column:
+        mine = F.size(F.filter(f, lambda entry: entry["n"] == 1))
+        return F.when(f.isNotNull(), F.struct(mine.alias("mine"), (F.size(f) - mine).alias("other")))
+
+    return let(found, counted)
 
 
 def difference(one: Column, other: Column) -> Column:
@@ -140,7 +155,7 @@ def likeness(one: Column, other: Column) -> Column:
 def fingerprint(items: Column) -> Column:
     """The cells of the first size as text: number and digests of each."""
     cells = F.transform(
-        sketch(items), lambda c: F.concat(F.lpad(F.hex(c["n"]), 4, "0"), F.lpad(F.hex(c["key"]), 16, "0"))
+        F.flatten(sketch(items)), lambda c: F.concat(F.lpad(F.hex(c["n"]), 4, "0"), F.lpad(F.hex(c["key"]), 16, "0"))
     )
     return F.lower(F.array_join(cells, ""))
 
@@ -163,25 +178,97 @@ def _before(blocks: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and digests of every document, with text and digests of the one after it by doc_id; the last gets the first.
+    """block, place, doc_id, text and digests of every document, with text and digests of the one after it by doc_id; the last gets the first.
 
     Documents are dealt by blocks of neighbouring ids, so whole texts are shuffled once; only the first document of each block
     is sent on to the block before. Of equal ids the order is that of their texts' hashes; rows without an id come first.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = known.withColumn("digests", digests(F.col("text"))).withColumn("block", F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(-(1 << 62))))
+    plain = known.withColumn("block", F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(-(1 << 62))))
+    known = plain.withColumn("digests", digests(F.col("text")))
     order = Window.partitionBy("block").orderBy("doc_id", F.xxhash64("text"))
-    placed = known.withColumns(
-        {
-            "place": F.row_number().over(order),
-            "next": F.lead(F.struct("text", "digests")).over(order),
-        }
-    )
+    placed = known.withColumns({"place": F.row_number().over(order), "next": F.lead(F.struct("text", "digests")).over(order)})
     blocks = docs.select(F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS), F.lit(-(1 << 62))).alias("block")).distinct()
-    heads = placed.where("place = 1").select("block", F.struct("text", "digests").alias("head"))
+    first = plain.withColumn("place", F.row_number().over(order)).where("place = 1").select("block", "text")
+    heads = first.select("block", F.struct("text", digests(F.col("text")).alias("digests")).alias("head"))
     heads = heads.join(_before(blocks), "block").select(F.col("before").alias("block"), "head")
     joined = placed.join(heads, "block", "left")
-    return joined.select("doc_id", "text", "digests", F.coalesce("next", "head").alias("next"))
+    return joined.select("block", "place", "doc_id", "text", "digests", F.coalesce("next", "head").alias("next"))
+
+
+#: Cells of a subtable for every digest of both sides in the table form, their most, and rounds: each takes out, in one
+#: subtable, all digests that are alone in their cell there.
+ROOM, MOST_BITS, TURNS = 4, 20, (0, 1, 2, 0, 1)
+_PAIRS = {"edited": ("digests", "edited_digests"), "next": ("digests", "next_digests")}
+
+
+def _cell_at(key: Column, subtable: int, bits: Column) -> Column:
+    """Number of a digest's cell over all subtables; every subtable has bits of its own."""
+    within = F.pmod(F.shiftright(key, MOST_BITS * subtable), F.pow(F.lit(2), bits).cast("long"))
+    return F.lit(subtable * (1 << MOST_BITS)).cast("long") + within
+
+
+def _added(cells: DataFrame) -> DataFrame:
+    """Add up what falls into a cell; empty cells go. The rows of a block are in one task already."""
+    summed = cells.groupBy("block", "place", "pair", "bits", "cell").agg(
+        F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.sum("mark").alias("mark")
+    )
+    return summed.where("n <> 0 OR key <> 0 OR mark <> 0")
+
+
+def _entry(cell: Column, n: Column, key: Column, mark: Column) -> Column:
+    return F.struct(cell.cast("long").alias("cell"), n.cast("long").alias("n"), key.alias("key"), mark.alias("mark"))
+
+
+def subtracted_and_peeled(pairs: DataFrame) -> DataFrame:
+    """(block, place, and for each pair the digests only one side has, and whether peeling got stuck) from the digests.
+
+    The sketches of all documents are one table of cells. Both sides of a pair go into the same cells with opposite signs.
+    """
+    one, two, three = "digests", "edited_digests", "next_digests"
+    sizes = [F.size(name) for name in (one, two, one, three)]
+    ends = [sizes[0], sizes[0] + sizes[1], sizes[0] * 2 + sizes[1]]
+
+    def bits(other: str) -> Column:
+        return F.least(F.ceil(F.log2(F.lit(ROOM) * F.greatest(F.size(one) + F.size(other), F.lit(1)))), F.lit(MOST_BITS)).cast("int")
+
+    every = pairs.select(
+        "block", "place", ends[0].alias("e0"), ends[1].alias("e1"), ends[2].alias("e2"), bits(two).alias("b0"), bits(three).alias("b1"),
+        F.posexplode(F.concat(one, two, one, three)).alias("at", "key"),
+    )
+    first = F.col("at") < F.col("e1")
+    sign = F.when((F.col("at") < F.col("e0")) | (~first & (F.col("at") < F.col("e2"))), F.lit(1)).otherwise(F.lit(-1))
+    every = every.select(
+        "block", "place", F.when(first, 0).otherwise(1).alias("pair"), F.when(first, F.col("b0")).otherwise(F.col("b1")).alias("bits"), sign.alias("sign"), "key"
+    )
+    key, width = F.col("key"), F.col("bits")
+    places = [_entry(_cell_at(key, t, width), F.col("sign"), key, F.col("sign") * _mark(key)) for t in range(TABLES)]
+    cells = _added(every.select("block", "place", "pair", "bits", F.inline(F.array(*places))))
+    n, mark = F.col("n"), F.col("mark")
+    for turn in TURNS:
+        here = (F.col("cell") >= turn * (1 << MOST_BITS)) & (F.col("cell") < (turn + 1) * (1 << MOST_BITS))
+        alone = here & (F.abs(n) == 1) & (mark == n * _mark(key))
+        out = [_entry(_cell_at(key, t, width), -n, key, -mark) for t in range(TABLES) if t != turn]
+        zero = F.lit(0).cast("long")
+        out.append(_entry(F.when(n == 1, F.lit(-1)).otherwise(F.lit(-2)), F.lit(1), zero, zero))
+        kept = F.array(_entry(F.col("cell"), n, key, mark))
+        cells = _added(cells.select("block", "place", "pair", "bits", F.inline(F.when(alone, F.array(*out)).otherwise(kept))))
+    facts = []
+    for i, name in enumerate(_PAIRS):
+        mine = F.col("pair") == i
+        facts += [
+            F.sum(F.when(mine & (F.col("cell") == -1), n).otherwise(0)).alias(f"{name}_mine"),
+            F.sum(F.when(mine & (F.col("cell") == -2), n).otherwise(0)).alias(f"{name}_other"),
+            F.max(F.when(mine & (F.col("cell") >= 0), 1).otherwise(0)).alias(f"{name}_stuck"),
+        ]
+    return cells.groupBy("block", "place").agg(*facts)
+
+
+def _near(name: str) -> Column:
+    """Likeness from the peeled table; where that got stuck, from larger sketches of the row's own sets."""
+    one, other = (F.col(c) for c in _PAIRS[name])
+    peeled = F.try_divide(F.size(one) - F.col(f"{name}_mine"), F.size(one) + F.col(f"{name}_other"))
+    return F.when(F.col(f"{name}_stuck") == 0, peeled).otherwise(likeness(one, other))
 
 
 def compare_with_edited(docs: DataFrame) -> DataFrame:
@@ -193,23 +280,29 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     size = F.length("text")
     taken = F.floor(size / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), size - taken), F.substr(F.col("next.text"), F.lit(1), taken))
-    pairs = with_next(docs).select("doc_id", F.col("text"), "digests", "next", edited.alias("edited"))
-    pairs = pairs.select(
+    pairs = with_next(docs).select("block", "place", "doc_id", "text", "digests", F.col("next.digests").alias("next_digests"), edited.alias("edited"))
+    pairs = pairs.withColumn("edited_digests", digests(F.col("edited")))
+    peeled = subtracted_and_peeled(pairs.select("block", "place", "digests", "edited_digests", "next_digests"))
+    details = pairs.select(
+        "block",
+        "place",
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.col("digests")).alias("fingerprint"),
+        fingerprint(F.col("edited_digests")).alias("edited_fingerprint"),
         "digests",
-        digests(F.col("edited")).alias("edited_digests"),
-        F.col("next.digests").alias("next_digests"),
+        "edited_digests",
+        "next_digests",
     )
-    return pairs.select(
+    return details.join(peeled, ["block", "place"], "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("digests")).alias("fingerprint"),
-        fingerprint(F.col("edited_digests")).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("edited_digests")).alias("near_edited"),
-        likeness(F.col("digests"), F.col("next_digests")).alias("near_next"),
+        "fingerprint",
+        "edited_fingerprint",
+        _near("edited").alias("near_edited"),
+        _near("next").alias("near_next"),
     )
 
 
