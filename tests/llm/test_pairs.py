@@ -148,11 +148,12 @@ def test_sketches_of_odd_documents(spark):
     assert sketches.compare_with_edited(one).first()["near_next"] == 1.0
 
 
-VECTORS = "vec_id long, embedding array<float>, label int, " + ", ".join(f"{c} string" for c in CLASHING)
+OTHERS = [c for c in CLASHING if c != "label"]
+VECTORS = "vec_id long, embedding array<float>, label int, " + ", ".join(f"{c} string" for c in OTHERS)
 
 
 def vectors_of(spark, rows):
-    return spark.createDataFrame([(*row, *("clash" for _ in CLASHING)) for row in rows], VECTORS)
+    return spark.createDataFrame([(*row, *("clash" for _ in OTHERS)) for row in rows], VECTORS)
 
 
 def near_by_brute_force(rows):
