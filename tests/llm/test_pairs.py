@@ -135,7 +135,7 @@ def test_peeling_recovers_the_digests_of_both_sides(spark):
 def test_neighbours_over_gaps_between_blocks(spark):
     ids = [3, 64, 65, 5000, 70_000, 10_000_000, 10**15, -9]
     docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
-    found = {r["doc_id"]: r["t"] for r in sketches.with_next(docs).select("doc_id", F.col("next.text").alias("t")).collect()}
+    found = {r["doc_id"]: r["t"] for r in sketches.with_next(docs).select("doc_id", F.col("next_text").alias("t")).collect()}
     order = sorted(ids)
     assert found == {i: f"text {order[(n + 1) % len(order)]}" for n, i in enumerate(order)}
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from watchmill.llm.common import let, materialize, table
 
 #: Words of one part at most; a part ends with its line and its sentence.
-WORDS = 8
+WORDS = 12
 PART = rf"(?:\S*[^\s.!?][^\S\n]+){{0,{WORDS - 1}}}\S+"
 TABLES = 3
 #: Cells of a subtable, at the first try and when peeling got stuck; after the last the two sets are compared as they are.
@@ -26,6 +26,8 @@ SIZES = (8, 32)
 LOAD, ROUNDS = 12, 6
 #: Documents of a block of neighbours.
 BLOCK_BITS, LEVEL_BITS = 6, 10
+#: Documents whose cells are added up in one task, and the most tasks: beyond that the sums may spill.
+TASK, MOST_TASKS = 1024, 100_000
 
 FOUND = "array<struct<key:bigint,n:int>>"
 
@@ -187,13 +189,25 @@ def with_next(docs: DataFrame) -> DataFrame:
     plain = known.withColumn("block", F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(-(1 << 62))))
     known = plain.withColumn("digests", digests(F.col("text")))
     order = Window.partitionBy("block").orderBy("doc_id", F.xxhash64("text"))
-    placed = known.withColumns({"place": F.row_number().over(order), "next": F.lead(F.struct("text", "digests")).over(order)})
+    tasks = min(MOST_TASKS, max(1, -(-docs.count() // TASK)))
+    # Text and digests are looked up one by one: a struct of both would be shuffled beside them.
+    ahead = {"place": F.row_number().over(order), "next_text": F.lead("text").over(order), "next_digests": F.lead("digests").over(order)}
+    placed = known.repartition(tasks, "block").withColumns(ahead)
     blocks = docs.select(F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS), F.lit(-(1 << 62))).alias("block")).distinct()
     first = plain.withColumn("place", F.row_number().over(order)).where("place = 1").select("block", "text")
     heads = first.select("block", F.struct("text", digests(F.col("text")).alias("digests")).alias("head"))
     heads = heads.join(_before(blocks), "block").select(F.col("before").alias("block"), "head")
     joined = placed.join(heads, "block", "left")
-    return joined.select("block", "place", "doc_id", "text", "digests", F.coalesce("next", "head").alias("next"))
+    last = F.col("next_text").isNull()
+    return joined.select(
+        "block",
+        "place",
+        "doc_id",
+        "text",
+        "digests",
+        F.when(last, F.col("head.text")).otherwise(F.col("next_text")).alias("next_text"),
+        F.when(last, F.col("head.digests")).otherwise(F.col("next_digests")).alias("next_digests"),
+    )
 
 
 #: Cells of a subtable for every digest of both sides in the table form, their most, and rounds: each takes out, in one
@@ -221,7 +235,7 @@ def _entry(cell: Column, n: Column, key: Column, mark: Column) -> Column:
 
 
 def subtracted_and_peeled(pairs: DataFrame) -> DataFrame:
-    """(block, place, and for each pair the digests only one side has, and whether peeling got stuck) from the digests.
+    """(block, peeled): for each place of a block, how many digests only one side has and whether peeling got stuck.
 
     The sketches of all documents are one table of cells. Both sides of a pair go into the same cells with opposite signs.
     """
@@ -261,14 +275,18 @@ def subtracted_and_peeled(pairs: DataFrame) -> DataFrame:
             F.sum(F.when(mine & (F.col("cell") == -2), n).otherwise(0)).alias(f"{name}_other"),
             F.max(F.when(mine & (F.col("cell") >= 0), 1).otherwise(0)).alias(f"{name}_stuck"),
         ]
-    return cells.groupBy("block", "place").agg(*facts)
+    each = cells.groupBy("block", "place").agg(*facts)
+    # One row for each block, so that it meets the block's documents where they are.
+    named = F.struct("place", F.struct(*(c for c in each.columns if c not in ("block", "place"))).alias("facts"))
+    return each.groupBy("block").agg(F.map_from_entries(F.collect_list(named)).alias("peeled"))
 
 
 def _near(name: str) -> Column:
     """Likeness from the peeled table; where that got stuck, from larger sketches of the row's own sets."""
     one, other = (F.col(c) for c in _PAIRS[name])
-    peeled = F.try_divide(F.size(one) - F.col(f"{name}_mine"), F.size(one) + F.col(f"{name}_other"))
-    return F.when(F.col(f"{name}_stuck") == 0, peeled).otherwise(likeness(one, other))
+    facts = F.col("facts")
+    peeled = F.try_divide(F.size(one) - facts[f"{name}_mine"], F.size(one) + facts[f"{name}_other"])
+    return F.when(facts[f"{name}_stuck"] == 0, peeled).otherwise(likeness(one, other))
 
 
 def compare_with_edited(docs: DataFrame) -> DataFrame:
@@ -279,8 +297,8 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     """
     size = F.length("text")
     taken = F.floor(size / 4).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), size - taken), F.substr(F.col("next.text"), F.lit(1), taken))
-    pairs = with_next(docs).select("block", "place", "doc_id", "text", "digests", F.col("next.digests").alias("next_digests"), edited.alias("edited"))
+    edited = F.concat(F.substr("text", F.lit(1), size - taken), F.substr("next_text", F.lit(1), taken))
+    pairs = with_next(docs).select("block", "place", "doc_id", "text", "digests", "next_digests", edited.alias("edited"))
     pairs = pairs.withColumn("edited_digests", digests(F.col("edited")))
     peeled = subtracted_and_peeled(pairs.select("block", "place", "digests", "edited_digests", "next_digests"))
     details = pairs.select(
@@ -295,7 +313,8 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
         "edited_digests",
         "next_digests",
     )
-    return details.join(peeled, ["block", "place"], "left").select(
+    found = details.join(peeled, "block", "left").withColumn("facts", F.element_at("peeled", F.col("place")))
+    return found.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
