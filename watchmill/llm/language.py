@@ -21,7 +21,7 @@ UNKNOWN = "und"
 #: Lengths of n-grams, tried in this order; a word carries a sign at either end.
 LENGTHS, EDGE = (5, 4, 3, 2, 1), "^"
 #: Bounds of what is learned from: at most so many documents of each language, and words or n-grams seen this often.
-PER_LANGUAGE, WORD_SEEN, GRAM_SEEN, SMOOTHING = 3000, 3, 5, 0.5
+PER_LANGUAGE, WORD_SEEN, GRAM_SEEN, SMOOTHING = 1500, 4, 10, 0.5
 WORDS = re.compile(r"[^\W\d_]+")
 
 

@@ -43,8 +43,8 @@ class ByteTokens:
         byte_of = _byte_of_character()
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
         self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.after_space = WordCache(lambda word: self._encode(" " + word))
-        self.alone = WordCache(self._encode)
+        self.after_space = WordCache(lambda word: self._encode(" " + word), limit=250_000)
+        self.alone = WordCache(self._encode, limit=10_000)
         self.odd_space, self.cut = re.compile(r" (?:\s|$)"), re.compile(r"(?!^)(?= \S)")
 
     def _encode(self, word: str) -> bytes:

@@ -45,7 +45,7 @@ class SeverityModel:
 
     def known(self) -> WordCache:
         """For a word, the rows of its features."""
-        return WordCache(lambda word: tuple(self.features[f] for f in features_of(word) if f in self.features))
+        return WordCache(lambda word: tuple(self.features[f] for f in features_of(word) if f in self.features), limit=50_000)
 
     def probabilities(self, counts: Counter) -> np.ndarray:
         """Chances of grades 0, 1, ... of a text whose features were counted."""
