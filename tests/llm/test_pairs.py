@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -201,6 +202,34 @@ def test_shards_are_split_and_overlap(spark, monkeypatch):
     assert true > 100 and found >= 0.9 * true
 
 
+def test_large_groups_of_near_copies_keep_all_links(spark, monkeypatch):
+    for name, value in (("MOST", 100), ("TARGET", 35), ("BLOCK", 60)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng, rows = np.random.default_rng(9), []
+    for label, size in ((0, 400), (1, 150), (1, 230)):  # one label is a single group, the other has two beside other vectors
+        base = rng.normal(size=16)
+        rows += [(len(rows) + i, (base + rng.normal(size=16) * 0.03).astype(np.float32).tolist(), label) for i in range(size)]
+    rows += [(len(rows) + i, rng.normal(size=16).astype(np.float32).tolist(), 1) for i in range(200)]
+    rows += [(len(rows) + i, rows[5][1], 0) for i in range(3)]
+    want, links = near_by_brute_force(rows)
+    counts = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    found = neighbours.near_duplicates(vectors_of(spark, rows)).collect()
+    assert {r["vec_id"]: r["component_id"] for r in found} == want
+    assert {r["vec_id"]: r["n_links"] for r in found} == dict(enumerate(counts.tolist()))
+    classes = neighbours.classes_of(neighbours.usable(vectors_of(spark, rows)))
+    for overlap in (3, 4):  # no split may be as large as what it splits
+        shards = neighbours.shards_of(classes, overlap)
+        assert shards.where("NOT whole").groupBy("shard").count().where("count > 100").isEmpty()
+        assert shards.count() < 4 * overlap * len(rows)
+
+
+def test_recall_below_the_target_is_an_error(spark, monkeypatch):
+    empty = lambda classes, shards, threshold: (lambda p: (p, neighbours._counted(classes, p)))(spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(neighbours, "all_links", empty)
+    with pytest.raises(RuntimeError, match="audited links"):
+        neighbours.near_duplicates(vectors_of(spark, [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1)]))
+
+
 def test_embeddings_that_cannot_link(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
