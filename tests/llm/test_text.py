@@ -115,6 +115,14 @@ def test_template_of_a_host(spark):
     assert templates.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["no-sidebar", "post has-comments", "search-result", "related-work", "social-history", "share"])
+def test_names_do_not_drop_the_article(name):
+    page = f"<html><body><div class='{name}' id='content'><p>the whole article</p><div class='share-buttons'>tell all</div></div></body></html>"
+    assert templates.extract_page(page, None) == "the whole article"
+    small = f"<html><body><p>{'a long article ' * 9}</p><div class='{name}'><p>short</p></div></body></html>"
+    assert ("short" in templates.extract_page(small, None)) == (name != "share")
+
+
 def test_articles_of_all_pages(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     found = templates.op4_page_text(spark, sf).collect()

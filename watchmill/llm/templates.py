@@ -39,13 +39,19 @@ DROPPED = frozenset(
     "aside audio button canvas datalist dialog embed fieldset footer form head header iframe input label legend map math menu nav "
     "noscript object option script select style svg template textarea title video".split()
 )
-#: Words in a class, id or role that name something other than the article.
+#: Names in a class, id or role that stand for something other than the article, also as compounds with each other and HELPERS.
 NAMED = frozenset(
     "ad ads advert adverts advertisement advertising alert author-box banner breadcrumb breadcrumbs byline comment comments "
     "consent cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation "
     "newsletter notice notification overlay pagination pager paywall popup promo promotion recommended related replies reply "
     "respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
+HELPERS = frozenset(
+    "area bar block bottom box button buttons container count form global icon icons inner item items left link links list main "
+    "message outer page panel post posts primary right row secondary section site slot top unit wrap wrapper zone".split()
+)
+#: Tags that show that a named container is more than an advert or a menu.
+PROSE = frozenset("article h1 h2 main p".split())
 #: Tags that end an open one of the same group.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -62,6 +68,7 @@ class Node:
     tag: str
     path: str
     dropped: bool
+    named: tuple[int, ...] = ()
 
 
 @dataclass
@@ -79,26 +86,36 @@ def _named(tag: str, rest: str) -> tuple[str, bool]:
         words = (match[2] or match[3] or match[4] or "").lower().split()
         if match[1].lower() == "class" and words:
             label = f"{tag}.{'.'.join(sorted(words))}"
-        pieces = {w for word in words for w in (word, *re.split(r"[-_]+", word))}
-        named = named or not NAMED.isdisjoint(pieces)
+        named = named or any(map(_is_name, words))
     return label, named
 
 
+def _is_name(word: str) -> bool:
+    pieces = [p for p in re.split(r"[-_]+", word) if not p.isdigit()]
+    return word in NAMED or (not NAMED.isdisjoint(pieces) and all(p in NAMED or p in HELPERS for p in pieces))
+
+
 def parse(html: str | None) -> Parsed:
-    """Walk through a page. Missing end tags are supplied, and end tags without a beginning are passed over."""
+    """Walk through a page. Missing end tags are supplied, and end tags without a beginning are passed over.
+
+    Containers whose names say that they are no part of the article are left out, but not one with prose that holds most of
+    the page's text.
+    """
     page, stack, block = Parsed(), [], 0
+    texts: list[tuple[tuple[int, ...], tuple[str, int, str]]] = []
+    names, prose = 0, set()
     for part in PARTS.finditer(html or ""):
         text, tag = part["text"], part["tag"]
         if text is not None:
             if not stack or not stack[-1].dropped:
-                page.texts.append((stack[-1].path if stack else "", block, references.unescape(text)))
+                texts.append((stack[-1].named if stack else (), (stack[-1].path if stack else "", block, references.unescape(text))))
             continue
         if tag is None:
             continue
         tag = tag.lower()
         block += tag in BLOCKS
         if tag == "br" and stack and not stack[-1].dropped:
-            page.texts.append((stack[-1].path, block, " "))
+            texts.append((stack[-1].named, (stack[-1].path, block, " ")))
         if part["end"]:
             if any(node.tag == tag for node in stack):
                 while stack.pop().tag != tag:
@@ -114,10 +131,22 @@ def parse(html: str | None) -> Parsed:
         label, named = _named(tag, part["rest"])
         above = stack[-1] if stack else None
         path = f"{above.path}/{label}" if above else label
-        dropped = (above.dropped if above else False) or tag in DROPPED or (named and tag not in ("html", "body", "main", "article"))
+        dropped = (above.dropped if above else False) or tag in DROPPED
+        within = above.named if above else ()
+        if tag in PROSE:
+            prose.update(within)
+        if named and tag not in ("html", "body", "main", "article"):
+            names += 1
+            within = (*within, names)
         page.tags[path] += 1
         if tag not in VOID and not part["rest"].endswith("/"):
-            stack.append(Node(tag, path, dropped))
+            stack.append(Node(tag, path, dropped, within))
+    held, whole = Counter(), 0
+    for within, (_, _, text) in texts:
+        size = sum(map(len, text.split()))
+        whole += size
+        held.update(dict.fromkeys(within, size))
+    page.texts += [kept for within, kept in texts if all(name in prose and 2 * held[name] > whole for name in within)]
     return page
 
 
