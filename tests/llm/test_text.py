@@ -115,6 +115,20 @@ def test_template_of_a_host(spark):
     assert templates.extract(pages.limit(0)).count() == 0
 
 
+def test_template_of_a_host_with_odd_pages(spark):
+    body = lambda i: f"<p>Unique {i} of this page</p><p>Share this or this</p><p>Share {'this ' * (i % 3)}article {i}</p>"
+    rows = [(i, f"https://h.example/{i}", page_of(body(i), i)) for i in range(12)]
+    rows += [(20, "https://h.example/n", None), (21, "https://h.example/e", ""), (22, "https://h.example/o", "<html><body><p>odd")]
+    rows += [(23, "https://h.example/t", "<html><body><div id='main'><article><p>a</article></div><div id='main'><article><p>b")]
+    rows += [(30 + i, "https://copies.example/c", page_of("<p>one text</p>", 1)) for i in range(9)]
+    found = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("one text" in found[30 + i] for i in range(9))
+    for i in range(12):
+        lines = [f"Title {i}", f"Unique {i} of this page", f"Share {'this ' * (i % 3)}article {i}"]
+        assert found[i] == "\n".join(lines), i
+    assert found[20] == found[21] == "" and found[22] == "odd"
+
+
 @pytest.mark.parametrize("name", ["no-sidebar", "post has-comments", "search-result", "related-work", "social-history", "share"])
 def test_names_do_not_drop_the_article(name):
     page = f"<html><body><div class='{name}' id='content'><p>the whole article</p><div class='share-buttons'>tell all</div></div></body></html>"

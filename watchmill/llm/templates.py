@@ -1,16 +1,19 @@
-"""Main text of web pages by equivalence-class template deduction.
-
-All pages of a host are taken as made from one template. A token is a tag with the path of tags above it, or a word with its
-path. Tokens that occur equally often on every page, those with the same vector of occurrences, were put there together and
-form a class. Vectors are compared by sums of hashes over the pages, which Spark adds up in any order, so no host's pages
-have to meet in one place. The class of tokens that stand exactly once on every page is the outermost part of the template;
-a class is valid there if its tags nest, and the others lie in its slots by their paths. Words of the outermost class are part
-of the template, not of the content. The slot that holds most of the host's text is extracted from each page, without the
-parts that are named as menus, notices, adverts and the like.
+"""Main text of web pages by templates deduced from the pages of a host.
+
+All pages of a host that have tags are taken as made from one template. A token is a tag with the path of tags above it, a
+word with its path, or a whole block of text with its path, which tells words of the template from the same words in the
+article. Tokens are counted over the pages by sums that Spark adds up in any order, so no host's pages have to meet in one
+place. Tags that stand exactly once on most pages are the outermost part of the template; one is valid there if its parents
+are too. Blocks that are on most pages, and words exactly once on every page (those with the page's own vector of
+occurrences), are part of the template, not of the content. The deepest container that holds most of the host's text is the
+main slot and is extracted from each page, without the parts that fixed lists of tags and names give as menus, notices,
+adverts and the like. Classes with other vectors of occurrences, and the slots between them, are not deduced: these lists
+stand in for them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 import zlib
@@ -27,6 +30,8 @@ from watchmill.llm.common import map_frames, materialize, table
 LEAST_PAGES, ALL_HOSTS = 8, "*"
 #: A container holds the main slot if it has at least this share of the text of its host's pages.
 MAIN_SHARE = 0.5
+#: Share of a host's pages with tags that a tag or a block of its template is on.
+SUPPORT = 0.8
 
 # Tags by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,6 +67,9 @@ PARTS = re.compile(
 )
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
+#: What is added up for every token.
+SUMS = ("pages", "once", "n", "v1", "v2", "chars")
+
 
 @dataclass
 class Node:
@@ -150,6 +158,15 @@ def parse(html: str | None) -> Parsed:
     return page
 
 
+def _blocks(page: Parsed) -> dict[int, str]:
+    """The token of each block that has text: a digest of its path and its words."""
+    parts: dict[int, list[str]] = {}
+    for path, block, text in page.texts:
+        parts.setdefault(block, [path]).append(text)
+    words = {block: "".join(texts).split() for block, (_, *texts) in parts.items()}
+    return {b: f"#{hashlib.blake2b(' '.join([parts[b][0], *w]).encode('utf-8', 'replace'), digest_size=8).hexdigest()}" for b, w in words.items() if w}
+
+
 def _page_tokens(html: str | None) -> tuple[Counter, Counter]:
     """Occurrences of every token of a page, and the characters of kept text below every tag path."""
     page = parse(html)
@@ -161,6 +178,7 @@ def _page_tokens(html: str | None) -> tuple[Counter, Counter]:
         while at and size:
             chars[f"<{at}"] += size
             at = at.rpartition("/")[0]
+    tokens.update(_blocks(page).values())
     return tokens, chars
 
 
@@ -169,10 +187,11 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, n, v1, v2, chars) for the tokens of all pages (host, key, html), for each host and for all of them.
+    """(host, token, pages, once, n, v1, v2, chars) for the tokens of all pages (host, key, html) of each host.
 
-    v1 and v2 stand for the vector of occurrences. The empty token stands for the page itself. Of words only those on every
-    page of a batch are sent on, as others cannot be on every page.
+    v1 and v2 stand for the vector of occurrences, ``once`` counts the pages with one occurrence. The empty token stands for
+    the page itself. Pages without tags have no template and do not count. Of words only those on every page of a batch are
+    sent on, as others cannot be on every page.
     """
 
     def over(frame: pd.DataFrame) -> pd.DataFrame:
@@ -180,32 +199,38 @@ def token_vectors(pages: DataFrame) -> DataFrame:
         sizes: Counter = Counter()
         for host, key, html in zip(frame["host"], frame["key"], frame["html"]):
             tokens, chars = _page_tokens(html)
+            if not any(token.startswith("<") for token in tokens):
+                continue
             tokens[""] = 1
             for token, n in tokens.items():
                 digest = zlib.crc32(f"{key}|{n}".encode()), zlib.adler32(f"{n}|{key}".encode())
-                for name in (host, ALL_HOSTS):
-                    row = sums.setdefault((name, token), [0, 0, 0, 0, 0])
-                    for i, value in enumerate((1, n, *digest, chars.get(token, 0))):
-                        row[i] += value
-            sizes.update((host, ALL_HOSTS))
-        rows = [(h, t, *row) for (h, t), row in sums.items() if t.startswith("<") or not t or row[0] == sizes[h] == row[1]]
-        return pd.DataFrame(rows, columns=["host", "token", "pages", "n", "v1", "v2", "chars"])
+                row = sums.setdefault((host, token), [0, 0, 0, 0, 0, 0])
+                for i, value in enumerate((1, int(n == 1), n, *digest, chars.get(token, 0))):
+                    row[i] += value
+            sizes[host] += 1
+        rows = [(h, t, *row) for (h, t), row in sums.items() if t[:1] in ("<", "#", "") or row[0] == sizes[h] == row[2]]
+        return pd.DataFrame(rows, columns=["host", "token", *SUMS])
 
-    schema = "host string, token string, pages long, n long, v1 long, v2 long, chars long"
-    added = [F.sum(name).alias(name) for name in ("pages", "n", "v1", "v2", "chars")]
-    return map_frames(pages, over, schema).groupBy("host", "token").agg(*added)
+    schema = f"host string, token string, {', '.join(f'{name} long' for name in SUMS)}"
+    return map_frames(pages, over, schema).groupBy("host", "token").agg(*(F.sum(name).alias(name) for name in SUMS))
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, size, main, words): one row for each host, and one for all of them.
+    """(host, size, main, words, blocks): one row for each host, and one for all of them.
 
-    ``main`` is the path of the deepest container of the outermost class that holds most text; ``words`` are the words of that
-    class, with their paths. Only tags whose parents are in the class too nest in it.
+    ``main`` is the path of the deepest container of the outermost class that holds most text; ``words`` are the words that
+    stand once on every page, with their paths, and ``blocks`` the blocks on most pages. Only tags whose parents are in the
+    class too nest in it.
     """
-    tokens = materialize(token_vectors(pages), "token-vectors")
+    of_hosts = materialize(token_vectors(pages), "token-vectors")
+    of_all = of_hosts.groupBy("token").agg(*(F.sum(name).alias(name) for name in SUMS))
+    tokens = of_hosts.unionByName(of_all.withColumn("host", F.lit(ALL_HOSTS)))
     of_page = tokens.where("token = ''").select("host", F.col("pages").alias("size"), F.col("v1").alias("w1"), F.col("v2").alias("w2"))
-    # The class of the page itself: the same vector of occurrences, once on every page.
-    outermost = tokens.where("token <> '' and pages = n").join(of_page, "host").where("pages = size and v1 = w1 and v2 = w2")
+    is_tag, is_block = F.col("token").startswith("<"), F.col("token").startswith("#")
+    enough = F.when(is_tag, F.col("once")).otherwise(F.col("pages")) >= SUPPORT * F.col("size")
+    of_every = (F.col("pages") == F.col("size")) & (F.col("n") == F.col("pages")) & (F.col("v1") == F.col("w1")) & (F.col("v2") == F.col("w2"))
+    outermost = tokens.where("token <> ''").join(of_page, "host").where(F.when(is_tag | is_block, enough).otherwise(of_every))
+    outermost = materialize(outermost.where(is_tag | (F.col("size") >= LEAST_PAGES)).select("host", "size", "token", "chars"), "outermost")
     tags = outermost.where(F.col("token").startswith("<")).select("host", "size", "token", "chars")
     parent = F.regexp_replace("token", "/[^/]*$", "")
     inner = tags.where(F.col("token").contains("/")).withColumn("parent", parent)
@@ -218,28 +243,31 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     holding = nested.join(whole, "host").where(tag.isin(*sorted(CONTAINERS)) & (F.col("chars") >= MAIN_SHARE * F.col("whole")) & (F.col("whole") > 0))
     depth = F.struct(F.length(F.regexp_replace("token", "[^/]", "")), F.col("chars"), F.col("token"))
     main = holding.groupBy("host").agg(F.substr(F.max_by("token", depth), F.lit(2)).alias("main"))
-    words = outermost.where(~F.col("token").startswith("<")).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("words"))
-    return of_page.select("host", "size").join(main, "host", "left").join(words, "host", "left")
+    words = F.sort_array(F.collect_set(F.when(~is_block, F.col("token")))).alias("words")
+    fixed = outermost.where(~is_tag).groupBy("host").agg(words, F.sort_array(F.collect_set(F.when(is_block, F.col("token")))).alias("blocks"))
+    return of_page.select("host", "size").join(main, "host", "left").join(fixed, "host", "left")
 
 
-def extract_page(html: str | None, main: str | None, template_words: frozenset[str] = frozenset()) -> str:
-    """Text of a page's main slot: one line for each block, without blocks that are all template.
+def extract_page(html: str | None, main: str | None, template_words: frozenset[str] = frozenset(), template_blocks: frozenset[str] = frozenset()) -> str:
+    """Text of a page's main slot: one line for each block, without blocks that are template or made of its words.
 
-    A page without that slot gives all its kept text.
+    A page without that slot gives all its kept text, and a page that is all template, such as one of many copies, gives that.
     """
     page = parse(html)
     inside = [t for t in page.texts if main and (t[0] == main or t[0].startswith(f"{main}/"))]
     if not any(t[2].strip() for t in inside):
         inside = page.texts
-    lines, blocks = [], {}
+    lines, every, blocks, named = [], [], {}, _blocks(page) if template_blocks else {}
     for path, block, text in inside:
         blocks.setdefault(block, []).append((path, text))
-    for parts in blocks.values():
+    for block, parts in blocks.items():
         words = "".join(text for _, text in parts).split()
         fixed = template_words and all(f"{path}>{word}" in template_words for path, text in parts for word in text.split())
-        if words and not fixed:
-            lines.append(" ".join(words))
-    return "\n".join(lines)
+        if words:
+            every.append(" ".join(words))
+            if not fixed and named.get(block) not in template_blocks:
+                lines.append(every[-1])
+    return "\n".join(lines or every)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -252,16 +280,17 @@ def extract(pages: DataFrame) -> DataFrame:
     known = known.withColumn("host", host_of(F.col("url")))
     keyed = known.select("host", F.xxhash64("page_id", "url", "html").alias("key"), "html")
     templates = materialize(deduce_templates(keyed), "templates")
-    common = templates.where(F.col("host") == ALL_HOSTS).select(F.col("main").alias("common_main"), F.col("words").alias("common_words"))
+    common = templates.where(F.col("host") == ALL_HOSTS).select(F.col("main").alias("common_main"), F.col("words").alias("common_words"), F.col("blocks").alias("common_blocks"))
     own = templates.where((F.col("size") >= LEAST_PAGES) & (F.col("host") != ALL_HOSTS)).withColumn("own", F.lit(True))
     row = common.collect()  # one row: the tags and words that are on every page of all hosts
-    general = (row[0]["common_main"], frozenset(row[0]["common_words"] or ())) if row else (None, frozenset())
-    joined = known.join(own, "host", "left").select("page_id", "url", "html", "main", "words", F.coalesce("own", F.lit(False)).alias("own"))
+    general = (row[0]["common_main"], frozenset(row[0]["common_words"] or ()), frozenset(row[0]["common_blocks"] or ())) if row else (None,)
+    joined = known.join(own, "host", "left").select("page_id", "url", "html", "main", "words", "blocks", F.coalesce("own", F.lit(False)).alias("own"))
 
     def over(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for html, main, words, own in zip(frame["html"], frame["main"], frame["words"], frame["own"]):
-            found.append(extract_page(html, main, frozenset(words) if words is not None else frozenset()) if own else extract_page(html, *general))
+        for html, main, words, blocks, own in zip(frame["html"], frame["main"], frame["words"], frame["blocks"], frame["own"]):
+            held = (frozenset(tokens) if tokens is not None else frozenset() for tokens in (words, blocks))
+            found.append(extract_page(html, main, *held) if own else extract_page(html, *general))
         return pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": found})
 
     return map_frames(joined, over, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
