@@ -141,6 +141,14 @@ def test_neighbours_over_gaps_between_blocks(spark):
     assert found == {i: f"text {order[(n + 1) % len(order)]}" for n, i in enumerate(order)}
 
 
+def test_rows_without_an_id_are_dealt_to_blocks_in_order(spark):
+    docs = spark.createDataFrame([(None if i % 3 else i, f"text {i}") for i in range(600)], "doc_id long, text string")
+    rows = sketches.with_next(docs).select("block", "doc_id", "text", "next_text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+    assert {r["text"]: r["next_text"] for r in rows} == {r["text"]: order[(i + 1) % 600]["text"] for i, r in enumerate(order)}
+    assert len({r["block"] for r in rows if r["doc_id"] is None}) > 390  # of 400
+
+
 def test_sketches_of_odd_documents(spark):
     rows = sketches.compare_with_edited(edge_documents(spark)).collect()
     assert len(rows) == len(ROWS) and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)

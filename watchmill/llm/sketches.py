@@ -26,6 +26,8 @@ SIZES = (8, 32)
 LOAD, ROUNDS = 12, 6
 #: Documents of a block of neighbours.
 BLOCK_BITS, LEVEL_BITS = 6, 10
+#: Bits of a text's hash that deal rows without an id to blocks.
+UNNAMED_BITS = 20
 #: Documents whose cells are added up in one task, and the most tasks: beyond that the sums may spill.
 TASK, MOST_TASKS = 1024, 100_000
 
@@ -179,6 +181,12 @@ def _before(blocks: DataFrame) -> DataFrame:
     return inner.join(previous, "span", "left").select("block", F.coalesce("before", "outer").alias("before"))
 
 
+def _block(doc_id: Column, text: Column) -> Column:
+    """The block of a document, in the order of (doc_id, hash of the text); rows without an id are dealt by that hash."""
+    unnamed = F.lit(-(1 << 62)) + F.shiftright(F.xxhash64(text), 64 - UNNAMED_BITS)
+    return F.coalesce(F.shiftright(doc_id, BLOCK_BITS), unnamed)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """block, place, doc_id, text and digests of every document, with text and digests of the one after it by doc_id; the last gets the first.
 
@@ -186,14 +194,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     is sent on to the block before. Of equal ids the order is that of their texts' hashes; rows without an id come first.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    plain = known.withColumn("block", F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(-(1 << 62))))
+    plain = known.withColumn("block", _block(F.col("doc_id"), F.col("text")))
     known = plain.withColumn("digests", digests(F.col("text")))
     order = Window.partitionBy("block").orderBy("doc_id", F.xxhash64("text"))
     tasks = min(MOST_TASKS, max(1, -(-docs.count() // TASK)))
     # Text and digests are looked up one by one: a struct of both would be shuffled beside them.
     ahead = {"place": F.row_number().over(order), "next_text": F.lead("text").over(order), "next_digests": F.lead("digests").over(order)}
     placed = known.repartition(tasks, "block").withColumns(ahead)
-    blocks = docs.select(F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS), F.lit(-(1 << 62))).alias("block")).distinct()
+    blocks = plain.select("block").distinct()
     first = plain.withColumn("place", F.row_number().over(order)).where("place = 1").select("block", "text")
     heads = first.select("block", F.struct("text", digests(F.col("text")).alias("digests")).alias("head"))
     heads = heads.join(_before(blocks), "block").select(F.col("before").alias("block"), "head")
