@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from watchmill.llm.common import Query
+from watchmill.llm.infill import OP11_SQL, op11_fill_in_middle
 from watchmill.llm.language import op6_language
 from watchmill.llm.neighbours import op5_embedding_near_duplicates
 from watchmill.llm.packing import op8_pack_documents
@@ -25,6 +26,7 @@ QUERIES: dict[str, Query] = {
     "op8_pack_documents": op8_pack_documents,
     "op9_surrogates": op9_surrogates,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
-#: None of the operators can be said in SQL; tests/llm compares them with brute force, libraries or held-out rows.
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators cannot be said in SQL; tests/llm compares them with brute force, libraries or held-out rows.
+ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": OP11_SQL}
