@@ -5,6 +5,7 @@ from __future__ import annotations
 from watchmill.llm.common import Query
 from watchmill.llm.infill import OP11_SQL, op11_fill_in_middle
 from watchmill.llm.language import op6_language
+from watchmill.llm.lexical import OP12_SQL, op12_ranked_search
 from watchmill.llm.neighbours import op5_embedding_near_duplicates
 from watchmill.llm.packing import op8_pack_documents
 from watchmill.llm.pieces import op1_encode_pieces
@@ -27,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op9_surrogates": op9_surrogates,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_ranked_search": op12_ranked_search,
 }
 #: The other operators cannot be said in SQL; tests/llm compares them with brute force, libraries or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": OP11_SQL, "op12_ranked_search": OP12_SQL}
