@@ -9,6 +9,7 @@ from watchmill.llm.lexical import OP12_SQL, op12_ranked_search
 from watchmill.llm.neighbours import op5_embedding_near_duplicates
 from watchmill.llm.packing import op8_pack_documents
 from watchmill.llm.pieces import op1_encode_pieces
+from watchmill.llm.quality import op13_quality
 from watchmill.llm.simhash import op10_simhash_near_duplicates
 from watchmill.llm.sketches import op2_fingerprints
 from watchmill.llm.surrogates import op9_surrogates
@@ -29,6 +30,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_ranked_search": op12_ranked_search,
+    "op13_quality": op13_quality,
 }
 #: The other operators cannot be said in SQL; tests/llm compares them with brute force, libraries or held-out rows.
 ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": OP11_SQL, "op12_ranked_search": OP12_SQL}
