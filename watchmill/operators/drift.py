@@ -107,9 +107,9 @@ def previous_windows(facts: DataFrame) -> DataFrame:
     return starts.withColumn("before", F.lag("g").over(slices)).filter("before IS NOT NULL")
 
 
-def _sides(facts: DataFrame, columns: int) -> DataFrame:
+def _sides(facts: DataFrame, columns: int, pairs: DataFrame) -> DataFrame:
     """One row per (pair, column): sizes of both windows and the common range. ``g`` is the later window."""
-    pairs = previous_windows(facts).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    pairs = pairs.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     side = F.struct(*_FACTS)
     now = facts.select("g", "c", side.alias("p"))
     then = facts.select(F.col("g").alias("before"), "c", side.alias("q"))
@@ -184,9 +184,10 @@ def _with_gaps(rows: DataFrame, grids: tuple[float, ...]) -> DataFrame:
     return numbers.unionByName(rows.filter("number IS NULL").withColumns({"gap_upto": none, "next_value": none}))
 
 
-def _consecutive_scores(counts: DataFrame, columns: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs and columns to report, and their scores."""
-    sides = materialize(_sides(group_facts(counts), columns), "sides")
+def _consecutive_scores(counts: DataFrame, columns: int, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs and columns to report, and their scores. Without ``pairs`` (g, before) those of all windows counted."""
+    facts = group_facts(counts)
+    sides = materialize(_sides(facts, columns, previous_windows(facts) if pairs is None else pairs), "sides")
     sizes = Sizes.of(sides)
     rows = _pair_counts(counts, sides, sizes)
     if sizes.grids:
@@ -503,15 +504,17 @@ def stored_counts(df: DataFrame, monitor: Monitor, fields: list[T.StructField])
     return materialize(value_counts(df, monitor, fields), "counts")
 
 
-def consecutive_drift(df: DataFrame, monitor: Monitor, counts: DataFrame | None = None) -> DataFrame:
+def consecutive_drift(
+    df: DataFrame, monitor: Monitor, counts: DataFrame | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
     """Every window against the previous non-empty window of its granularity and slice. ``counts`` are those that
-    ``stored_counts`` made of the same columns.
+    ``stored_counts`` made of the same columns; ``pairs`` (g, before) compares just these windows.
     """
     fields = drift_fields(df, monitor)
     if not fields:
         return empty(df.sparkSession, DRIFT_METRICS)
     counts = counts or stored_counts(df, monitor, fields)
-    every, scores = _consecutive_scores(counts, len(fields))
+    every, scores = _consecutive_scores(counts, len(fields), pairs)
     return _metric_rows(every, scores, monitor, fields, "CONSECUTIVE")
 
 
@@ -532,24 +535,36 @@ def compared_fields(df: DataFrame, baseline: DataFrame, monitor: Monitor) -> lis
     return [f for f in drift_fields(df, monitor) if f.name.lower() in present]
 
 
-def baseline_drift(df: DataFrame, baseline: DataFrame, monitor: Monitor, counts: DataFrame | None = None) -> DataFrame:
+def baseline_counts(baseline: DataFrame, monitor: Monitor, fields: list[T.StructField]) -> DataFrame:
+    """The value counts of a baseline in the given columns of the monitored table, by slice."""
+    by_name = {f.name.lower(): f for f in baseline.schema}
+    still = Monitor(monitor.table, "SNAPSHOT", granularities=(), slices=monitor.slice_columns)
+    return value_counts(baseline, still, [by_name[f.name.lower()] for f in fields])
+
+
+def baseline_drift(
+    df: DataFrame, baseline: DataFrame, monitor: Monitor, counts: DataFrame | None = None, known: DataFrame | None = None
+) -> DataFrame:
     """Every window against the whole baseline table, slice by slice, in the columns and slices both have.
 
-    ``counts`` are those that ``stored_counts`` made of the same columns and slices.
+    ``counts`` are those that ``stored_counts`` made of the same columns and slices, ``known`` those of ``baseline_counts``.
     """
     monitor = shared_with_baseline(monitor, baseline)
-    by_name = {f.name.lower(): f for f in baseline.schema}
     fields = compared_fields(df, baseline, monitor)
     if not fields:
         return empty(df.sparkSession, DRIFT_METRICS)
-    still = Monitor(monitor.table, "SNAPSHOT", granularities=(), slices=monitor.slice_columns)
-    same = [by_name[f.name.lower()] for f in fields]
     counts = counts or stored_counts(df, monitor, fields)
-    known = materialize(value_counts(baseline, still, same), "baseline-counts")
+    known = known or materialize(baseline_counts(baseline, monitor, fields), "baseline-counts")
     every, scores = _baseline_scores(counts, known, fields)
     return _metric_rows(every, scores, monitor, fields, "BASELINE")
 
 
+def counted_drift(counts: DataFrame, known: DataFrame, monitor: Monitor, fields: list[T.StructField]) -> DataFrame:
+    """D4 without the old rows: value counts of a snapshot against those kept of the snapshot before it, in ``fields``."""
+    every, scores = _baseline_scores(counts, known, fields)
+    return _metric_rows(every, scores, monitor, fields, "CONSECUTIVE")
+
+
 def snapshot_drift(df: DataFrame, previous: DataFrame, monitor: Monitor) -> DataFrame:
     """A snapshot against the snapshot before it, handed in as a second frame."""
     rows = baseline_drift(df, previous, monitor)

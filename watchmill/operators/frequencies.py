@@ -25,6 +25,8 @@ _WIDE = (T.LongType, T.DecimalType)
 
 #: Column position of the rows that count all rows of a group.
 ALL_ROWS = -1
+#: If a table has this column, each of its rows counts that often: 1 for a row that came, -1 for one that went.
+SIGN = "__sign"
 
 
 def _entry(i: int, field: T.StructField):
@@ -46,7 +48,7 @@ def value_counts(df: DataFrame, monitor: Monitor, fields: list[T.StructField] |
     """Rows (g, c, number, key, n), where c is the position in ``fields``; the ALL_ROWS rows count every row.
 
     Every input row is read once and collapsed before the first shuffle; only the counts fan out into windows and
-    slices.
+    slices. Rows with a SIGN give signed counts, which add up with those of other rows.
     """
     fields = profiled_columns(df, monitor) if fields is None else fields
     rows, keys = with_base_keys(df, monitor)
@@ -56,8 +58,9 @@ def value_counts(df: DataFrame, monitor: Monitor, fields: list[T.StructField] |
         F.lit("").alias("key"),
     )
     entries = F.array(table, *[_entry(i, field) for i, field in enumerate(fields)])
-    long = rows.select(*keys, F.inline(entries)).filter("number IS NOT NULL OR key IS NOT NULL")
-    counts = long.groupBy(*keys, "c", "number", "key").agg(F.count("*").alias("n"))
+    signs = [SIGN] if SIGN in df.columns else []
+    long = rows.select(*keys, *signs, F.inline(entries)).filter("number IS NOT NULL OR key IS NOT NULL")
+    counts = long.groupBy(*keys, "c", "number", "key").agg((F.sum(SIGN) if signs else F.count("*")).cast("bigint").alias("n"))
     grouped = fan_out(counts, monitor)
     if not needs_fan_out(monitor):
         return grouped.select("g", "c", "number", "key", "n")

@@ -58,6 +58,18 @@ def fan_out(df: DataFrame, monitor: Monitor) -> DataFrame:
     return sliced.withColumn("g", group).drop("__w", "__s", "__at", *[f"__s{i}" for i in range(len(names))])
 
 
+def place_of(group: str = "g") -> list[Column]:
+    """The partition of the metric tables that a group belongs to: position of its granularity, and date of its window."""
+    return [F.col(f"{group}.granularity").alias("granularity"), F.to_date(F.col(f"{group}.window_start")).alias("window_date")]
+
+
+def within(df: DataFrame, only: DataFrame | None) -> DataFrame:
+    """Rows whose group ``g`` lies in one of the partitions (granularity, window_date); all without any given."""
+    if only is None:
+        return df
+    return df.join(only.select(F.struct("granularity", "window_date").alias("__place")), F.struct(*place_of()) == F.col("__place"), "left_semi")
+
+
 def name_at(position: Column, names: tuple[str, ...]) -> Column:
     """The name at a position; NULL where there is no position."""
     if not names:

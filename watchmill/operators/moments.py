@@ -15,6 +15,8 @@ MAX_PARTS = 1_000_000
 #: Values a slice column may have (the slice guard's default limit).
 SLICE_VALUES = 50
 _SALTS = 64
+#: What is left of squared deviations that rows took back counts as nothing below this share of all that was added.
+_RESIDUE = 1e-12
 
 #: How further columns merge: name -> aggregate. Each must give the same result when applied to its own results.
 Merges = dict[str, Callable[[str], Column]]
@@ -37,14 +39,15 @@ def _merge(rows: DataFrame, keys: list[str], merges: Merges) -> DataFrame:
         F.sum("values").alias("values"),
         F.sum(F.col("values") * off).alias("shift"),
         F.sum(F.col("m2") + F.col("values") * off * off).alias("spread"),
+        F.sum(F.abs("m2") + F.abs("values") * off * off).alias("added"),
         F.max("centre").alias("centre"),
         *[merge(name).alias(name) for name, merge in merges.items()],
     )
     shift = F.try_divide(F.col("shift"), F.col("values"))
     m2 = F.col("spread") - F.col("values") * shift * shift
     return merged.withColumns(
-        {"mean": F.col("centre") + shift, "m2": F.when(m2.isNotNull(), F.greatest(m2, F.lit(0.0)))}
-    ).drop("shift", "spread", "centre")
+        {"mean": F.col("centre") + shift, "m2": F.when(m2 > F.col("added") * _RESIDUE, m2).when(m2.isNotNull(), 0.0)}
+    ).drop("shift", "spread", "centre", "added")
 
 
 def merge_moments(rows: DataFrame, keys: list[str], merges: Merges, *, two_rounds: bool = False) -> DataFrame:

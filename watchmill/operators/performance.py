@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from watchmill.functions.ordering import Sizes, running_totals
-from watchmill.operators.grouping import fan_out, group_columns, with_base_keys
+from watchmill.operators.frequencies import SIGN
+from watchmill.operators.grouping import fan_out, group_columns, with_base_keys, within
 from watchmill.operators.moments import merge_moments, needs_two_rounds
 from watchmill.schemas import PERFORMANCE_FIELDS
 from watchmill.settings import REGRESSION, Monitor
@@ -51,7 +52,27 @@ def performance(df: DataFrame, monitor: Monitor) -> DataFrame | None:
     if monitor.profile_type != "INFERENCE" or not (monitor.prediction_column and monitor.label_column):
         return None
     rows = labelled(df, monitor)
-    scores = _regression(rows, monitor) if monitor.problem_type == REGRESSION else _classification(rows, monitor)
+    return performance_of(performance_partials(rows, monitor, scored(rows, monitor)), monitor)
+
+
+def scored(rows: DataFrame, monitor: Monitor) -> bool:
+    """Whether the predictions of labelled rows are probabilities of a class."""
+    return monitor.problem_type != REGRESSION and has_scores(rows, monitor)
+
+
+def performance_partials(rows: DataFrame, monitor: Monitor, scored: bool) -> dict[str, DataFrame]:
+    """Counts and sums of labelled rows by base window and slices, from which all scores follow. Those of several sets of rows
+    may be put together; rows with a SIGN of -1 take away what they once gave.
+    """
+    if monitor.problem_type == REGRESSION:
+        return {"errors": _error_sums(rows, monitor)}
+    found = {"confusion": confusion_counts(rows, monitor, scored)}
+    return found | ({"ranking": score_counts(rows, monitor)} if scored else {})
+
+
+def performance_of(partials: dict[str, DataFrame], monitor: Monitor, only: DataFrame | None = None) -> DataFrame:
+    """Scores per window and slice from partials; with ``only``, of the groups that ``within`` keeps."""
+    scores = _regression(partials["errors"], monitor, only) if "errors" in partials else _classification(partials, monitor, only)
     present = set(scores.columns)
     columns = [
         F.col(f.name) if f.name in present else F.lit(None).cast(f.dataType).alias(f.name) for f in PERFORMANCE_FIELDS
@@ -62,22 +83,34 @@ def performance(df: DataFrame, monitor: Monitor) -> DataFrame | None:
 # --- regression -------------------------------------------------------------------------------------------------
 
 
-def _regression(rows: DataFrame, monitor: Monitor) -> DataFrame:
-    """M17-M21 from sums that merge."""
-    rows, keys = with_base_keys(rows, monitor)
+def _sign(rows: DataFrame) -> Column:
+    return F.col(SIGN).cast("bigint") if SIGN in rows.columns else F.lit(1).cast("bigint")
+
+
+def _error_sums(rows: DataFrame, monitor: Monitor) -> DataFrame:
+    """Rows (base keys, values, mean, m2 and sums). Rows that went have parts of their own, with everything but the mean below
+    zero.
+    """
+    rows, keys = with_base_keys(rows.withColumn("__of", _sign(rows)), monitor)
     label = F.col(f"`{monitor.label_column}`").cast("double")
     error = F.col(f"`{monitor.prediction_column}`").cast("double") - label
-    partial = rows.groupBy(*keys).agg(
-        F.count("*").alias("values"),
-        F.avg(label).alias("mean"),
-        (F.var_pop(label) * F.count("*")).alias("m2"),
-        F.sum(error * error).alias("squares"),
-        F.sum(F.abs(error)).alias("absolutes"),
-        F.sum(F.try_divide(F.abs(error), F.abs(label))).alias("relatives"),
-        F.count(F.when(label != 0, 1)).alias("nonzero"),
-    )
+    sums = {
+        "values": F.count("*"),
+        "m2": F.var_pop(label) * F.count("*"),
+        "squares": F.sum(error * error),
+        "absolutes": F.sum(F.abs(error)),
+        "relatives": F.sum(F.try_divide(F.abs(error), F.abs(label))),
+        "nonzero": F.count(F.when(label != 0, 1)),
+    }
+    partial = rows.groupBy(*keys, "__of").agg(F.avg(label).alias("mean"), *[value.alias(name) for name, value in sums.items()])
+    return partial.withColumns({name: F.col(name) * F.col("__of") for name in sums}).drop("__of")
+
+
+def _regression(partial: DataFrame, monitor: Monitor, only: DataFrame | None) -> DataFrame:
+    """M17-M21 from sums that merge."""
     sums = {name: F.sum for name in ("squares", "absolutes", "relatives", "nonzero")}
-    merged = merge_moments(fan_out(partial, monitor), ["g"], sums, two_rounds=needs_two_rounds(monitor))
+    spread = within(fan_out(partial, monitor), only)
+    merged = merge_moments(spread, ["g"], sums, two_rounds=needs_two_rounds(monitor)).filter("values > 0")
     n, mean_square = F.col("values"), F.col("squares") / F.col("values")
     return merged.select(
         "g",
@@ -115,8 +148,8 @@ def _class_text(value: Column, kind: T.DataType, beside_text: bool) -> Column:
     return value.cast("string")
 
 
-def confusion(df: DataFrame, monitor: Monitor, scored: bool) -> DataFrame:
-    """Rows (g, label, guess, n, loss, losses): how often each class was taken for which, and the log loss sums."""
+def confusion_counts(df: DataFrame, monitor: Monitor, scored: bool) -> DataFrame:
+    """Rows (base keys, label, guess, n, loss, losses): how often each class was taken for which, and the log loss sums."""
     label, guess = _classes(df, monitor, scored)
     loss = F.lit(None).cast("double")
     if scored:
@@ -124,18 +157,21 @@ def confusion(df: DataFrame, monitor: Monitor, scored: bool) -> DataFrame:
         hit = F.when(label == "1", score).otherwise(1 - score)
         clipped = F.least(F.greatest(hit, F.lit(CLIP)), F.lit(1 - CLIP))
         loss = F.when(score.between(0, 1) & label.isin("0", "1"), -F.ln(clipped))
-    rows = df.withColumns({"__label": label, "__guess": guess, "__loss": loss})
+    rows = df.withColumns({"__label": label, "__guess": guess, "__loss": loss, "__of": _sign(df)})
     rows, keys = with_base_keys(rows, monitor)
-    partial = rows.groupBy(*keys, F.col("__label").alias("label"), F.col("__guess").alias("guess")).agg(
-        F.count("*").alias("n"), F.sum("__loss").alias("loss"), F.count("__loss").alias("losses")
-    )
-    return (
-        fan_out(partial, monitor)
-        .groupBy("g", "label", "guess")
-        .agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("losses").alias("losses"))
+    return rows.groupBy(*keys, F.col("__label").alias("label"), F.col("__guess").alias("guess")).agg(
+        F.sum("__of").alias("n"),
+        F.sum(F.col("__loss") * F.col("__of")).alias("loss"),
+        F.sum(F.when(F.col("__loss").isNotNull(), F.col("__of")).otherwise(0)).alias("losses"),
     )
 
 
+def confusion(partial: DataFrame, monitor: Monitor, only: DataFrame | None) -> DataFrame:
+    """Rows (g, label, guess, n, loss, losses) of windows and slices."""
+    grouped = within(fan_out(partial, monitor), only).groupBy("g", "label", "guess")
+    return grouped.agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("losses").alias("losses")).filter("n > 0")
+
+
 def _per_class(table: DataFrame) -> DataFrame:
     """Accuracy, log loss and support-weighted precision, recall and F1."""
     zero = F.lit(0).cast("bigint")
@@ -214,15 +250,19 @@ def _fairness(table: DataFrame) -> DataFrame:
     )
 
 
-def ranking(df: DataFrame, monitor: Monitor) -> DataFrame:
-    """Area under the ROC curve for probabilities, by mid-ranks of the distinct scores."""
+def score_counts(df: DataFrame, monitor: Monitor) -> DataFrame:
+    """Rows (base keys, score, pos, neg): how often each score stands on rows of either label."""
     score = F.col(f"`{monitor.prediction_column}`").cast("double") + F.lit(0.0)
     positive = F.col(f"`{monitor.label_column}`").cast("int") == 1
-    rows, keys = with_base_keys(df.withColumns({"__score": score, "__positive": positive}), monitor)
-    counts = rows.groupBy(*keys, F.col("__score").alias("score")).agg(
-        F.count(F.when(F.col("__positive"), 1)).alias("pos"), F.count(F.when(~F.col("__positive"), 1)).alias("neg")
-    )
-    counts = fan_out(counts, monitor).groupBy("g", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    rows, keys = with_base_keys(df.withColumns({"__score": score, "__positive": positive, "__of": _sign(df)}), monitor)
+    pos, neg = (F.sum(F.when(side, F.col("__of")).otherwise(0)) for side in (F.col("__positive"), ~F.col("__positive")))
+    return rows.groupBy(*keys, F.col("__score").alias("score")).agg(pos.alias("pos"), neg.alias("neg"))
+
+
+def ranking(partial: DataFrame, monitor: Monitor, only: DataFrame | None) -> DataFrame:
+    """Area under the ROC curve for probabilities, by mid-ranks of the distinct scores."""
+    grouped = within(fan_out(partial, monitor), only).groupBy("g", "score")
+    counts = grouped.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos <> 0 OR neg <> 0")
     counts = materialize(counts, "scores")
     sizes = Sizes.of(counts.groupBy("g").agg(F.count("*").alias("values")))
     ranked = running_totals(counts, ["g"], "score", ["neg"], sizes.grids)
@@ -231,10 +271,9 @@ def ranking(df: DataFrame, monitor: Monitor) -> DataFrame:
     return ranked.groupBy("g").agg(F.struct(F.struct(area.alias("weighted")).alias("one_vs_one")).alias("roc_auc_score"))
 
 
-def _classification(rows: DataFrame, monitor: Monitor) -> DataFrame:
-    scored = has_scores(rows, monitor)
-    table = materialize(confusion(rows, monitor, scored), "confusion")
+def _classification(partials: dict[str, DataFrame], monitor: Monitor, only: DataFrame | None) -> DataFrame:
+    table = materialize(confusion(partials["confusion"], monitor, only), "confusion")
     scores = _per_class(table).join(_fairness(table), "g")
-    if scored:
-        scores = scores.join(ranking(rows, monitor), "g", "left")
+    if "ranking" in partials:
+        scores = scores.join(ranking(partials["ranking"], monitor, only), "g", "left")
     return scores

@@ -21,6 +21,7 @@ from watchmill.operators.grouping import (
     is_number,
     profiled_columns,
     with_base_keys,
+    within,
 )
 from watchmill.operators.moments import Merges, merge_moments, needs_two_rounds
 from watchmill.schemas import PERFORMANCE_FIELDS, PROFILE_METRICS, TABLE_ROW
@@ -89,14 +90,16 @@ def partial_profiles(
     return result
 
 
-def merge_profiles(partials: DataFrame, monitor: Monitor) -> DataFrame:
-    """Merge partial profiles into rows per group ``g`` and column: rows, values, mean, stddev, low, high, sketches."""
+def merge_profiles(partials: DataFrame, monitor: Monitor, only: DataFrame | None = None) -> DataFrame:
+    """Merge partial profiles into rows per group ``g`` and column: rows, values, mean, stddev, low, high, sketches. With
+    ``only``, those of the groups that ``within`` keeps.
+    """
     merges: Merges = {"rows": F.sum, "low": F.min, "high": F.max}
     if "hll" in partials.columns:
         merges["hll"] = F.hll_union_agg
     if "kll" in partials.columns:
         merges["kll"] = lambda name: F.kll_merge_agg_double(name, F.lit(RANK_SKETCH_SIZE))
-    spread = fan_out(partials, monitor)
+    spread = within(fan_out(partials, monitor), only)
     merged = merge_moments(spread, ["g", "column_name"], merges, two_rounds=needs_two_rounds(monitor))
     deviation = F.sqrt(F.col("m2") / (F.col("values") - 1))
     return merged.withColumn("stddev", F.when(F.col("values") > 1, deviation)).drop("m2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
@@ -33,20 +34,26 @@ from watchmill.operators.drift import (
     baseline_drift,
     compared_fields,
     consecutive_drift,
+    counted_drift,
     drift_fields,
     shared_with_baseline,
     snapshot_drift,
     stored_counts,
 )
-from watchmill.operators.performance import performance
+from watchmill.operators.frequencies import ALL_ROWS, value_counts
+from watchmill.operators.grouping import name_at
+from watchmill.operators.performance import labelled, performance, scored
 from watchmill.operators.profile import profile, safe_slices, with_performance
 from watchmill.operators.provisioning import run_summary
 from watchmill.operators.sketch_drift import sketch_drift
 from watchmill.operators.unify import Member, unified_drift, unified_performance, unified_profile
+from watchmill.plans.increment import CHANGE, State, renewed_aggregates, renewed_metrics, settings_text, take_in
 from watchmill.schemas import DRIFT_METRICS, PROFILE_METRICS, empty
 from watchmill.settings import Monitor, RunSettings, TableSettings, resolve_monitor, settings_problems
-from watchmill.sources.sinks import drop_stale_views, ensure_schema, publish_groups, read_written_metrics, write_metrics
+from watchmill.sources.ledger import Committed, commit, committed, read_version, write_version
+from watchmill.sources.sinks import drop_stale_views, ensure_schema, publish_groups
 from watchmill.sources.tables import read_table
+from watchmill.streaming.live import new_rows
 
 #: Tables worked on at the same time; Spark schedules their jobs together.
 PARALLEL_TABLES = 4
@@ -94,9 +101,7 @@ def compute_metrics(
     """
     rows = with_performance(profile(df, monitor, distinct=distinct), performance(df, monitor))
     if baseline is not None:
-        common = shared_with_baseline(monitor, baseline).slice_columns
-        still = Monitor(monitor.table, "SNAPSHOT", granularities=(), slices=common, columns=monitor.columns)
-        rows = rows.unionByName(with_performance(profile(baseline, still, log_type="BASELINE", distinct=distinct), None))
+        rows = rows.unionByName(_baseline_profile(baseline, monitor, distinct))
     if any(metric.metric_type == "aggregate" for metric in monitor.custom_metrics):
         rows = with_custom_aggregates(rows, custom_aggregates(df, monitor))
     rows = with_derived(rows, monitor.custom_metrics, df.columns)
@@ -121,6 +126,124 @@ def compute_metrics(
     return TableMetrics(rows, _with_custom_drift(drift, rows, monitor, baseline is not None))
 
 
+def _baseline_profile(baseline: DataFrame, monitor: Monitor, distinct: str) -> DataFrame:
+    common = shared_with_baseline(monitor, baseline).slice_columns
+    still = Monitor(monitor.table, "SNAPSHOT", granularities=(), slices=common, columns=monitor.columns)
+    return with_performance(profile(baseline, still, log_type="BASELINE", distinct=distinct), None)
+
+
+def _snapshot_history(spark: SparkSession, df: DataFrame, monitor: Monitor, place: _Place) -> DataFrame | None:
+    """T4 with J9: the snapshot's value counts are kept, and compared with those of the snapshot before, whose rows may be gone
+    by now. Columns both have are compared, slices if they are the same ones.
+    """
+    fields = drift_fields(df, monitor)
+    if not fields:
+        return None
+    value_counts(df, monitor, fields).write.mode("overwrite").parquet(f"{place.state}/snapshot/run={place.number}")
+    if not place.last.run or place.last.settings is None:
+        return None
+    before = json.loads(place.last.settings)
+    held = {name: (i, kind) for i, (name, kind) in enumerate(before["columns"])}
+    common = [f for f in fields if held.get(f.name, (0, None))[1] == f.dataType.simpleString()]
+    if not common:
+        return None
+
+    def in_common(run: int, places: list[int]) -> DataFrame:
+        rows = spark.read.parquet(f"{place.state}/snapshot/run={run}")
+        if before["slices"] != list(monitor.slice_columns):
+            rows = rows.filter("g.slice IS NULL")
+        at = F.when(F.col("c") == ALL_ROWS, ALL_ROWS)
+        for new, old in enumerate(places):
+            at = at.when(F.col("c") == old, new)
+        return rows.withColumn("c", at).filter("c IS NOT NULL")
+
+    now = in_common(place.number, [fields.index(f) for f in common])
+    then = in_common(place.last.run, [held[f.name][0] for f in common])
+    return counted_drift(now, then, monitor, common)
+
+
+def _in_places(metrics: DataFrame, places: DataFrame, monitor: Monitor, *, kept: str) -> DataFrame:
+    """Metric rows in some partitions (``left_semi``), or outside of them (``left_anti``)."""
+    named = places.select(F.struct(name_at(F.col("granularity"), monitor.granularities).alias("granularity"), "window_date").alias("__place"))
+    return metrics.join(named, F.struct("granularity", F.to_date("window.start").alias("window_date")) == F.col("__place"), kept)
+
+
+@dataclass(frozen=True)
+class _Place:
+    """Where the metrics, the state and the ledger of a table are, and what its ledger says."""
+
+    leaf: str
+    last: Committed
+    number: int
+
+    @property
+    def ledger(self) -> str:
+        return f"{self.leaf}_ledger"
+
+    @property
+    def state(self) -> str:
+        return f"{self.leaf}_state"
+
+    @classmethod
+    def of(cls, spark: SparkSession, leaf: str) -> _Place:
+        last = committed(spark, f"{leaf}_ledger")
+        return cls(leaf, last, last.run + 1)
+
+
+def _incremental(
+    spark: SparkSession,
+    df: DataFrame,
+    monitor: Monitor,
+    baseline: DataFrame | None,
+    place: _Place,
+    settings: str,
+    scored: bool | None,
+    changes: DataFrame | None,
+    distinct: str,
+    lookback_days: int | None,
+) -> int:
+    """ST2, ST4: take in what is new and renew the windows it touches. Without a usable state before, all rows are new (or
+    those of the last days). Returns the number of rows without an instant among the new ones.
+    """
+    at, last = monitor.timestamp_column, place.last
+    full = not last.run or last.settings != settings
+    if full:
+        rows = df if lookback_days is None else new_rows(df, at, days=lookback_days)
+    elif changes is not None:
+        rows = changes.select(*df.columns, *([CHANGE] if CHANGE in changes.columns else []))
+    else:
+        kind = next(f.dataType for f in df.schema if f.name.lower() == at.lower())
+        rows = new_rows(df, at, F.lit(last.mark).cast(kind)) if last.mark is not None else df
+    state = State(spark, place.state, place.number, place.number if full else last.full)
+    take_in(state, df, rows, monitor, distinct=distinct, scored=scored)
+    found = renewed_metrics(state, df if not full else rows, monitor, baseline, distinct=distinct, scored=scored)
+
+    profiles = found.profile
+    if full and baseline is not None:
+        profiles = profiles.unionByName(_baseline_profile(baseline, monitor, distinct))
+    if any(metric.metric_type == "aggregate" for metric in monitor.custom_metrics):
+        profiles = with_custom_aggregates(profiles, renewed_aggregates(df if not full else rows, monitor, found.touched))
+    profiles = with_derived(profiles, monitor.custom_metrics, df.columns)
+    write_version(profiles, f"{place.leaf}_profile_metrics", place.number)
+    drift = found.drift if found.drift is not None else empty(spark, DRIFT_METRICS)
+    if any(metric.metric_type == "drift" for metric in monitor.custom_metrics):
+        fresh = spark.read.schema(profiles.schema).parquet(f"{place.leaf}_profile_metrics/run={place.number}").select(*profiles.columns)
+        if not full:
+            # A window is compared with the one before it, which may be an old row.
+            old = read_version(spark, f"{place.leaf}_profile_metrics", place.ledger, profiles.schema, "profile")
+            fresh = fresh.unionByName(_in_places(old, found.touched, monitor, kept="left_anti"))
+        drift = _with_custom_drift(drift, fresh, monitor, baseline is not None)
+        if not full:
+            drift = _in_places(drift, found.drifted, monitor, kept="left_semi")
+    write_version(drift, f"{place.leaf}_drift_metrics", place.number)
+
+    instant = as_instant(rows, at)
+    seen = rows.agg(F.max(instant).cast("string").alias("mark"), F.count_if(instant.isNull()).alias("lost")).first()
+    marks = [mark for mark in (None if full else last.mark, seen.mark) if mark is not None]
+    commit(spark, place.ledger, place.number, full=full, mark=max(marks, default=None), settings=settings, replaced=found.replaced(monitor))
+    return seen.lost
+
+
 def _with_custom_drift(drift: DataFrame, profiles: DataFrame, monitor: Monitor, has_baseline: bool) -> DataFrame:
     """Drift rows with the custom drift metrics beside them. A column without other drift gets rows of its own."""
     names = [metric.name for metric in monitor.custom_metrics if metric.metric_type == "drift"]
@@ -160,6 +283,14 @@ def _missing_column(df: DataFrame, monitor: Monitor) -> str | None:
     return next((name for name in asked if name and name.lower() not in present), None)
 
 
+def _decided(last: Committed, monitor: Monitor) -> dict | None:
+    """What the run before found out about the rows of a table, if it still was asked the same."""
+    if last.settings is None:
+        return None
+    found = json.loads(last.settings).get("decided")
+    return found if found and found["asked"] == list(monitor.slice_columns) else None
+
+
 def _collisions(spark: SparkSession, settings: RunSettings, names: list[str], tags: dict[str, dict[str, str]]) -> list:
     """Tables that would write to the same place, groups that would share views, metrics of one name."""
     found = []
@@ -191,6 +322,9 @@ def run(
     materialized: bool = False,
     history: DataFrame | None = None,
     destinations: DataFrame | None = None,
+    incremental: bool = False,
+    changes: dict[str, DataFrame] | None = None,
+    lookback_days: int | None = None,
 ) -> RunReport:
     """The whole run over the configured tables and, with an ``inventory``, the ones their tags enroll. Settings that
     break a rule, and names that collide, stop it before any work starts; a table that fails, lacks a column or exceeds
@@ -199,6 +333,13 @@ def run(
     ``materialized`` stores the unified frames as tables of the output schema, which other sessions can read, and drops
     those of groups that are gone. ``history`` (alert_name, fired_at) holds earlier notifications and ``destinations``
     (name, id) the known ones.
+
+    Every run gives each table a new version of its metrics; readers see it once its ledger row is written, last of all. An
+    ``incremental`` run keeps mergeable counts and sums beside the metrics of tables with windows, and takes in only the rows
+    past the mark of the run before, or the ``changes`` of a table: rows with a ``_change_type`` (insert, delete,
+    update_preimage, update_postimage), or all new ones; these may be late. A first such run, and one whose settings changed,
+    takes in the whole table, or its last ``lookback_days``. Snapshots are compared with the one of the run before. Sketch mode
+    has no increments.
     """
     problems = [*settings_problems(settings), *template_problems(settings), *missing_functions(spark, settings)]
     if problems:
@@ -219,18 +360,34 @@ def run(
         if missing:
             return f"skipped_column_missing: {missing}"
         limit = settings.profile_defaults.max_slicing_cardinality
-        safe = safe_slices(df, monitor.slice_columns, limit)
+        place = _Place.of(spark, f"{output_path}/{monitor.leaf_name}")
+        keeps_state = incremental and bool(monitor.granularities) and drift_mode == "exact"
+        decided = _decided(place.last, monitor) if keeps_state else None
+        asked = monitor
+        safe = decided["safe"] if decided else safe_slices(df, monitor.slice_columns, limit)
         model = monitor.model_id_column if monitor.model_id_column in safe else None
         monitor = replace(monitor, slices=tuple(s for s in monitor.slices if s in safe), model_id_column=model)
-        if monitor.granularities:
-            lost = df.filter(as_instant(df, monitor.timestamp_column).isNull()).count()
-            if lost:
-                report.without_time[name] = lost
         baseline = read_table(spark, monitor.baseline_table, paths) if monitor.baseline_table else None
-        metrics = compute_metrics(df, monitor, baseline, distinct=distinct, drift_mode=drift_mode)
-        leaf = f"{output_path}/{monitor.leaf_name}"
-        write_metrics(metrics.profile, f"{leaf}_profile_metrics")
-        write_metrics(metrics.drift, f"{leaf}_drift_metrics")
+        if keeps_state:
+            judged = monitor.profile_type == "INFERENCE" and monitor.prediction_column and monitor.label_column
+            scores = (decided["scored"] if decided else scored(labelled(df, monitor), monitor)) if judged else None
+            text = settings_text(df, monitor, distinct, {"safe": list(safe), "scored": scores, "asked": list(asked.slice_columns)})
+            lost = _incremental(spark, df, monitor, baseline, place, text, scores, (changes or {}).get(name), distinct, lookback_days)
+        else:
+            lost = 0
+            if monitor.granularities:
+                lost = df.filter(as_instant(df, monitor.timestamp_column).isNull()).count()
+            metrics = compute_metrics(df, monitor, baseline, distinct=distinct, drift_mode=drift_mode)
+            drift, kept = metrics.drift, None
+            if not monitor.granularities:
+                against = _snapshot_history(spark, df, monitor, place)
+                drift = drift.unionByName(against, allowMissingColumns=True) if against is not None else drift
+                kept = json.dumps({"columns": [(f.name, f.dataType.simpleString()) for f in drift_fields(df, monitor)], "slices": monitor.slice_columns})
+            write_version(metrics.profile, f"{place.leaf}_profile_metrics", place.number)
+            write_version(drift, f"{place.leaf}_drift_metrics", place.number)
+            commit(spark, place.ledger, place.number, full=True, settings=kept)
+        if lost:
+            report.without_time[name] = lost
         return Member(monitor, settings.monitored_tables.get(name, TableSettings()), tags.get(name, {}))
 
     members: dict[str, Member] = {}
@@ -297,8 +454,9 @@ def _slugs(spark: SparkSession, names: list[str]) -> dict[str, str]:
 def _group_frames(spark: SparkSession, settings: RunSettings, output_path: str, members: list[Member]) -> dict:
     def stored(kind: str, schema) -> list[tuple[Member, DataFrame]]:
         return [
-            (m, read_written_metrics(spark, f"{output_path}/{m.monitor.leaf_name}_{kind}_metrics", schema))
+            (m, read_version(spark, f"{leaf}_{kind}_metrics", f"{leaf}_ledger", schema, kind))
             for m in members
+            for leaf in [f"{output_path}/{m.monitor.leaf_name}"]
         ]
 
     limit = settings.alerting.drift_threshold
