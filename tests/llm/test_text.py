@@ -245,6 +245,32 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert not {a for a, _ in drawn.values()} & set(names)
 
 
+def test_letters_of_other_scripts_are_replaced(spark):
+    mails = ["用户@例子.com", "José.Müller@größe.de", "Ёжик.Йод@почта.рф", "עברית@דומיין.co", "مستخدم@مثال.com", "ไทย@x.th", "한국@한국.kr", "ひらカタ@x.jp", "ά.Ά@x.gr", "①٣@x.com"]
+    rows = surrogates.replace_entities(spark.createDataFrame([(i, f"by {m} now") for i, m in enumerate(mails)], "doc_id long, text string")).collect()
+    for row in rows:
+        old, new = mails[row["doc_id"]], re.fullmatch(r"by (\S+) now", row["text"])[1]
+        assert [c for c in new if not c.isalnum()] == [c for c in old if not c.isalnum()] and len(new) == len(old)
+        head, fresh = old.rpartition(".")[0], new.rpartition(".")[0]
+        assert all(a != b for a, b in zip(head, fresh) if a.isalpha() and not a.isascii())
+        assert [c.isupper() for c in head] == [c.isupper() for c in fresh]
+        assert old.rpartition(".")[2] == new.rpartition(".")[2]
+    # Cased and uncased ways of writing are one entity, and keep their case.
+    frame = spark.createDataFrame([(1, "ÉVA.ЙОД@x.com éva.йод@x.com")], "doc_id long, text string")
+    upper, lower = surrogates.replace_entities(frame).first()["text"].split()
+    assert upper.split("@")[0].lower() == lower.split("@")[0] and upper.split("@")[0].isupper()
+
+
+@pytest.mark.parametrize("longer, last", [(1, 6), (1, 2)])
+def test_more_entities_than_surrogates_of_a_format(spark, monkeypatch, longer, last):
+    monkeypatch.setattr(surrogates, "SYLLABLES", {k: ["a"] for k in surrogates.SYLLABLES})  # one family name
+    monkeypatch.setattr(surrogates, "LONGER", longer)
+    monkeypatch.setattr(surrogates, "LAST", last)
+    names = [f"{a}{b}{c}" for a in "BDFGHK" for b in "aeiou" for c in ("rn", "ll", "nt")]
+    rows = surrogates.replace_entities(spark.createDataFrame([(i, f"Mr. {n}") for i, n in enumerate(names)], "doc_id long, text string")).collect()
+    assert len({r["text"] for r in rows}) == len(names) == len(rows) and all(re.fullmatch(r"Mr\. A[a-z]+", r["text"]) for r in rows)
+
+
 def test_surrogates_of_odd_documents(spark):
     docs = edge_documents(spark)
     found = surrogates.replace_entities(docs)

@@ -57,6 +57,24 @@ SYLLABLES = {
     "latin": "bar den fel gor han kel lin mar nor pel ros sen tal vin wes zan".split(),
     "cyrillic": "бар ден фел гор хан кел лин мар нор пел рос сен тал вин вес зан".split(),
 }
+#: Runs of letters of one kind beside those alphabets, capitals and small letters in runs of equal size (first and last code
+#: point): a letter moves on in its run by a keyed step, and comes round.
+RUNS = (
+    (0xC0, 0xD6), (0xE0, 0xF6), (0xD8, 0xDE), (0xF8, 0xFE),  # Latin with marks
+    (0x400, 0x40F), (0x450, 0x45F), (0x410, 0x42F), (0x430, 0x44F),  # Cyrillic
+    (0x531, 0x556), (0x561, 0x586),  # Armenian
+    (0x5D0, 0x5EA),  # Hebrew
+    (0x621, 0x63A), (0x641, 0x64A),  # Arabic
+    (0x905, 0x939), (0x985, 0x98C), (0x993, 0x9A8),  # Devanagari, Bengali
+    (0xE01, 0xE2E),  # Thai
+    (0x10D0, 0x10F0),  # Georgian
+    (0x3041, 0x3096), (0x30A1, 0x30FA),  # Hiragana, Katakana
+    (0x4E00, 0x9FFF),  # Han
+    (0xAC00, 0xD7A3),  # Hangul
+)
+#: From the first of these attempts on a surrogate is longer than its format by more and more drawn characters, so that more
+#: entities than a format has surrogates find one; at the last one it carries a whole digest, and is taken.
+LONGER, LAST = 8, 16
 #: Digest blocks of 32 characters each are added until the entity is covered; longer entities repeat them.
 MAX_BLOCKS = 64
 
@@ -124,8 +142,29 @@ def recode(text: Column, seed: Column) -> Column:
     return F.when(F.length(text) == 0, text).otherwise(let(given, all_of))
 
 
+def _moved(char: Column, number: Column) -> Column:
+    """A letter or digit outside of the alphabets: the letter some steps on in its run, a digit for a digit, and a Latin letter
+    of the same case for what has no run.
+    """
+    runs = F.array(*(F.struct(F.lit(first).alias("first"), F.lit(last - first + 1).alias("size")) for first, last in RUNS))
+    small, capital = (_pick(ALPHABETS[i], number) for i in (1, 2))
+    alone = F.when(char.rlike(r"\p{N}"), _pick(DIGITS, number)).when((F.upper(char) == char) & (F.lower(char) != char), capital).otherwise(small)
+
+    def along(point: Column) -> Column:
+        run = F.get(F.filter(runs, lambda r: (r["first"] <= point) & (point < r["first"] + r["size"])), F.lit(0))
+        return let(run, lambda r: r["first"] + (point - r["first"] + 1 + number % (r["size"] - 1)) % r["size"])
+
+    def two_or_three_bytes(point: Column) -> Column:
+        two = [F.lit(0xC0) + F.shiftright(point, 6), F.lit(0x80) + point % 64]
+        three = [F.lit(0xE0) + F.shiftright(point, 12), F.lit(0x80) + F.shiftright(point, 6) % 64, F.lit(0x80) + point % 64]
+        spelled = F.when(point < 0x800, F.concat(*map(F.hex, two))).otherwise(F.concat(*map(F.hex, three)))
+        return F.decode(F.unhex(spelled), "UTF-8")
+
+    return let(along(F.ascii(char)), lambda point: F.when(point.isNull(), alone).otherwise(two_or_three_bytes(point)))
+
+
 def _of_kind(char: Column, number: Column, hexadecimal: Column) -> Column:
-    new = char
+    new = F.when(char.rlike(r"[\p{L}\p{N}]"), _moved(char, number)).otherwise(char)
     for alphabet in reversed(ALPHABETS):
         new = F.when(F.contains(F.lit(alphabet), char), _pick(alphabet, number)).otherwise(new)
     return F.when(hexadecimal & char.rlike("[a-f]"), _pick(HEX, number)).otherwise(new)
@@ -178,7 +217,16 @@ def _name(mention: Column, seed: Column) -> Column:
 
 
 def surrogate(kind: Column, mention: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of a mention of an entity."""
+    """The replacement of a mention of an entity; of later attempts it is longer."""
+    drawn = F.sha2(F.concat(F.lit(f"{key}|longer|"), kind, F.lit("|"), entity, F.lit("|"), attempt.cast("string")), 256)
+    size = F.when(attempt >= LAST, 64).otherwise(2 * (attempt - LONGER + 1))
+    letters, digits = (F.translate(F.substr(drawn, F.lit(1), size), "0123456789abcdef", signs) for signs in ("bcdfghjklmnpqrst", "0123456789012345"))
+    added = F.when(kind.isin("email", "name"), letters).otherwise(digits)
+    of_format = _of_format(kind, mention, entity, attempt, key)
+    return let(of_format, lambda new: F.when(attempt < LONGER, new).when(kind == "email", F.concat(added, new)).otherwise(F.concat(new, added)))
+
+
+def _of_format(kind: Column, mention: Column, entity: Column, attempt: Column, key: str) -> Column:
     seed = F.concat(F.lit(f"{key}||"), kind, F.lit("|"), entity, F.lit("|"), attempt.cast("string"))
     local, domain = F.substring_index(mention, "@", 1), F.substring_index(mention, "@", -1)
     last = F.substring_index(domain, ".", -1)
@@ -190,20 +238,21 @@ def surrogate(kind: Column, mention: Column, entity: Column, attempt: Column, ke
     )
     code = F.regexp_extract(mention, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
 
-    def after(start: Column) -> Column:
-        """The mention from its beginning, kept as it is, and the rest recoded."""
-        return F.concat(start, recode(F.substr(mention, F.length(start) + 1, F.length(mention)), seed))
-
+    # The beginning of a mention that is kept as it is; the rest is recoded.
+    start = (
+        F.when(kind == "secret", F.substr(mention, F.lit(1), F.length(mention) - F.length(_secret(mention))))
+        .when(kind == "access_key", F.lit("AKIA"))
+        .when(kind == "account", F.substr(mention, F.lit(1), F.lit(2)))
+        .when(kind == "phone", code)
+        .otherwise(F.lit(""))
+    )
+    recoded = let(start, lambda kept: F.concat(kept, recode(F.substr(mention, F.length(kept) + 1, F.length(mention)), seed)))
     return (
         F.when(kind == "email", F.concat(recode(local, seed), F.lit("@"), recode(labels, host), last))
         .when(kind == "address", address)
         .when(kind == "name", _name(mention, seed))
         .when(kind == "card", _card(mention, seed))
-        .when(kind == "secret", after(F.substr(mention, F.lit(1), F.length(mention) - F.length(_secret(mention)))))
-        .when(kind == "access_key", after(F.lit("AKIA")))
-        .when(kind == "account", after(F.substr(mention, F.lit(1), F.lit(2))))
-        .when(kind == "phone", after(code))
-        .otherwise(recode(mention, seed))
+        .otherwise(recoded)
     )
 
 
@@ -223,27 +272,28 @@ def retries(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """(kind, entity, attempt) of the entities whose first surrogate collides, with the attempt that does not.
 
     An entity collides if its surrogate is that of a smaller entity of the type, or one settled before, or an entity of the
-    corpus itself.
+    corpus itself. There are at most LAST + 1 rounds: surrogates of later attempts are longer, and those of the last one carry
+    a digest of their own.
     """
     mention = F.col("mention")
     found = docs.select(F.explode(mentions_of(F.col(text))).alias("mention")).distinct().withColumn("kind", kind_of(mention))
     entities = found.withColumn("entity", entity_of(F.col("kind"), mention)).groupBy("kind", "entity").agg(F.min("mention").alias("mention"))
     entities = materialize(entities, "entities")
-    settled, pending, attempt = None, entities, 0
-    while True:
+    settled, pending = None, entities
+    for attempt in range(LAST + 1):
         drawn = surrogate(F.col("kind"), mention, F.col("entity"), F.lit(attempt), key)
         drawn = pending.withColumn("surrogate", let(drawn, lambda new: entity_of(F.col("kind"), new))).withColumn("attempt", F.lit(attempt))
         taken = entities.select("kind", F.col("entity").alias("surrogate"))
         if settled is not None:
             taken = taken.unionByName(settled.select("kind", "surrogate"))
-        free = drawn.join(taken.distinct(), ["kind", "surrogate"], "left_anti")
+        free = drawn if attempt == LAST else drawn.join(taken.distinct(), ["kind", "surrogate"], "left_anti")
         first = free.groupBy("kind", "surrogate").agg(F.min_by(F.struct("entity", "mention", "attempt"), "entity").alias("one"))
         settling = materialize(first.select("kind", "one.*", "surrogate"), "surrogates")
         settled = settling if settled is None else settled.unionByName(settling)
         pending = materialize(pending.join(settling.select("kind", "entity"), ["kind", "entity"], "left_anti"), "pending")
         if pending.isEmpty():
-            return settled.where("attempt > 0").select("kind", "entity", "attempt")
-        attempt += 1
+            break
+    return settled.where("attempt > 0").select("kind", "entity", "attempt")
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
