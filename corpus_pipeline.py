@@ -1,7 +1,7 @@
 """The corpus pipeline: from raw documents to packed training sequences, in stages that are written one by one.
 
-Documents in no learned language go, toxic ones go, of near duplicates one stays, personal data gets surrogates, and what is
-left is packed. Every stage but the last returns the columns of its input.
+Documents whose language cannot be told, having no letter, go, toxic ones go, of near duplicates one stays, personal data gets
+surrogates, and what is left is packed. Every stage but the last returns the columns of its input.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter, and null ones; the model is learned from the rows at hand."""
+    """Rejects texts without a letter, and null ones, whose language is unknown; the model is learned from the rows at hand."""
     model = language.learn(docs.select("doc_id", "text", "lang"))
     judged = language.language_of(F.col("text"), model, spark)
     return docs.where(judged["lang_pred"] != language.UNKNOWN)
@@ -33,10 +33,22 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates only the document with the smallest id stays; rows without an id stay too."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """Of every group of near duplicates one row stays: that with the smallest id, rows without one last.
+
+    Rows are told apart by a hash of id and text, so of rows that share an id only the near duplicates go. Of rows that agree
+    in both, one stays.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("row_key")).distinct()
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key")).alias("smallest")
+    chosen = materialize(found.join(ids, "row_key").groupBy("component_id").agg(smallest).select("smallest.row_key"), "chosen-rows")
+    repeated = docs.groupBy(key.alias("row_key")).count().where("count > 1").select("row_key")
+    repeated = materialize(repeated.join(chosen, "row_key", "left_semi"), "repeated-rows")
+    once = chosen.join(repeated, "row_key", "left_anti")
+    stay = docs.join(once, key == once["row_key"], "left_semi")
+    one = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("one")
+    return stay.unionByName(docs.join(repeated, key == repeated["row_key"], "left_semi").groupBy(key).agg(one).select("one.*"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
