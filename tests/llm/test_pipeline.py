@@ -42,3 +42,17 @@ def test_stages_on_odd_and_empty_documents(spark, sf):
             docs = corpus_pipeline.materialize(stage(spark, docs, sf), "stage")
             assert docs.columns == columns
         corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+
+
+def test_rows_and_not_ids_of_near_duplicates_go(spark, sf):
+    long = "a line of words that goes on and on and says the same thing over and over again " * 20
+    rows = [
+        (1, long), (2, long + "x"), (2, "quite another text that shares its id with a near copy, and is kept"),
+        (None, long), (None, "a text without an id"), (None, "a text without an id"), (None, "one more text, and no id"),
+        (3, "the same row twice"), (3, "the same row twice"), (4, None), (5, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_key string")
+    left = corpus_pipeline.one_of_each(spark, docs, sf)
+    assert left.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    assert kept == sorted([(1, long), rows[2], rows[4], rows[6], rows[7], (4, None)], key=str)
