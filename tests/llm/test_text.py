@@ -42,6 +42,60 @@ def test_words_come_first_then_shorter_n_grams():
     assert language.LanguageModel().predict("text") == ("und", 0.0)
 
 
+def test_votes_that_are_kept_change_nothing():
+    model = language.LanguageModel(["a", "b"], {"known": 0}, {"^xy": 0, "y": 1}, np.log([[0.9, 0.1]]).astype(np.float32), np.log([[0.2, 0.8], [0.7, 0.3]]).astype(np.float32))
+    texts = ["known xyz yyy", "qqq " * 20 + "xyz", "known " * 9, "yyy xyz known other words of many kinds"] * 3
+    votes = language.Votes(model, kept=4)
+    for text in texts:
+        plain = sum((model.word_logs[0] if w == "known" else v if (v := model.backoff(w)) is not None else np.zeros(2) for w in text.split()), np.zeros(2))
+        assert np.allclose(votes.total(text.split()), plain, atol=1e-5)
+        assert model.predict(text, votes)[0] == model.predict(text)[0]
+
+
+def test_languages_equal_a_plain_count(spark):
+    """Learned counts and all predictions against a version with dictionaries in plain Python."""
+    rng = np.random.default_rng(4)
+    parts = {"en": ["the", "of", "and", "ing", "ther"], "de": ["der", "und", "ung", "sch", "ö"], "es": ["que", "los", "ción", "ñ", "ar"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[lang], rng.integers(1, 4))) for _ in range(rng.integers(0, 12))), lang) for i in range(200) for lang in [list(parts)[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    languages = sorted(parts)
+    words, grams = {}, {}
+    for text, lang in learned:
+        for word in language.WORDS.findall(text.lower()):
+            words.setdefault(word, [0] * 3)[languages.index(lang)] += 1
+            marked = f"^{word}^"
+            for n in language.LENGTHS:
+                for i in range(len(marked) - n + 1):
+                    grams.setdefault(marked[i : i + n], [0] * 3)[languages.index(lang)] += 1
+    words, grams = ({k: v for k, v in c.items() if sum(v) >= least} for c, least in ((words, language.WORD_SEEN), (grams, language.GRAM_SEEN)))
+    model = language.learn(docs)
+    assert len(model.words) == len(words) and all(w in model.words for w in words) and len(model.grams) == len(grams)
+
+    def logs(counts):
+        totals = np.sum(list(counts.values()), axis=0)
+        return {k: np.log((np.array(v) + 0.5) / (totals + 0.5 * len(counts))) for k, v in counts.items()}
+
+    word_logs, gram_logs = logs(words), logs(grams)
+    for row in language.predict(docs, model).collect():
+        total = np.zeros(3)
+        for word in language.WORDS.findall(rows[row["doc_id"]][1].lower()):
+            if word in word_logs:
+                total += word_logs[word]
+                continue
+            marked = f"^{word}^"
+            for n in language.LENGTHS:
+                found = [gram_logs[marked[i : i + n]] for i in range(len(marked) - n + 1) if marked[i : i + n] in gram_logs]
+                if found:
+                    total += np.mean(found, axis=0)
+                    break
+        if not rows[row["doc_id"]][1].strip():
+            assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+            continue
+        assert total[languages.index(row["lang_pred"])] >= total.max() - 1e-3
+        assert abs(row["score"] - 1 / np.exp(total - total.max()).sum()) < 1e-3
+
+
 def test_language_of_odd_documents(spark):
     rows = language.identify(edge_documents(spark)).collect()
     assert sorted((r["doc_id"] for r in rows), key=key) == sorted((row[0] for row in ROWS), key=key)

@@ -6,12 +6,12 @@ n-grams, from long to short: the longest length at which any of them was learned
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,63 +21,119 @@ UNKNOWN = "und"
 #: Lengths of n-grams, tried in this order; a word carries a sign at either end.
 LENGTHS, EDGE = (5, 4, 3, 2, 1), "^"
 #: Bounds of what is learned from: at most so many documents of each language, and words or n-grams seen this often.
-PER_LANGUAGE, WORD_SEEN, GRAM_SEEN, SMOOTHING = 1500, 4, 10, 0.5
+PER_LANGUAGE, WORD_SEEN, GRAM_SEEN, SMOOTHING = 3000, 3, 5, 0.5
+#: Words whose votes a worker keeps at a time.
+KEPT = 100_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+class HashedRows:
+    """For words or n-grams, the rows at which they stand, held as sorted 64-bit hashes in place of the texts."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+
+    @staticmethod
+    def hash(item: str) -> int:
+        """Spark's xxhash64 of a text."""
+        value = xxhash.xxh64_intdigest(item.encode("utf-8", "surrogatepass"), seed=42)
+        return value - (1 << 64) if value >> 63 else value
+
+    def get(self, item: str) -> int | None:
+        wanted = self.hash(item)
+        row = int(np.searchsorted(self.keys, wanted))
+        return row if row < len(self.keys) and self.keys[row] == wanted else None
+
+    def __contains__(self, item: str) -> bool:
+        return self.get(item) is not None
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: ``rows`` says at which row of ``logs`` a word or a tagged n-gram stands."""
+    """Log frequencies by language: ``words`` and ``grams`` say at which row of the logs a word or n-gram stands."""
 
     languages: list[str] = field(default_factory=list)
-    words: dict[str, int] = field(default_factory=dict)
-    grams: dict[str, int] = field(default_factory=dict)
+    words: dict[str, int] | HashedRows = field(default_factory=dict)
+    grams: dict[str, int] | HashedRows = field(default_factory=dict)
     word_logs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     gram_logs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
 
     def backoff(self, word: str) -> np.ndarray | None:
-        marked, known = EDGE + word + EDGE, self.grams
+        marked = EDGE + word + EDGE
         for n in LENGTHS:
-            found = [known[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in known]
-            if found:
-                return self.gram_logs[found].mean(axis=0)
+            rows = [row for i in range(len(marked) - n + 1) if (row := self.grams.get(marked[i : i + n])) is not None]
+            if rows:
+                return self.gram_logs[rows].mean(axis=0)
         return None
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def vote(self, word: str) -> np.ndarray:
+        """What a word says for each language; nothing if no part of it is known."""
+        row = self.words.get(word)
+        if row is not None:
+            return self.word_logs[row]
+        vote = self.backoff(word)
+        return vote if vote is not None else np.zeros(len(self.languages), np.float32)
+
+    def predict(self, text: str | None, votes: Votes | None = None) -> tuple[str, float]:
         """The language, and its share among all languages if they are taken as equally likely beforehand."""
         words = WORDS.findall((text or "").lower())
         if not self.languages or not any(c.isalpha() for word in words for c in word):
             return UNKNOWN, 0.0
-        total, known, rows = np.zeros(len(self.languages)), self.words, []
-        for word in words:
-            row = known.get(word)
-            if row is not None:
-                rows.append(row)
-            elif (vote := self.backoff(word)) is not None:
-                total += vote
-        if rows:
-            total += self.word_logs[rows].sum(axis=0, dtype=np.float64)
+        total = (votes or Votes(self)).total(words)
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+class Votes:
+    """Votes of words met before, as rows of one matrix. The sum never depends on what is kept."""
+
+    def __init__(self, model: LanguageModel, kept: int = KEPT):
+        self.model, self.kept, self.rows = model, kept, {}
+        self.matrix = np.zeros((min(kept, 1024), len(model.languages)), np.float32)
+
+    def _row(self, word: str) -> int:
+        row = self.rows[word] = len(self.rows)
+        if row == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[row] = self.model.vote(word)
+        return row
+
+    def total(self, words: list[str]) -> np.ndarray:
+        total = np.zeros(len(self.model.languages))
+        for start in range(0, len(words), self.kept):
+            part = words[start : start + self.kept]
+            if len(self.rows) + len(part) > 2 * self.kept:
+                self.rows.clear()
+            known = self.rows
+            rows = [known[word] if word in known else self._row(word) for word in part]
+            total += self.matrix[rows].sum(axis=0, dtype=np.float64)
+        return total
+
+
 def held_out() -> F.Column:
     """Whether a document is kept from learning: the remainder of its key's checksum by 3 is 1; without a key it is not."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def _logs(counts: pd.DataFrame, languages: list[str], totals: pd.Series) -> tuple[dict[str, int], np.ndarray]:
+def _logs(counts: pd.DataFrame, languages: list[str]) -> tuple[HashedRows, np.ndarray]:
+    """Rows in order of the items' hashes, and their log frequencies."""
     if counts.empty:
-        return {}, np.zeros((0, len(languages)), np.float32)
-    wide = counts.pivot(index="item", columns="lang", values="n").reindex(columns=languages).fillna(0.0).sort_index()
-    logs = np.log((wide.to_numpy() + SMOOTHING) / (totals.reindex(languages).to_numpy() + SMOOTHING * len(wide)))
-    return {item: i for i, item in enumerate(wide.index)}, logs.astype(np.float32)
+        return HashedRows(np.zeros(0, np.int64)), np.zeros((0, len(languages)), np.float32)
+    keys, at = np.unique(counts["item"].to_numpy(), return_inverse=True)
+    wide = np.zeros((len(keys), len(languages)))
+    np.add.at(wide, (at, counts["at"].to_numpy()), counts["n"].to_numpy())
+    logs = np.log((wide + SMOOTHING) / (wide.sum(axis=0) + SMOOTHING * len(wide)))
+    return HashedRows(keys), logs.astype(np.float32)
 
 
-def _seen(counts: DataFrame, least: int) -> DataFrame:
-    return (
-        counts.withColumn("all", F.sum("n").over(Window.partitionBy("item"))).where(F.col("all") >= least).select("item", "lang", "n")
-    )
+def _seen(counts: DataFrame, least: int, languages: list[str]) -> pd.DataFrame:
+    """Items seen often enough, as hashes, with the place of their language."""
+    place = F.coalesce(*(F.when(F.col("lang") == lang, i) for i, lang in enumerate(languages)))
+    often = counts.withColumn("all", F.sum("n").over(Window.partitionBy("item"))).where(F.col("all") >= least)
+    return often.select(F.xxhash64("item").alias("item"), place.alias("at"), "n").toPandas()
 
 
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
@@ -103,30 +159,28 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
 
     words = map_frames(sample, count, "item string, lang string, n long").groupBy("item", "lang").agg(F.sum("n").alias("n"))
     marked = F.concat(F.lit(EDGE), "item", F.lit(EDGE))
-    grams = F.flatten(
-        F.array(
-            *(
-                F.when(
-                    F.length("item") + 2 >= n, F.transform(F.sequence(F.lit(1), F.length("item") + 3 - n), lambda i, n=n: F.substr(marked, i, F.lit(n)))
-                ).otherwise(F.array().cast("array<string>"))
-                for n in LENGTHS
-            )
-        )
-    )
+
+    def of_length(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length("item") + 3 - n), lambda i: F.substr(marked, i, F.lit(n)))
+        return F.when(F.length("item") + 2 >= n, every).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*map(of_length, LENGTHS)))
     counted = words.select(F.explode(grams).alias("item"), "lang", "n").groupBy("item", "lang").agg(F.sum("n").alias("n"))
-    word_counts, gram_counts = _seen(words, WORD_SEEN).toPandas(), _seen(counted, GRAM_SEEN).toPandas()
-    word_rows, word_logs = _logs(word_counts, languages, word_counts.groupby("lang")["n"].sum())
-    gram_rows, gram_logs = _logs(gram_counts, languages, gram_counts.groupby("lang")["n"].sum())
-    return LanguageModel(languages, word_rows, gram_rows, np.nan_to_num(word_logs, nan=math.log(SMOOTHING)), np.nan_to_num(gram_logs, nan=math.log(SMOOTHING)))
+    word_rows, word_logs = _logs(_seen(words, WORD_SEEN, languages), languages)
+    gram_rows, gram_logs = _logs(_seen(counted, GRAM_SEEN, languages), languages)
+    return LanguageModel(languages, word_rows, gram_rows, word_logs, gram_logs)
 
 
 def language_of(text: Column, model: LanguageModel, spark: SparkSession) -> Column:
     """struct<lang_pred, score> of a text column; texts without a letter, and null ones, are ``und`` at 0."""
     shared = spark.sparkContext.broadcast(model)
+    kept: list[Votes] = []
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(found: pd.Series) -> pd.DataFrame:
-        judged = [shared.value.predict(t) for t in found]
+        if not kept:
+            kept.append(Votes(shared.value))
+        judged = [shared.value.predict(t, kept[0]) for t in found]
         return pd.DataFrame({"lang_pred": [lang for lang, _ in judged], "score": [float(score) for _, score in judged]})
 
     return judge(F.coalesce(text, F.lit("")))
