@@ -23,7 +23,7 @@ LENGTHS, EDGE = (5, 4, 3, 2, 1), "^"
 #: Bounds of what is learned from: at most so many documents of each language, and words or n-grams seen this often.
 PER_LANGUAGE, WORD_SEEN, GRAM_SEEN, SMOOTHING = 3000, 3, 5, 0.5
 #: Words whose votes a worker keeps at a time.
-KEPT = 100_000
+KEPT = 200_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -44,6 +44,14 @@ class HashedRows:
         row = int(np.searchsorted(self.keys, wanted))
         return row if row < len(self.keys) and self.keys[row] == wanted else None
 
+    def all_of(self, items: list[str]) -> np.ndarray:
+        """The rows of those items that are there."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        wanted = np.array([xxhash.xxh64_intdigest(item.encode("utf-8", "surrogatepass"), seed=42) for item in items], np.uint64).view(np.int64)
+        rows = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return rows[self.keys[rows] == wanted]
+
     def __contains__(self, item: str) -> bool:
         return self.get(item) is not None
 
@@ -64,8 +72,9 @@ class LanguageModel:
     def backoff(self, word: str) -> np.ndarray | None:
         marked = EDGE + word + EDGE
         for n in LENGTHS:
-            rows = [row for i in range(len(marked) - n + 1) if (row := self.grams.get(marked[i : i + n])) is not None]
-            if rows:
+            grams = [marked[i : i + n] for i in range(len(marked) - n + 1)]
+            rows = self.grams.all_of(grams) if isinstance(self.grams, HashedRows) else [self.grams[g] for g in grams if g in self.grams]
+            if len(rows):
                 return self.gram_logs[rows].mean(axis=0)
         return None
 
