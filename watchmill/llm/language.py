@@ -28,10 +28,15 @@ WORDS = re.compile(r"[^\W\d_]+")
 
 
 class HashedRows:
-    """For words or n-grams, the rows at which they stand, held as sorted 64-bit hashes in place of the texts."""
+    """For words or n-grams, the rows at which they stand, held as sorted 64-bit hashes in place of the texts. A worker makes a
+    dictionary of them when it first looks one up.
+    """
 
     def __init__(self, keys: np.ndarray):
-        self.keys = keys
+        self.keys, self.rows = keys, None
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "rows": None}
 
     @staticmethod
     def hash(item: str) -> int:
@@ -40,17 +45,9 @@ class HashedRows:
         return value - (1 << 64) if value >> 63 else value
 
     def get(self, item: str) -> int | None:
-        wanted = self.hash(item)
-        row = int(np.searchsorted(self.keys, wanted))
-        return row if row < len(self.keys) and self.keys[row] == wanted else None
-
-    def all_of(self, items: list[str]) -> np.ndarray:
-        """The rows of those items that are there."""
-        if not len(self.keys):
-            return np.zeros(0, np.int64)
-        wanted = np.array([xxhash.xxh64_intdigest(item.encode("utf-8", "surrogatepass"), seed=42) for item in items], np.uint64).view(np.int64)
-        rows = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return rows[self.keys[rows] == wanted]
+        if self.rows is None:
+            self.rows = {key: row for row, key in enumerate(self.keys.tolist())}
+        return self.rows.get(self.hash(item))
 
     def __contains__(self, item: str) -> bool:
         return self.get(item) is not None
@@ -72,9 +69,8 @@ class LanguageModel:
     def backoff(self, word: str) -> np.ndarray | None:
         marked = EDGE + word + EDGE
         for n in LENGTHS:
-            grams = [marked[i : i + n] for i in range(len(marked) - n + 1)]
-            rows = self.grams.all_of(grams) if isinstance(self.grams, HashedRows) else [self.grams[g] for g in grams if g in self.grams]
-            if len(rows):
+            rows = [row for i in range(len(marked) - n + 1) if (row := self.grams.get(marked[i : i + n])) is not None]
+            if rows:
                 return self.gram_logs[rows].mean(axis=0)
         return None
 
