@@ -23,6 +23,7 @@ from watchmill.streaming.live import (
     stream_profile,
     touched_profile,
 )
+from watchmill.streaming.sliced import SlicedStream
 
 HOURS = Monitor("main.web.events", "TIMESERIES", "ts", ("1 hour",), (), ("value", "event_type"))
 
@@ -71,13 +72,101 @@ for _name, _granularity in {"hours": "1 hour", "half_hours": "30 minutes", "five
     f"{r('avg(value)', 'mean_now')} FROM events WHERE event_type = 'error' GROUP BY 1",
 )
 def stream_repair(spark, sf):
-    """ST5, ST4: error events arrive after their windows have closed; the batch path recomputes just those windows."""
-    errors = table(spark, sf, "events").filter("event_type = 'error'")
-    repaired = touched_profile(errors, errors, HOURS, distinct="none")
-    rows = flat_profile(repaired).filter("column_name = 'value'")
+    """ST5, ST4: error events arrive after their windows have closed, and the windows are made anew with them."""
+    events = table(spark, sf, "events")
+    error = F.col("event_type") == "error"
+    monitor = Monitor("main.web.events", "TIMESERIES", "ts", ("1 hour",), ("event_type",), ("value",))
+    fed = fed_in_parts(spark, [events.filter(~error), events.filter(error)], monitor, "late-errors")
+    unaffected = fed.profile().join(fed.repaired().select("granularity", "window"), ["granularity", "window"], "left_anti")
+    both = fed.repaired().unionByName(unaffected.select(*fed.repaired().columns))
+    rows = flat_profile(both).filter("column_name = 'value' AND slice_value = 'error'")
     return rows.select("window_start", F.col("record_count").alias("rows_now"), F.col("mean").alias("mean_now"))
 
 
+#: Quarters of the time span come one after the other; a seventh of the rows comes one or two quarters too late.
+_QUARTER = "least(3, CAST(floor(4 * (epoch(ts) - epoch(lo)) / (epoch(hi) - epoch(lo))) AS INT))"
+_PARTS = (
+    f"(SELECT * EXCLUDE (lo, hi), {_QUARTER} + CASE WHEN event_id % 7 = 0 THEN 1 + event_id % 2 ELSE 0 END AS part "
+    "FROM events, (SELECT min(ts) AS lo, max(ts) AS hi FROM events))"
+)
+
+
+def in_parts(spark: SparkSession, sf: str) -> list[DataFrame]:
+    events = table(spark, sf, "events")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    ends = events.agg(F.min(seconds).alias("lo"), F.max(seconds).alias("hi")).first()
+    quarter = F.least(F.lit(3), F.floor(4 * (seconds - ends.lo) / (ends.hi - ends.lo)).cast("int"))
+    late = F.when(F.col("event_id") % 7 == 0, 1 + F.col("event_id") % 2).otherwise(0)
+    parts = events.withColumn("part", (quarter + late).cast("int"))
+    return [parts.filter(F.col("part") == i).drop("part") for i in range(6)]
+
+
+def fed_in_parts(spark: SparkSession, parts: list[DataFrame], monitor: Monitor, name: str) -> SlicedStream:
+    """Put one part after the other into a folder and take it in, each time by a new query that goes on from the last one."""
+    fed, source = SlicedStream(spark, new_path(spark, name), monitor, distinct="none"), new_path(spark, f"{name}-rows")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(source)
+        fed.run_available(spark.readStream.schema(part.schema).parquet(source))
+    return fed
+
+
+SLICED = Monitor("main.web.events", "TIMESERIES", "ts", ("1 hour", "1 day", "1 week"), ("event_type",), ("value", "user_id"))
+_KEYS = "granularity, window_start, slice_key, slice_value, column_name"
+_SLICED_SQL = (
+    f"SELECT {_KEYS}, record_count, {sql.rounded_columns(DOUBLES_PROFILE)} FROM "
+    f"{sql.profile('SELECT * FROM events', 'ts', list(SLICED.granularities), ['event_type'], ['value', 'user_id'])}"
+)
+
+
+@check("stream_sliced_many_granularities", _SLICED_SQL)
+def stream_sliced(spark, sf):
+    """ST1, ST6: six parts out of order; three granularities and a slice from the stored parts equal the batch."""
+    fed = fed_in_parts(spark, in_parts(spark, sf), SLICED, "sliced")
+    return flat_profile(fed.profile()).select(*_KEYS.split(", "), "record_count", *DOUBLES_PROFILE)
+
+
+@check(
+    "stream_published_then_repaired",
+    f"{_SLICED_SQL} WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+)
+def stream_repaired(spark, sf):
+    """ST5, ST4: closed windows as they were published, those that rows came late for made anew."""
+    fed = fed_in_parts(spark, in_parts(spark, sf), SLICED, "repaired")
+    repaired = fed.repaired()
+    published = fed.published().join(repaired.select("granularity", "window").distinct(), ["granularity", "window"], "left_anti")
+    rows = flat_profile(repaired.unionByName(published.select(*repaired.columns)))
+    return rows.select(*_KEYS.split(", "), "record_count", *DOUBLES_PROFILE)
+
+
+@check(
+    "stream_rows_behind_the_mark",
+    f"WITH p AS {_PARTS}, m AS (SELECT part, max(ts) AS latest FROM p GROUP BY part), "
+    "c AS (SELECT p.*, (SELECT max(latest) FROM m WHERE m.part < p.part) - INTERVAL 10 MINUTE AS closed FROM p) "
+    "SELECT event_type, count(*) AS late_rows, min(event_id) AS first_id, max(event_id) AS last_id FROM c "
+    "WHERE time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') + INTERVAL 1 HOUR <= closed GROUP BY event_type",
+)
+def stream_late_rows(spark, sf):
+    """ST5: rows of closed hours are kept apart."""
+    late = fed_in_parts(spark, in_parts(spark, sf), SLICED, "late").late_rows()
+    ids = F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")
+    return late.groupBy("event_type").agg(F.count("*").alias("late_rows"), *ids)
+
+
+@check(
+    "stream_windows_as_published",
+    f"WITH p AS {_PARTS}, m AS (SELECT part, max(ts) AS latest FROM p GROUP BY part), "
+    "c AS (SELECT p.*, date_trunc('day', ts) AS ws, (SELECT max(latest) FROM m WHERE m.part < p.part) - INTERVAL 10 MINUTE AS closed "
+    "FROM p) SELECT ws AS window_start, count(*) AS record_count, "
+    f"{r('avg(value)', 'mean')} FROM c WHERE (closed IS NULL OR ws + INTERVAL 1 DAY > closed) "
+    "AND ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ws",
+)
+def stream_published(spark, sf):
+    """ST1, ST5: days as they were when they closed, without the rows that came later."""
+    fed = fed_in_parts(spark, in_parts(spark, sf), SLICED, "published")
+    rows = flat_profile(fed.published()).filter("column_name = 'value' AND granularity = '1 day' AND slice_key IS NULL")
+    return rows.select("window_start", "record_count", "mean")
+
+
 @check(
     "stream_late_labels",
     "SELECT e.event_id, e.user_id, CASE WHEN o.o_orderdate BETWEEN e.at AND e.at + INTERVAL 3000 DAY THEN o.o_orderstatus END "

@@ -94,12 +94,16 @@ def merge_profiles(partials: DataFrame, monitor: Monitor, only: DataFrame | None
     """Merge partial profiles into rows per group ``g`` and column: rows, values, mean, stddev, low, high, sketches. With
     ``only``, those of the groups that ``within`` keeps.
     """
+    return merge_parts(within(fan_out(partials, monitor), only), monitor)
+
+
+def merge_parts(spread: DataFrame, monitor: Monitor) -> DataFrame:
+    """Merge partial profiles that are already spread over the groups ``g``."""
     merges: Merges = {"rows": F.sum, "low": F.min, "high": F.max}
-    if "hll" in partials.columns:
+    if "hll" in spread.columns:
         merges["hll"] = F.hll_union_agg
-    if "kll" in partials.columns:
+    if "kll" in spread.columns:
         merges["kll"] = lambda name: F.kll_merge_agg_double(name, F.lit(RANK_SKETCH_SIZE))
-    spread = within(fan_out(partials, monitor), only)
     merged = merge_moments(spread, ["g", "column_name"], merges, two_rounds=needs_two_rounds(monitor))
     deviation = F.sqrt(F.col("m2") / (F.col("values") - 1))
     return merged.withColumn("stddev", F.when(F.col("values") > 1, deviation)).drop("m2")
