@@ -495,6 +495,32 @@ def model_binary(spark, sf):
     return flat_scores(returns(spark, sf), _CHANCE)
 
 
+_CLASSES = {"A": "chance_a", "N": "chance_n", "R": "chance_r"}
+_THREE = (
+    "SELECT *, CASE WHEN l_linestatus = 'F' THEN 'R' ELSE 'N' END AS guess, CAST(l_discount AS DOUBLE) AS chance_a, "
+    "CAST(l_tax AS DOUBLE) AS chance_n, CAST(l_quantity AS DOUBLE) / 50 AS chance_r FROM lineitem"
+)
+
+
+@check(
+    "model_class_scores",
+    f"SELECT window_start, granularity, slice_key, slice_value, {r('roc_auc_weighted', 'roc_auc_weighted')} FROM "
+    f"{sql.one_vs_one(_THREE, 'l_shipdate', ['1 month', '1 year'], ['l_linestatus'], _CLASSES, 'l_returnflag')}",
+)
+def model_classes(spark, sf):
+    """Three classes with a score each."""
+    scores = {"chance_a": "l_discount", "chance_n": "l_tax", "chance_r": "l_quantity"}
+    made = {name: F.col(column).cast("double") for name, column in scores.items()}
+    lines = table(spark, sf, "lineitem").withColumns({**made, "chance_r": made["chance_r"] / 50})
+    lines = lines.withColumn("guess", F.when(F.col("l_linestatus") == "F", "R").otherwise("N"))
+    monitor = Monitor(
+        "main.ml.flags", "INFERENCE", "l_shipdate", ("1 month", "1 year"), ("l_linestatus",), (), "guess", "l_returnflag",
+        class_scores=tuple(_CLASSES.items()),
+    )
+    keys = [F.col("window.start").alias("window_start"), "granularity", "slice_key", "slice_value"]
+    return performance(lines, monitor).select(*keys, F.col("roc_auc_score.one_vs_one.weighted").alias("roc_auc_weighted"))
+
+
 @check(
     "model_regression_scores",
     scores_sql(sql.regression(PRICED, "o_orderdate", ["1 month"], ["o_orderpriority"], "predicted", "total")),

@@ -207,6 +207,22 @@ JOIN rest r ON b.granularity IS NOT DISTINCT FROM r.granularity AND b.ws IS NOT
   AND b.slice_key IS NOT DISTINCT FROM r.slice_key AND b.slice_value IS NOT DISTINCT FROM r.slice_value)"""
 
 
+def one_vs_one(source: str, ts: str, granularities: list[str], slices: list[str], scores: dict[str, str], label: str) -> str:
+    """Unrounded area under the curve of several classes: every class against every other one, by ranks, weighted by rows."""
+    ranked = " UNION ALL ".join(
+        f"SELECT {KEYS}, '{a}' AS k, '{b}' AS j, {label} = '{a}' AS mine, rank() OVER (PARTITION BY {KEYS} ORDER BY {scores[a]}) "
+        f"+ (count(*) OVER (PARTITION BY {KEYS}, {scores[a]}) - 1) / 2.0 AS mid FROM w WHERE {label} IN ('{a}', '{b}')"
+        for a in scores
+        for b in scores
+        if a != b
+    )
+    return f"""(WITH w AS ({windowed(source, ts, granularities, slices)}), ranked AS ({ranked}),
+areas AS (SELECT {KEYS}, k, j, count(*) AS n, (sum(mid) FILTER (mine) - count(*) FILTER (mine) * (count(*) FILTER (mine) + 1) / 2.0)
+  / nullif(count(*) FILTER (mine) * count(*) FILTER (NOT mine), 0) AS area FROM ranked GROUP BY {KEYS}, k, j)
+SELECT ws AS window_start, granularity, slice_key, slice_value,
+  sum(area * n) / sum(CASE WHEN area IS NOT NULL THEN n END) AS roc_auc_weighted FROM areas GROUP BY {KEYS})"""
+
+
 def regression(
     source: str, ts: str, granularities: list[str], slices: list[str], prediction: str, label: str, every: bool = False
 ) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,8 +69,16 @@ def performance_partials(rows: DataFrame, monitor: Monitor, scored: bool) -> dic
     """
     if monitor.problem_type == REGRESSION:
         return {"errors": _error_sums(rows, monitor)}
-    found = {"confusion": confusion_counts(rows, monitor, scored)}
-    return found | ({"ranking": score_counts(rows, monitor)} if scored else {})
+    made = {"confusion": lambda: confusion_counts(rows, monitor, scored), "ranking": lambda: score_counts(rows, monitor)}
+    made["classes"] = lambda: class_score_counts(rows, monitor, scored)
+    return {name: made[name]() for name in partial_names(monitor, scored)}
+
+
+def partial_names(monitor: Monitor, scored: bool) -> list[str]:
+    """The kinds of partials of a monitor. Scores of every class, where there are some, give the area under the curve."""
+    if monitor.problem_type == REGRESSION:
+        return ["errors"]
+    return ["confusion", *(["classes"] if monitor.class_scores else ["ranking"] if scored else [])]
 
 
 def performance_of(partials: dict[str, DataFrame], monitor: Monitor, only: DataFrame | None = None) -> DataFrame:
@@ -271,9 +282,48 @@ def ranking(partial: DataFrame, monitor: Monitor, only: DataFrame | None) -> Dat
     return ranked.groupBy("g").agg(F.struct(F.struct(area.alias("weighted")).alias("one_vs_one")).alias("roc_auc_score"))
 
 
+def class_score_counts(df: DataFrame, monitor: Monitor, scored: bool) -> DataFrame:
+    """Rows (base keys, k, score, n0, n1, ...): how often the k-th class got a score on rows of each class.
+
+    Rows of a class that has no score column, and rows that lack a score, are left out. A row gives one pair for each class, and
+    these collapse by score before they are shuffled.
+    """
+    label, _ = _classes(df, monitor, scored)
+    numbers = [F.col(f"`{column}`").cast("double") + F.lit(0.0) for _, column in monitor.class_scores]
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), number.alias("score")) for k, number in enumerate(numbers)])
+    place = F.coalesce(*[F.when(label == name, F.lit(k)) for k, (name, _) in enumerate(monitor.class_scores)])
+    whole = reduce(and_, [number.isNotNull() & ~F.isnan(number) for number in numbers])
+    rows, keys = with_base_keys(df.withColumns({"__class": F.when(whole, place), "__pairs": pairs, "__of": _sign(df)}), monitor)
+    long = rows.filter("__class IS NOT NULL").select(*keys, "__class", "__of", F.inline("__pairs"))
+    seen = [F.sum(F.when(F.col("__class") == j, F.col("__of")).otherwise(0)).alias(f"n{j}") for j in range(len(numbers))]
+    return long.groupBy(*keys, "k", "score").agg(*seen)
+
+
+def class_areas(partial: DataFrame, monitor: Monitor, only: DataFrame | None) -> DataFrame:
+    """M12 for several classes: the area of each class against each other one, by mid-ranks of the former's score on rows of the
+    two, as a mean weighted by their rows. Running totals of all classes come from one pass over the distinct scores; pairs of
+    which a class has no row have no area.
+    """
+    names = [f"n{j}" for j in range(len(monitor.class_scores))]
+    grouped = within(fan_out(partial, monitor), only).groupBy("g", "k", "score").agg(*[F.sum(n).alias(n) for n in names])
+    counts = materialize(grouped.filter(" OR ".join(f"{n} <> 0" for n in names)), "class-scores")
+    sizes = Sizes.of(counts.groupBy("g", "k").agg(F.count("*").alias("values")))
+    ranked = running_totals(counts, ["g", "k"], "score", names, sizes.grids)
+    own = F.get(F.array(*names), F.col("k"))
+    sums = {f"w{j}": F.sum(own * (F.col(f"{n}_upto") - F.col(n) / 2)) for j, n in enumerate(names)}
+    totals = ranked.groupBy("g", "k").agg(*[F.sum(n).cast("double").alias(n) for n in names], *[v.alias(w) for w, v in sums.items()])
+    against = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"w{j}").alias("beaten"), F.col(n).alias("other")) for j, n in enumerate(names)])
+    pairs = totals.select("g", "k", F.get(F.array(*names), F.col("k")).alias("mine"), F.inline(against)).filter("k <> j AND mine > 0 AND other > 0")
+    rows = F.col("mine") + F.col("other")
+    area = F.sum(F.col("beaten") / (F.col("mine") * F.col("other")) * rows) / F.sum(rows)
+    return pairs.groupBy("g").agg(F.struct(F.struct(area.alias("weighted")).alias("one_vs_one")).alias("roc_auc_score"))
+
+
 def _classification(partials: dict[str, DataFrame], monitor: Monitor, only: DataFrame | None) -> DataFrame:
     table = materialize(confusion(partials["confusion"], monitor, only), "confusion")
     scores = _per_class(table).join(_fairness(table), "g")
+    if "classes" in partials:
+        scores = scores.join(class_areas(partials["classes"], monitor, only), "g", "left")
     if "ranking" in partials:
         scores = scores.join(ranking(partials["ranking"], monitor, only), "g", "left")
     return scores

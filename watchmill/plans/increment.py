@@ -28,9 +28,9 @@ from watchmill.operators.drift import (
 )
 from watchmill.operators.frequencies import ALL_ROWS, SIGN, distinct_counts, value_counts
 from watchmill.operators.grouping import name_at, place_of, profiled_columns, within
-from watchmill.operators.performance import labelled, performance_of, performance_partials
+from watchmill.operators.performance import labelled, partial_names, performance_of, performance_partials
 from watchmill.operators.profile import merge_profiles, partial_profiles, profile_columns, with_performance
-from watchmill.settings import REGRESSION, Monitor
+from watchmill.settings import Monitor
 from watchmill.sources.scratch import materialize
 from watchmill.streaming.live import rows_of_windows
 
@@ -76,7 +76,7 @@ def settings_text(df: DataFrame, monitor: Monitor, distinct: str, decided: dict)
     holds what was found out by looking at the rows, so that later runs do not decide otherwise.
     """
     columns = [(f.name, f.dataType.simpleString()) for f in profiled_columns(df, monitor)]
-    asked = [monitor.profile_type, monitor.timestamp_column, monitor.granularities, monitor.prediction_column, monitor.label_column]
+    asked = [monitor.profile_type, monitor.timestamp_column, monitor.granularities, monitor.prediction_column, monitor.label_column, *monitor.class_scores]
     return json.dumps({"asked": [*asked, monitor.problem_type, monitor.baseline_table, distinct], "columns": columns, "decided": decided})
 
 
@@ -204,7 +204,7 @@ def renewed_metrics(
         number = F.lit(None).cast("bigint")
     scores = None
     if scored is not None:
-        names = ["errors"] if monitor.problem_type == REGRESSION else ["confusion", *(["ranking"] if scored else [])]
+        names = partial_names(monitor, scored)
         scores = performance_of({name: state.read(name).drop("run") for name in names}, monitor, touched)
     profile = with_performance(merged.select(*profile_columns(monitor, number, "INPUT")), scores)
 

@@ -68,6 +68,8 @@ class TableSettings:
     drift_threshold: float | None = None
     objective_function_ids: tuple[str, ...] | None = None
     custom_metrics: tuple[CustomMetric, ...] | None = None
+    #: The column with the score of each class, by class.
+    class_scores: dict[str, str] | None = None
 
 
 @dataclass(frozen=True)
@@ -147,6 +149,7 @@ class Monitor:
     problem_type: str = CLASSIFICATION
     baseline_table: str | None = None
     custom_metrics: tuple[CustomMetric, ...] = ()
+    class_scores: tuple[tuple[str, str], ...] = ()
 
     @property
     def slice_columns(self) -> tuple[str, ...]:
@@ -232,6 +235,7 @@ def resolve_monitor(
         problem_type=resolve_problem_type(run, table, tags or {}, schema),
         baseline_table=own.baseline_table_name if own else None,
         custom_metrics=resolve_metrics(run, table),
+        class_scores=tuple(own.class_scores.items()) if inference and own and own.class_scores else (),
     )
 
 
@@ -262,6 +266,8 @@ def settings_problems(run: RunSettings) -> list[tuple[str, str]]:
         found += [("granularity", table) for name in names if name and name not in GRANULARITIES]
         if own.drift_threshold is not None and not 0 <= own.drift_threshold <= 1:
             found.append(("drift_threshold", table))
+        if own.class_scores is not None and len(own.class_scores) < 2:
+            found.append(("class_scores", table))
         found += [
             ("objective_function", key)
             for key in own.objective_function_ids or ()
