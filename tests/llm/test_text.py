@@ -1,6 +1,7 @@
 """Language, toxicity, page text, url verdicts and surrogates: held-out rows, brute force and odd input."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -206,6 +207,41 @@ def test_broken_pages_do_not_break(html):
     assert isinstance(templates.extract_page(html, None), str)
 
 
+HARD = {
+    "nested": "<b>" * 100_000 + "end",
+    "unclosed": "<div><p>x y" * 30_000,
+    "open quotes": '<a b="' * 50_000,
+    "names": "<div class=ad>" * 20_000,
+    "open scripts": "<script " * 40_000 + ">",
+    "inline tags below a list": "<p><li>" + "<b>" * 40_000 + "<hr>" * 40_000 + "end",
+    "bodies of a table": "<table>" + "<tbody>" * 25_000 + "<tr></tr>" * 25_000,
+    "open signs": "<" * 300_000,
+    "classes": f"<p class='{'c ' * 150_000}'>end",
+}
+
+
+@pytest.mark.parametrize("html", HARD.values(), ids=HARD)
+def test_long_broken_pages_take_time_in_proportion(html):
+    started = time.process_time()
+    tokens, _ = templates._page_tokens(templates.parse(html))
+    text = templates.extract_page(html, None)
+    assert time.process_time() - started < 15
+    assert sum(map(len, tokens)) < 300 * len(html) + 1000
+    assert text.endswith("end") == html.endswith("end") and text.count("x y") == html.count("x y")
+
+
+def test_long_pages_among_others(spark):
+    rows = [(i, "https://h.example/", page_of(f"<p>words of {i}</p>", i)) for i in range(10)]
+    rows += [(100 + i, "https://h.example/", html) for i, html in enumerate(HARD.values())]
+    found = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"words of {i}" in found[i] for i in range(10)) and found[100] == "end" and found[101].count("x y") == 30_000
+
+
+def test_what_belongs_to_an_article_stays():
+    page = "<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>Energy is <math><mi>E</mi></math>.</p></article>"
+    assert templates.extract_page(page, None) == "Title\nEnergy is E."
+
+
 def plain_split(url):
     if url is None or "://" not in url:
         return "", ""

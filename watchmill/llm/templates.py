@@ -17,7 +17,9 @@ import hashlib
 import html as references
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -41,7 +43,7 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("article body div main section table tbody td tr".split())
 DROPPED = frozenset(
-    "aside audio button canvas datalist dialog embed fieldset footer form head header iframe input label legend map math menu nav "
+    "aside audio button canvas datalist dialog embed fieldset footer form head header iframe input label legend map menu nav "
     "noscript object option script select style svg template textarea title video".split()
 )
 #: Names in a class, id or role that stand for something other than the article, also as compounds with each other and HELPERS.
@@ -60,11 +62,17 @@ PROSE = frozenset("article h1 h2 main p".split())
 #: Tags that end an open one of the same group.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-PARTS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|(?P<text>[^<]+|<)",
+RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "svg")
+#: Parts that are no tags: comments, elements whose content is no markup, declarations.
+OTHERS = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{"|".join(RAW)})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
+TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.IGNORECASE)
+#: Characters that end a tag or hide its end.
+MARKS = re.compile("[>\"']")
+#: So much of the end of a path stands in a token, for reading; paths are told apart by their ids.
+SHOWN = 200
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 #: What is added up for every token.
@@ -74,17 +82,26 @@ SUMS = ("pages", "once", "n", "v1", "v2", "chars")
 @dataclass
 class Node:
     tag: str
-    path: str
+    index: int
     dropped: bool
-    named: tuple[int, ...] = ()
+    named: int
+    #: Place in the stack of the nearest tag, this one included, that may end or stop the ending of others; -1 without one.
+    solid: int
 
 
 @dataclass
 class Parsed:
-    """What a page is made of: how often each tag path opens, and the texts that are kept, with path and block number."""
+    """What a page is made of: a node for each tag, with the id of its path and the node above it, how often each tag path
+    opens, and the texts that are kept, with node (-1 outside of all tags) and block number.
+    """
+
+    ids: list[str] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    tokens: list[str] = field(default_factory=list)
+    texts: list[tuple[int, int, str]] = field(default_factory=list)
 
-    tags: Counter = field(default_factory=Counter)
-    texts: list[tuple[str, int, str]] = field(default_factory=list)
+    def path(self, node: int) -> str:
+        return self.ids[node] if node >= 0 else ""
 
 
 def _named(tag: str, rest: str) -> tuple[str, bool]:
@@ -103,85 +120,165 @@ def _is_name(word: str) -> bool:
     return word in NAMED or (not NAMED.isdisjoint(pieces) and all(p in NAMED or p in HELPERS for p in pieces))
 
 
+def _tag_ends(html: str) -> tuple[list[int], list[int]]:
+    """Places of all MARKS, and for each one where a tag ends that is read on from there, outside of quotes; -1 for nowhere."""
+    places = [mark.start() for mark in MARKS.finditer(html)]
+    ends, following = [-1] * (len(places) + 1), {}
+    for i in range(len(places) - 1, -1, -1):
+        mark = html[places[i]]
+        if mark == ">":
+            ends[i] = places[i]
+        else:
+            ends[i] = ends[following[mark] + 1] if mark in following else -1
+            following[mark] = i
+    return places, ends
+
+
+def _parts(html: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(tag, is an end tag, attributes) and (None, False, text) of a page in order, in time that grows with its length alone."""
+    places, ends = _tag_ends(html)
+    last, at = html.rfind(">"), 0
+    while at < len(html):
+        if html[at] != "<":
+            stop = html.find("<", at)
+            stop = stop if stop >= 0 else len(html)
+            yield None, False, html[at:stop]
+            at = stop
+            continue
+        if at > last:  # nothing but a comment can begin here
+            comment = html.find("<!--", at)
+            yield None, False, html[at : comment if comment >= 0 else len(html)]
+            return
+        tag = TAG.match(html, at)
+        other = OTHERS.match(html, at) if tag is None or tag[2].lower().startswith(RAW) else None
+        if other is not None:
+            at = other.end()
+            continue
+        end = ends[bisect_left(places, tag.end())] if tag is not None else -1
+        if end < 0:
+            yield None, False, "<"
+            at += 1
+            continue
+        yield tag[2].lower(), bool(tag[1]), html[tag.end() : end]
+        at = end + 1
+
+
 def parse(html: str | None) -> Parsed:
     """Walk through a page. Missing end tags are supplied, and end tags without a beginning are passed over.
 
     Containers whose names say that they are no part of the article are left out, but not one with prose that holds most of
-    the page's text.
+    the page's text. A header inside an article belongs to it.
     """
     page, stack, block = Parsed(), [], 0
-    texts: list[tuple[tuple[int, ...], tuple[str, int, str]]] = []
-    names, prose = 0, set()
-    for part in PARTS.finditer(html or ""):
-        text, tag = part["text"], part["tag"]
-        if text is not None:
-            if not stack or not stack[-1].dropped:
-                texts.append((stack[-1].named if stack else (), (stack[-1].path if stack else "", block, references.unescape(text))))
-            continue
+    shown, known, opened = [], {}, Counter()
+    texts: list[tuple[int, tuple[int, int, str]]] = []
+    above_name, prose = [0], [False]  # of each named container: the one around it (0: none), and whether it holds PROSE
+
+    def cut(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[node.tag] -= 1
+        del stack[depth:]
+
+    for tag, is_end, rest in _parts(html or ""):
+        top = stack[-1] if stack else None
         if tag is None:
+            if top is None or not top.dropped:
+                texts.append((top.named if top else 0, (top.index if top else -1, block, references.unescape(rest))))
             continue
-        tag = tag.lower()
         block += tag in BLOCKS
-        if tag == "br" and stack and not stack[-1].dropped:
-            texts.append((stack[-1].named, (stack[-1].path, block, " ")))
-        if part["end"]:
-            if any(node.tag == tag for node in stack):
-                while stack.pop().tag != tag:
-                    pass
+        if tag == "br" and top is not None and not top.dropped:
+            texts.append((top.named, (top.index, block, " ")))
+        if is_end:
+            if opened[tag] > 0:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
+                cut(depth)
             continue
         closing = CLOSED_BY.get(tag) or ({"p"} if tag in BLOCKS else set())
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth].tag in closing:
-                del stack[depth:]
+        at = top.solid if top is not None and closing else -1
+        while at >= 0:
+            if stack[at].tag in closing:
+                cut(at)
                 break
-            if stack[depth].tag in BLOCKS and stack[depth].tag not in ("p", "tbody", "thead"):
+            if stack[at].tag in BLOCKS and stack[at].tag != "p":
                 break
-        label, named = _named(tag, part["rest"])
-        above = stack[-1] if stack else None
-        path = f"{above.path}/{label}" if above else label
-        dropped = (above.dropped if above else False) or tag in DROPPED
-        within = above.named if above else ()
+            at = stack[at - 1].solid if at else -1
+        label, named = _named(tag, rest) if rest else (tag, False)
+        top = stack[-1] if stack else None
+        above = top.index if top else -1
+        step = (page.path(above), label)
+        if step not in known:
+            known[step] = hashlib.blake2b("/".join(step).encode("utf-8", "replace"), digest_size=8).hexdigest()
+        index = len(page.ids)
+        page.ids.append(known[step])
+        page.parents.append(above)
+        shown.append(f"{shown[above][0]}/{label}"[-SHOWN:] if top else label[-SHOWN:])
+        shown[-1] = (shown[-1], shown[above][1] + 1 if top else 0)
+        page.tokens.append(f"<{known[step]}|{step[0]}|{shown[-1][1]}|{tag}|{shown[-1][0]}")
+        dropped = (top.dropped if top else False) or (tag in DROPPED and not (tag == "header" and opened["article"] > 0))
+        within = top.named if top else 0
         if tag in PROSE:
-            prose.update(within)
+            name = within
+            while name and not prose[name]:
+                prose[name], name = True, above_name[name]
         if named and tag not in ("html", "body", "main", "article"):
-            names += 1
-            within = (*within, names)
-        page.tags[path] += 1
-        if tag not in VOID and not part["rest"].endswith("/"):
-            stack.append(Node(tag, path, dropped, within))
-    held, whole = Counter(), 0
-    for within, (_, _, text) in texts:
+            above_name.append(within)
+            prose.append(False)
+            within = len(above_name) - 1
+        if tag not in VOID and not rest.endswith("/"):
+            solid = len(stack) if (tag in BLOCKS or tag == "option") and tag not in ("tbody", "thead") else top.solid if top else -1
+            stack.append(Node(tag, index, dropped, within, solid))
+            opened[tag] += 1
+    held, whole = [0] * len(above_name), 0
+    for name, (_, _, text) in texts:
         size = sum(map(len, text.split()))
         whole += size
-        held.update(dict.fromkeys(within, size))
-    page.texts += [kept for within, kept in texts if all(name in prose and 2 * held[name] > whole for name in within)]
+        held[name] += size
+    for name in range(len(above_name) - 1, 0, -1):
+        held[above_name[name]] += held[name] if above_name[name] else 0
+    kept = [True] * len(above_name)
+    for name in range(1, len(above_name)):
+        kept[name] = kept[above_name[name]] and prose[name] and 2 * held[name] > whole
+    page.texts += [text for name, text in texts if kept[name]]
     return page
 
 
 def _blocks(page: Parsed) -> dict[int, str]:
     """The token of each block that has text: a digest of its path and its words."""
     parts: dict[int, list[str]] = {}
-    for path, block, text in page.texts:
-        parts.setdefault(block, [path]).append(text)
+    for node, block, text in page.texts:
+        parts.setdefault(block, [page.path(node)]).append(text)
     words = {block: "".join(texts).split() for block, (_, *texts) in parts.items()}
     return {b: f"#{hashlib.blake2b(' '.join([parts[b][0], *w]).encode('utf-8', 'replace'), digest_size=8).hexdigest()}" for b, w in words.items() if w}
 
 
-def _page_tokens(html: str | None) -> tuple[Counter, Counter]:
-    """Occurrences of every token of a page, and the characters of kept text below every tag path."""
-    page = parse(html)
-    tokens, chars = Counter({f"<{path}": n for path, n in page.tags.items()}), Counter()
-    for path, _, text in page.texts:
-        words = text.split()
-        tokens.update(f"{path}>{word}" for word in words)
-        size, at = sum(map(len, words)), path
-        while at and size:
-            chars[f"<{at}"] += size
-            at = at.rpartition("/")[0]
+def _page_tokens(page: Parsed) -> tuple[Counter, Counter]:
+    """Occurrences of every tag path and block of a page, and the characters of kept text below every tag path."""
+    tokens, chars, sizes = Counter(page.tokens), Counter(), [0] * len(page.ids)
+    for node, _, text in page.texts:
+        if node >= 0:
+            sizes[node] += sum(map(len, text.split()))
+    for node in range(len(sizes) - 1, -1, -1):
+        if sizes[node]:
+            chars[page.tokens[node]] += sizes[node]
+            if page.parents[node] >= 0:
+                sizes[page.parents[node]] += sizes[node]
     tokens.update(_blocks(page).values())
     return tokens, chars
 
 
+def _words_once(page: Parsed, among: set[str] | None) -> set[str]:
+    """Words with their paths that stand exactly once on a page; with ``among``, those of them that are in it."""
+    if among is not None and not among:
+        return among
+    found: Counter = Counter()
+    for node, _, text in page.texts:
+        path = page.path(node)
+        found.update([f"{path}>{word}" for word in text.split()] if among is None else [t for t in (f"{path}>{w}" for w in text.split()) if t in among])
+    return {token for token, n in found.items() if n == 1}
+
+
 def host_of(url: F.Column) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
@@ -196,19 +293,22 @@ def token_vectors(pages: DataFrame) -> DataFrame:
 
     def over(frame: pd.DataFrame) -> pd.DataFrame:
         sums: dict[tuple[str, str], list[int]] = {}
-        sizes: Counter = Counter()
+        words: dict[str, set[str]] = {}
         for host, key, html in zip(frame["host"], frame["key"], frame["html"]):
-            tokens, chars = _page_tokens(html)
-            if not any(token.startswith("<") for token in tokens):
+            page = parse(html)
+            if not page.ids:
                 continue
+            tokens, chars = _page_tokens(page)
             tokens[""] = 1
+            digests = {n: (zlib.crc32(f"{key}|{n}".encode()), zlib.adler32(f"{n}|{key}".encode())) for n in set(tokens.values())}
             for token, n in tokens.items():
-                digest = zlib.crc32(f"{key}|{n}".encode()), zlib.adler32(f"{n}|{key}".encode())
                 row = sums.setdefault((host, token), [0, 0, 0, 0, 0, 0])
-                for i, value in enumerate((1, int(n == 1), n, *digest, chars.get(token, 0))):
+                for i, value in enumerate((1, int(n == 1), n, *digests[n], chars.get(token, 0))):
                     row[i] += value
-            sizes[host] += 1
-        rows = [(h, t, *row) for (h, t), row in sums.items() if t[:1] in ("<", "#", "") or row[0] == sizes[h] == row[2]]
+            words[host] = _words_once(page, words.get(host))
+        rows = [(h, t, *row) for (h, t), row in sums.items()]
+        # A word once on every page has the vector of the page itself.
+        rows += [(h, t, *sums[h, ""][:5], 0) for h, tokens in words.items() for t in tokens]
         return pd.DataFrame(rows, columns=["host", "token", *SUMS])
 
     schema = f"host string, token string, {', '.join(f'{name} long' for name in SUMS)}"
@@ -216,9 +316,9 @@ def token_vectors(pages: DataFrame) -> DataFrame:
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, size, main, words, blocks): one row for each host, and one for all of them.
+    """(host, size, main, main_id, words, blocks): one row for each host, and one for all of them.
 
-    ``main`` is the path of the deepest container of the outermost class that holds most text; ``words`` are the words that
+    ``main_id`` is the deepest container of the outermost class that holds most text, ``main`` the end of its path; ``words`` are the words that
     stand once on every page, with their paths, and ``blocks`` the blocks on most pages. Only tags whose parents are in the
     class too nest in it.
     """
@@ -232,34 +332,34 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     outermost = tokens.where("token <> ''").join(of_page, "host").where(F.when(is_tag | is_block, enough).otherwise(of_every))
     outermost = materialize(outermost.where(is_tag | (F.col("size") >= LEAST_PAGES)).select("host", "size", "token", "chars"), "outermost")
     tags = outermost.where(F.col("token").startswith("<")).select("host", "size", "token", "chars")
-    parent = F.regexp_replace("token", "/[^/]*$", "")
-    inner = tags.where(F.col("token").contains("/")).withColumn("parent", parent)
-    above = tags.select("host", F.col("token").alias("parent"))
-    nested = inner.join(above, ["host", "parent"], "left_semi").select("host", "size", "token", "chars").unionByName(
-        tags.where(~F.col("token").contains("/"))
-    )
+    named = F.split("token", r"\|", 5)  # <id, id of the parent, depth, tag, end of the path
+    tags = tags.select("host", "size", "chars", F.substr(named[0], F.lit(2)).alias("id"), named[1].alias("parent"), named[2].cast("int").alias("depth"), named[3].alias("tag"), named[4].alias("path"))
+    above = tags.select("host", F.col("id").alias("parent"))
+    nested = tags.where("parent <> ''").join(above, ["host", "parent"], "left_semi").select(*tags.columns).unionByName(tags.where("parent = ''"))
     whole = tags.groupBy("host").agg(F.max("chars").alias("whole"))
-    tag = F.regexp_extract("token", r"([a-z0-9:-]+)(?:\.[^/]*)?$", 1)
-    holding = nested.join(whole, "host").where(tag.isin(*sorted(CONTAINERS)) & (F.col("chars") >= MAIN_SHARE * F.col("whole")) & (F.col("whole") > 0))
-    depth = F.struct(F.length(F.regexp_replace("token", "[^/]", "")), F.col("chars"), F.col("token"))
-    main = holding.groupBy("host").agg(F.substr(F.max_by("token", depth), F.lit(2)).alias("main"))
+    holding = nested.join(whole, "host").where(F.col("tag").isin(*sorted(CONTAINERS)) & (F.col("chars") >= MAIN_SHARE * F.col("whole")) & (F.col("whole") > 0))
+    deepest = F.max_by(F.struct("path", "id"), F.struct("depth", "chars", "id"))
+    main = holding.groupBy("host").agg(deepest.alias("deepest")).select("host", F.col("deepest.path").alias("main"), F.col("deepest.id").alias("main_id"))
     words = F.sort_array(F.collect_set(F.when(~is_block, F.col("token")))).alias("words")
     fixed = outermost.where(~is_tag).groupBy("host").agg(words, F.sort_array(F.collect_set(F.when(is_block, F.col("token")))).alias("blocks"))
     return of_page.select("host", "size").join(main, "host", "left").join(fixed, "host", "left")
 
 
 def extract_page(html: str | None, main: str | None, template_words: frozenset[str] = frozenset(), template_blocks: frozenset[str] = frozenset()) -> str:
-    """Text of a page's main slot: one line for each block, without blocks that are template or made of its words.
+    """Text of a page's main slot, given by its id: one line for each block, without blocks that are template or made of its words.
 
     A page without that slot gives all its kept text, and a page that is all template, such as one of many copies, gives that.
     """
     page = parse(html)
-    inside = [t for t in page.texts if main and (t[0] == main or t[0].startswith(f"{main}/"))]
+    held = [False]
+    for path, parent in zip(page.ids, page.parents):
+        held.append(path == main or held[parent + 1])
+    inside = [t for t in page.texts if held[t[0] + 1]]
     if not any(t[2].strip() for t in inside):
         inside = page.texts
     lines, every, blocks, named = [], [], {}, _blocks(page) if template_blocks else {}
-    for path, block, text in inside:
-        blocks.setdefault(block, []).append((path, text))
+    for node, block, text in inside:
+        blocks.setdefault(block, []).append((page.path(node), text))
     for block, parts in blocks.items():
         words = "".join(text for _, text in parts).split()
         fixed = template_words and all(f"{path}>{word}" in template_words for path, text in parts for word in text.split())
@@ -280,15 +380,15 @@ def extract(pages: DataFrame) -> DataFrame:
     known = known.withColumn("host", host_of(F.col("url")))
     keyed = known.select("host", F.xxhash64("page_id", "url", "html").alias("key"), "html")
     templates = materialize(deduce_templates(keyed), "templates")
-    common = templates.where(F.col("host") == ALL_HOSTS).select(F.col("main").alias("common_main"), F.col("words").alias("common_words"), F.col("blocks").alias("common_blocks"))
+    common = templates.where(F.col("host") == ALL_HOSTS).select(F.col("main_id").alias("common_main"), F.col("words").alias("common_words"), F.col("blocks").alias("common_blocks"))
     own = templates.where((F.col("size") >= LEAST_PAGES) & (F.col("host") != ALL_HOSTS)).withColumn("own", F.lit(True))
     row = common.collect()  # one row: the tags and words that are on every page of all hosts
     general = (row[0]["common_main"], frozenset(row[0]["common_words"] or ()), frozenset(row[0]["common_blocks"] or ())) if row else (None,)
-    joined = known.join(own, "host", "left").select("page_id", "url", "html", "main", "words", "blocks", F.coalesce("own", F.lit(False)).alias("own"))
+    joined = known.join(own, "host", "left").select("page_id", "url", "html", "main_id", "words", "blocks", F.coalesce("own", F.lit(False)).alias("own"))
 
     def over(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for html, main, words, blocks, own in zip(frame["html"], frame["main"], frame["words"], frame["blocks"], frame["own"]):
+        for html, main, words, blocks, own in zip(frame["html"], frame["main_id"], frame["words"], frame["blocks"], frame["own"]):
             held = (frozenset(tokens) if tokens is not None else frozenset() for tokens in (words, blocks))
             found.append(extract_page(html, main, *held) if own else extract_page(html, *general))
         return pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": found})
