@@ -11,6 +11,7 @@ import sentencepiece
 import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.frames import ROWS, edge_documents, no_documents
 from watchmill.llm import packing, pieces
@@ -148,3 +149,17 @@ def test_packing_in_many_groups_and_of_odd_documents(spark):
     assert packing.pack_documents(no_documents(spark)).count() == 0
     whole = {r["doc_id"]: r["ids"] for r in packing.tokenize(docs).collect()}
     assert whole[2] == [1] and len(whole[4]) == next(r["doc_tokens"] for r in rows if r["doc_id"] == 4)
+
+
+def test_equal_pieces_without_an_id_are_spread_over_the_groups(spark, tmp_path):
+    equal = spark.range(40_000).select(
+        F.lit(None).cast("long").alias("doc_id"),
+        F.lit(0).cast("long").alias("start"),
+        F.lit(1).cast("long").alias("length"),
+        F.lit(7).cast("long").alias("ids_crc32"),
+    )
+    equal.write.parquet(str(tmp_path / "pieces"))
+    rows = packing.pack(spark.read.parquet(str(tmp_path / "pieces")), group=1000)
+    sizes = rows.groupBy(F.floor(F.col("sequence_id") / packing.WIDTH)).count().toPandas()["count"]
+    assert sizes.sum() == 40_000 and len(sizes) == 40 and sizes.max() < 1200
+    assert rows.select("sequence_id", "offset").distinct().count() == 40_000

@@ -122,12 +122,13 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, seed: int = 42) -> DataFrame:
     """Place pieces (doc_id, start, length, ...) into sequences of at most ``capacity``: adds sequence_id and offset.
 
-    The pieces of a document go to one of n / group groups by a seeded hash, and every group is packed by itself. Pieces of
-    one document that fill a whole sequence take part like any other. The sequence ids of different groups differ. Equal
-    lengths are taken in order of doc_id and start, so that a run can be repeated.
+    Every piece goes to one of n / group groups by a seeded hash of its row's number, and every group is packed by itself, so
+    rows that agree in all columns are spread like any others. Pieces that fill a whole sequence take part too. The sequence
+    ids of different groups differ. Give a written table: its rows keep their numbers when a lost task is run again. Equal
+    lengths are taken in order of doc_id and start.
     """
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("bin_group", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups)))
 
     def over(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
