@@ -25,7 +25,7 @@ from watchmill.operators.profile import (
     slice_guard,
     with_performance,
 )
-from watchmill.operators.sketch_drift import sketch_drift
+from watchmill.operators.sketch_drift import RANK_ERROR, sketch_baseline_drift, sketch_drift
 from watchmill.operators.unify import drift_projection, performance_projection, profile_projection
 from watchmill.settings import REGRESSION, CustomMetric, Monitor
 
@@ -421,6 +421,29 @@ def drift_sketch(spark, sf):
     )
 
 
+@check(
+    "drift_baseline_sketch_within_bound",
+    "SELECT extract(year FROM l_shipdate)::INT AS year, c.column_name, true AS js_close, true AS ks_close "
+    "FROM lineitem, (VALUES ('l_extendedprice'), ('l_quantity')) c(column_name) WHERE l_shipdate IS NOT NULL GROUP BY 1, 2",
+)
+def drift_baseline_sketch(spark, sf):
+    """J10 from sketches: in every window the estimate stays within its bound of the exact row."""
+    monitor = Monitor(_LINES.table, "TIMESERIES", "l_shipdate", ("1 year",), (), ("l_quantity", "l_extendedprice"))
+    lines = table(spark, sf, "lineitem")
+    known = lines.filter("l_discount < 0.05")
+    exact = flat_drift(baseline_drift(lines, known, monitor))
+    near = flat_drift(sketch_baseline_drift(lines, known, monitor)).select(
+        "window_start", "column_name", F.col("js_distance").alias("js"), F.col("ks_statistic").alias("ks")
+    )
+    both = exact.join(near, ["window_start", "column_name"], "full")
+    return both.select(
+        F.year("window_start").alias("year"),
+        "column_name",
+        F.coalesce(F.abs(F.col("js") - F.col("js_distance")) < 0.02, F.lit(False)).alias("js_close"),
+        F.coalesce(F.abs(F.col("ks") - F.col("ks_statistic")) < 2 * RANK_ERROR, F.lit(False)).alias("ks_close"),
+    )
+
+
 #: Quantities with NaN and both infinities; in the first month there is nothing else.
 _ODD = (
     "SELECT *, CASE WHEN l_shipdate < TIMESTAMP '1995-02-01' OR l_linenumber = 7 THEN 'NaN'::DOUBLE "

@@ -14,6 +14,7 @@ distance compare the finite values, and are NULL where a side has none.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -270,14 +271,22 @@ def _axis(counts: DataFrame, baseline: DataFrame, pair: DataFrame) -> DataFrame:
 _WALK = ["inside", "first_area", "last", "last_area"]
 
 
-def _cells_off_the_axis(odd: DataFrame, odd_baseline: DataFrame, sides: DataFrame) -> DataFrame:
-    """Cells of the values that no bin holds: NaN, both infinities, and all finite ones where the other side has none."""
+def _cells_off_the_axis(
+    counts: DataFrame, baseline: DataFrame, odd: DataFrame, odd_baseline: DataFrame, sides: DataFrame, sizes: Sizes
+) -> DataFrame:
+    """Cells of NaN and both infinities, which no bin holds, and where only one side has finite values the bins of that side."""
     cell = F.when(F.col("key") == "NaN", -1).when(F.col("key") == "Infinity", -2).otherwise(-3).alias("cell")
     now = odd.select("g", "c", cell, F.col("n").alias("p"))
     then = odd_baseline.select("s", "c", "key", "n").join(sides.select("g", "s", "c"), ["s", "c"]).select("g", "c", cell, F.col("n").alias("q"))
-    lone = sides.filter("finite_p = 0 OR finite_q = 0")
-    lone = lone.select("g", "c", F.lit(0).alias("cell"), F.col("finite_p").alias("p"), F.col("finite_q").alias("q"))
-    return now.unionByName(then, allowMissingColumns=True).unionByName(lone, allowMissingColumns=True)
+    bin_number = bin_of(F.col("number"), F.col("low"), F.col("high")).alias("cell")
+    alone = sides.filter("finite_p > 0 AND finite_q = 0").select("g", "c", "low", "high")
+    alone = join_facts(counts, alone, ["g", "c"], ["number"], sizes).groupBy("g", "c", bin_number).agg(F.sum("n").alias("p"))
+    # The range is the baseline's own there, so its bins are counted once for all such windows.
+    own = baseline.groupBy("s", "c").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    bins = join_facts(baseline, own, ["s", "c"], ["number"], sizes).groupBy("s", "c", bin_number).agg(F.sum("n").alias("q"))
+    known = sides.filter("finite_p = 0 AND finite_q > 0").select("g", "s", "c").join(bins, ["s", "c"]).select("g", "c", "cell", "q")
+    parts = [now, then, alone, known]
+    return reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), parts)
 
 
 def _number_baseline_scores(
@@ -321,7 +330,7 @@ def _number_baseline_scores(
         F.sum(F.when(F.col("next_value").isNull(), F.col("area"))).alias("last_area"),
     )
     parts = binned.unionByName(_baseline_bins(marks, pair), allowMissingColumns=True)
-    parts = parts.unionByName(_cells_off_the_axis(odd, odd_baseline, sides), allowMissingColumns=True)
+    parts = parts.unionByName(_cells_off_the_axis(counts, baseline, odd, odd_baseline, sides, sizes), allowMissingColumns=True)
     cells = parts.groupBy("g", "c", "cell").agg(
         F.sum(F.coalesce("p", F.lit(0))).alias("p"),
         F.sum(F.coalesce("q", F.lit(0))).alias("q"),
@@ -459,13 +468,14 @@ def _baseline_scores(counts: DataFrame, baseline: DataFrame, fields: list[T.Stru
         return df.filter("number IS NOT NULL").groupBy(*keys, "c", "number").agg(F.sum("n").alias("n"))
 
     scores = None
+    # By the column's type: two sides of NaN alone have no range, but are alike.
+    of_numbers = F.col("c").isin([i for i, field in enumerate(fields) if is_number(field)])
     if any(is_category(f) for f in fields):
-        texts = full.filter("low IS NULL")
+        texts = full.filter(~of_numbers)
         found = _category_baseline_scores(values.filter("number IS NULL"), known.filter("number IS NULL"), texts, sizes)
         scores = _complete(found)
     if any(is_number(f) for f in fields):
-        figures = full.filter("low IS NOT NULL")
-        of_numbers = F.col("c").isin([i for i, field in enumerate(fields) if is_number(field)])
+        figures = full.filter(of_numbers)
         odd, odd_baseline = (side.filter("number IS NULL").filter(of_numbers) for side in (values, known))
         found = _complete(
             _number_baseline_scores(numbers(values, "g", "s"), numbers(known, "s"), figures, sizes, odd, odd_baseline)
@@ -482,7 +492,7 @@ def _complete(scores: DataFrame) -> DataFrame:
 # --- public -------------------------------------------------------------------------------------------------------
 
 
-def _metric_rows(
+def metric_rows(
     every: DataFrame, scores: DataFrame, monitor: Monitor, fields: list[T.StructField], drift_type: str
 ) -> DataFrame:
     of_categories = F.col("c").isin([i for i, field in enumerate(fields) if is_category(field)])
@@ -515,7 +525,7 @@ def consecutive_drift(
         return empty(df.sparkSession, DRIFT_METRICS)
     counts = counts or stored_counts(df, monitor, fields)
     every, scores = _consecutive_scores(counts, len(fields), pairs)
-    return _metric_rows(every, scores, monitor, fields, "CONSECUTIVE")
+    return metric_rows(every, scores, monitor, fields, "CONSECUTIVE")
 
 
 def shared_with_baseline(monitor: Monitor, baseline: DataFrame) -> Monitor:
@@ -556,13 +566,13 @@ def baseline_drift(
     counts = counts or stored_counts(df, monitor, fields)
     known = known or materialize(baseline_counts(baseline, monitor, fields), "baseline-counts")
     every, scores = _baseline_scores(counts, known, fields)
-    return _metric_rows(every, scores, monitor, fields, "BASELINE")
+    return metric_rows(every, scores, monitor, fields, "BASELINE")
 
 
 def counted_drift(counts: DataFrame, known: DataFrame, monitor: Monitor, fields: list[T.StructField]) -> DataFrame:
     """D4 without the old rows: value counts of a snapshot against those kept of the snapshot before it, in ``fields``."""
     every, scores = _baseline_scores(counts, known, fields)
-    return _metric_rows(every, scores, monitor, fields, "CONSECUTIVE")
+    return metric_rows(every, scores, monitor, fields, "CONSECUTIVE")
 
 
 def snapshot_drift(df: DataFrame, previous: DataFrame, monitor: Monitor) -> DataFrame:

@@ -41,11 +41,11 @@ from watchmill.operators.drift import (
     stored_counts,
 )
 from watchmill.operators.frequencies import ALL_ROWS, value_counts
-from watchmill.operators.grouping import name_at
+from watchmill.operators.grouping import is_number, name_at
 from watchmill.operators.performance import labelled, performance, scored
 from watchmill.operators.profile import profile, safe_slices, with_performance
 from watchmill.operators.provisioning import run_summary
-from watchmill.operators.sketch_drift import sketch_drift
+from watchmill.operators.sketch_drift import sketch_baseline_drift, sketch_drift, stored_sketches
 from watchmill.operators.unify import Member, unified_drift, unified_performance, unified_profile
 from watchmill.plans.increment import CHANGE, State, renewed_aggregates, renewed_metrics, settings_text, take_in
 from watchmill.schemas import DRIFT_METRICS, PROFILE_METRICS, empty
@@ -96,7 +96,8 @@ def compute_metrics(
 ) -> TableMetrics:
     """Profile, model quality, custom metrics and drift of one table.
 
-    ``drift_mode`` 'sketch' compares numeric columns by mergeable sketches, for tables whose values hardly repeat.
+    ``drift_mode`` 'sketch' compares numeric columns by mergeable sketches, for tables whose values hardly repeat,
+    with the windows before and with a baseline.
     ``previous`` is the snapshot before this one, for SNAPSHOT tables.
     """
     rows = with_performance(profile(df, monitor, distinct=distinct), performance(df, monitor))
@@ -108,8 +109,12 @@ def compute_metrics(
 
     parts = []
     counts = None
+    sketches = None
+    numbers = [f for f in drift_fields(df, monitor) if is_number(f)]
+    if drift_mode == "sketch" and numbers and monitor.granularities:
+        sketches = stored_sketches(df, monitor, numbers)
     if monitor.granularities and drift_mode == "sketch":
-        parts.append(sketch_drift(df, monitor))
+        parts.append(sketch_drift(df, monitor, sketches))
     elif monitor.granularities:
         fields = drift_fields(df, monitor)
         counts = stored_counts(df, monitor, fields) if fields else None
@@ -119,7 +124,10 @@ def compute_metrics(
     if baseline is not None:
         shared = shared_with_baseline(monitor, baseline)
         alike = shared.slice_columns == monitor.slice_columns and compared_fields(df, baseline, shared) == drift_fields(df, monitor)
-        parts.append(baseline_drift(df, baseline, monitor, counts if alike else None))
+        if drift_mode == "sketch":
+            parts.append(sketch_baseline_drift(df, baseline, monitor, sketches if alike else None))
+        else:
+            parts.append(baseline_drift(df, baseline, monitor, counts if alike else None))
     drift = parts[0] if parts else empty(df.sparkSession, DRIFT_METRICS)
     for part in parts[1:]:
         drift = drift.unionByName(part)
