@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from watchmill.functions.templates import quoted, render
 from watchmill.operators.grouping import fan_out, group_columns, named, with_base_keys
+from watchmill.operators.splitting import Split, split_aggregate
 from watchmill.schemas import TABLE_ROW
 from watchmill.settings import CustomMetric, Monitor, RunSettings
 
@@ -23,24 +24,45 @@ def _of_type(metrics: tuple[CustomMetric, ...], kind: str) -> list[CustomMetric]
     return [metric for metric in metrics if metric.metric_type == kind]
 
 
+def _value_of(df: DataFrame, i: int, text: str, metric: CustomMetric) -> tuple[Split | None, Column]:
+    """The parts of an expression, if it has some, and its value over them, or over the rows."""
+    parts = split_aggregate(df, text, f"__a{i}_")
+    return parts, _value(F.expr(parts.finish if parts else text), metric).alias(f"m{i}")
+
+
+def _computed(df: DataFrame, monitor: Monitor, values: list[tuple[Split | None, Column]]) -> DataFrame:
+    """One row per group ``g`` with the values m0, m1, ..."""
+    rows, keys = with_base_keys(df, monitor)
+    partials = {name: part for split, _ in values if split for name, part in split.partials.items()}
+    merged = direct = None
+    if partials:
+        parts = rows.groupBy(*keys).agg(*[F.expr(text).alias(name) for name, (text, _) in partials.items()])
+        whole = fan_out(parts, monitor).groupBy("g").agg(*[merge(name).alias(name) for name, (_, merge) in partials.items()])
+        merged = whole.select("g", *[value for split, value in values if split])
+    if any(split is None for split, _ in values):
+        direct = fan_out(rows, monitor).groupBy("g").agg(*[value for split, value in values if split is None])
+    if merged is None or direct is None:
+        return direct if merged is None else merged
+    return merged.join(direct, "g")
+
+
 def custom_aggregates(df: DataFrame, monitor: Monitor) -> DataFrame:
     """Rows (window, granularity, slice, column_name, one column per metric); NULL where a metric does not apply.
 
-    The expressions may be any aggregate, so they run on the rows of each group directly.
+    Expressions of aggregates that merge read the rows once, per base window, for all windows and slices. Any other runs on
+    the rows of each group directly.
     """
     metrics = _of_type(monitor.custom_metrics, "aggregate")
     values = {"prediction_col": monitor.prediction_column, "label_col": monitor.label_column}
     common = {name: quoted(column) for name, column in values.items() if column}
-    computed: dict[tuple[str, str], Column] = {}
+    computed: dict[tuple[str, str], tuple[str, CustomMetric]] = {}
     for metric in metrics:
         inputs = {name: quoted(name) for name in metric.input_columns if name != TABLE_ROW}
         for column in metric.input_columns:
             own = {} if column == TABLE_ROW else {"input_column": quoted(column)}
             text = render(metric.definition, {**common, **inputs, **own})
-            computed[column, metric.name] = _value(F.expr(text), metric)
-    rows, _ = with_base_keys(df, monitor)
-    groups = fan_out(rows, monitor).groupBy("g")
-    wide = groups.agg(*[value.alias(f"m{i}") for i, value in enumerate(computed.values())])
+            computed[column, metric.name] = text, metric
+    wide = _computed(df, monitor, [_value_of(df, i, text, metric) for i, (text, metric) in enumerate(computed.values())])
     position = {key: i for i, key in enumerate(computed)}
     entries = []
     for column in dict.fromkeys(column for column, _ in computed):
@@ -83,8 +105,14 @@ def custom_drift(current: DataFrame, metrics: tuple[CustomMetric, ...], base: Da
     row = F.struct(*[F.col(name) for name in current.columns])
     keyed = current.select(*ROW_KEYS, "column_name", row.alias("current_df"))
     if base is None:
+        # Only the windows of a series are put in order; the rows of two windows meet in a join. NULLs are equal in a struct.
         series = Window.partitionBy("granularity", "slice_key", "slice_value", "column_name").orderBy("window")
-        pairs = keyed.withColumn("base_df", F.lag("current_df").over(series)).filter("base_df IS NOT NULL")
+        starts = keyed.select(*ROW_KEYS, "column_name").withColumn("before", F.lag("window").over(series)).filter("before IS NOT NULL")
+        place = F.struct("granularity", "slice_key", "slice_value", "column_name")
+        starts = starts.select(F.struct("window", place.alias("of")).alias("__row"), F.struct(F.col("before").alias("window"), place.alias("of")).alias("__base"))
+        at = F.struct("window", place.alias("of"))
+        stored = keyed.select(at.alias("__base"), F.col("current_df").alias("base_df"))
+        pairs = keyed.withColumn("__row", at).join(starts, "__row").join(stored, "__base").drop("__row", "__base")
         kind = "CONSECUTIVE"
     else:
         slice_key = F.struct("slice_key", "slice_value", "column_name")
