@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from watchmill.llm.common import map_frames, table, texts
+from watchmill.llm.common import map_frames, materialize, table, texts
 
 UNKNOWN = "und"
 #: Lengths of n-grams, tried in this order; a word carries a sign at either end.
@@ -163,6 +163,8 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
         return found.dropna().groupby(["item", "lang"]).size().reset_index(name="n").astype({"n": "int64"})
 
     words = map_frames(sample, count, "item string, lang string, n long").groupBy("item", "lang").agg(F.sum("n").alias("n"))
+    # Both words and n-grams are made of these counts.
+    words = materialize(words, "language-words")
     marked = F.concat(F.lit(EDGE), "item", F.lit(EDGE))
 
     def of_length(n: int) -> Column:
