@@ -9,6 +9,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+import checks.engine  # noqa: F401
+from checks.base import QUERIES
 from watchmill.operators.frequencies import SIGN
 from watchmill.operators.performance import labelled, performance, performance_of, performance_partials
 from watchmill.settings import Monitor, ProfileDefaults, RunSettings, TableSettings, resolve_monitor, settings_problems
@@ -79,3 +81,12 @@ def test_settings():
 
     assert resolve_monitor(run(TableSettings(class_scores=dict(CLASSES))), "main.a.b").class_scores == CLASSES
     assert ("class_scores", "main.a.b") in settings_problems(run(TableSettings(class_scores={"a": "pa"})))
+
+
+def test_confusion_query_counts_every_row(spark, tmp_path):
+    spark.sql(
+        "SELECT * FROM VALUES (TIMESTAMP_NTZ'2024-01-01 00:00:00', 'F', 400000.0D), (TIMESTAMP_NTZ'2024-05-01 00:00:00', 'F', 400000.0D), "
+        "(TIMESTAMP_NTZ'2025-01-01 00:00:00', 'O', 1.0D) AS t(o_orderdate, o_orderstatus, o_totalprice)"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = QUERIES["model_multiclass_confusion"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == [(2024, "F", "F", 2), (2025, "O", "P", 1)]
