@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from watchmill.functions.naming import duration_text, glob_match, group_slug, identifier_slug, priority
+from watchmill.functions.naming import duration_text, glob_match, group_slug, identifier_slug, priority, whole_days_between
 from watchmill.functions.templates import render, template_problems
 from watchmill.operators import alerts as A
 from watchmill.operators import coverage as C
@@ -280,3 +280,10 @@ def test_inventory_row(spark):
     row = inventory_row(spark.range(1).selectExpr("id", "'x' AS name"), "main.s.t").first()
     assert (row.full_name, row.schema_name, row.table_type) == ("main.s.t", "s", "MANAGED")
     assert [tuple(c) for c in row["columns"]] == [("id", "bigint"), ("name", "string")]
+
+
+def test_a_day_is_complete_to_the_microsecond(spark):
+    times = ["2024-02-01 00:00:00", "2024-02-01 00:00:00.000001", "2024-02-01 00:00:00.999", "2024-03-01 00:00:00.5", "1960-01-01 12:00:00"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string").orderBy("i")
+    days = whole_days_between(F.col("t").cast("timestamp"), F.expr("TIMESTAMP'2024-03-01 00:00:00'"))
+    assert [r.d for r in rows.select(days.alias("d")).collect()] == [29, 28, 28, -1, 23435]
