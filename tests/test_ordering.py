@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from watchmill.functions import ordering
 from watchmill.functions.ordering import GRIDS, Sizes, grid_cell, join_facts, running_totals
+from watchmill.operators import drift
 from watchmill.operators.drift import baseline_drift, consecutive_drift
 from watchmill.settings import Monitor
 
@@ -94,3 +95,25 @@ def test_drift_of_hot_groups_equals_plain_drift(spark, sf, kind, monkeypatch):
     for key, scores in plain.items():
         for a, b in zip(scores, hot[key], strict=True):
             assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)), key
+
+
+@pytest.mark.parametrize("kind", ["consecutive", "baseline"])
+def test_one_measured_grid_does_where_values_spread(spark, sf, kind, monkeypatch):
+    """Groups that a coarse grid cuts small enough need that grid alone, and give the numbers of the ordinary path."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    monitor = Monitor("m.s.events", "TIMESERIES", "ts", ("1 week",), ("event_type",), ("value", "user_id"))
+
+    def measure():
+        if kind == "consecutive":
+            return _flat(consecutive_drift(events, monitor))
+        return _flat(baseline_drift(events, events.filter("user_id < 40"), monitor))
+
+    plain, chosen, choose = measure(), [], drift.choose_grids
+    monkeypatch.setattr(drift, "choose_grids", lambda *args: chosen.append(choose(*args)) or chosen[-1])
+    monkeypatch.setattr(ordering, "PLAIN_WINDOW", 1000)
+    hot = measure()
+    assert chosen and all(len(grids) == 1 for grids in chosen)
+    assert plain.keys() == hot.keys() and len(plain) > 10
+    for key, scores in plain.items():
+        for a, b in zip(scores, hot[key], strict=True):
+            assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)), key
