@@ -10,6 +10,7 @@ from watchmill.functions import ordering
 from watchmill.functions.ordering import GRIDS, Sizes, grid_cell, join_facts, running_totals
 from watchmill.operators import drift
 from watchmill.operators.drift import baseline_drift, consecutive_drift
+from watchmill.operators.frequencies import value_counts
 from watchmill.settings import Monitor
 
 
@@ -117,3 +118,13 @@ def test_one_measured_grid_does_where_values_spread(spark, sf, kind, monkeypatch
     for key, scores in plain.items():
         for a, b in zip(scores, hot[key], strict=True):
             assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)), key
+
+
+def test_tasks_are_as_many_as_rows_need(spark, monkeypatch):
+    """A task's memory does not grow with the table: pair counts and value counts are dealt by their number."""
+    monkeypatch.setattr(ordering, "TASK_ROWS", 100)
+    rows = spark.range(3000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).alias("s"))
+    monitor = Monitor("a.b.c", "SNAPSHOT", granularities=(), slices=("s",), columns=("x",))
+    counts = value_counts(rows, monitor)
+    assert counts.count() == 6003
+    assert counts.rdd.getNumPartitions() >= 60
