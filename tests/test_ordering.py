@@ -12,6 +12,7 @@ from watchmill.operators import drift
 from watchmill.operators.drift import baseline_drift, consecutive_drift
 from watchmill.operators.frequencies import value_counts
 from watchmill.settings import Monitor
+from watchmill.sources import scratch
 
 
 def _rows(seed):
@@ -128,3 +129,9 @@ def test_tasks_are_as_many_as_rows_need(spark, monkeypatch):
     counts = value_counts(rows, monitor)
     assert counts.count() == 6003
     assert counts.rdd.getNumPartitions() >= 60
+
+
+def test_written_tables_are_cut_into_files_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "FILE_ROWS", 100)
+    written = scratch.materialize(spark.range(0, 1000, 1, 1), "cut")
+    assert len(written.inputFiles()) == 10 and written.count() == 1000
