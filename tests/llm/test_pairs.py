@@ -1,6 +1,7 @@
 """Fingerprints, near duplicates and components against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -38,6 +39,17 @@ def test_components_of_chains_hubs_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_broadcast_of_least_nodes_has_one_long_as_its_key(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, i) for i in range(40)], "a long, b long")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    found = components._with_least(edges, least.hint("broadcast")).select("a", "b", "m")
+    assert sorted(map(tuple, found.collect())) == sorted((a, b, 0 if a == 100 else a - 1) for a, b in edges.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"HashedRelationBroadcastMode\(List\(([^()]*)\)", plan)
+    # Rows under other keys are kept in pages of 16 MB and more, on every executor and for every round.
+    assert keys and all(re.fullmatch(r"input\[\d+, bigint, \w+\]", k) for k in keys)
+
+
 def plain_simhash(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

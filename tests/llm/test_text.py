@@ -384,3 +384,11 @@ def test_documents_without_personal_data_stay(spark, sf):
         assert (row["text"] != old) == bool(personal.search(old)), row["doc_id"]
         changed += row["text"] != old
     assert changed > 10
+
+
+def test_votes_of_few_words_are_kept():
+    model = language.LanguageModel(["de", "en"], {"w7x": 0}, {"x": 0}, np.array([[-1.0, -2.0]], np.float32), np.array([[-3.0, -2.0]], np.float32))
+    votes, words = language.Votes(model), [f"w{i}x" for i in range(150_000)]
+    total = votes.total(words)
+    assert len(votes.rows) <= 100_000 and len(votes.matrix) <= 131_072
+    assert np.allclose(total, [-3.0 * 149_999 - 1.0, -2.0 * 150_000])

@@ -22,8 +22,8 @@ UNKNOWN = "und"
 LENGTHS, EDGE = (5, 4, 3, 2, 1), "^"
 #: Bounds of what is learned from: at most so many documents of each language, and words or n-grams seen this often.
 PER_LANGUAGE, WORD_SEEN, GRAM_SEEN, SMOOTHING = 3000, 3, 5, 0.5
-#: Words whose votes a worker keeps at a time.
-KEPT = 200_000
+#: Words whose votes a worker keeps; up to twice as many are held, by every worker of an executor.
+KEPT = 50_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 
