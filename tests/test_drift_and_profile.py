@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from watchmill.operators import moments
+from watchmill.functions import ordering
+from watchmill.operators import drift, moments
 from watchmill.operators.drift import baseline_drift, consecutive_drift
 from watchmill.operators.performance import performance
 from watchmill.operators.profile import profile, safe_slices, slice_guard
@@ -99,6 +100,33 @@ def test_baseline_steps_against_numpy(spark, seed):
         assert math.isclose(row.wasserstein_distance, wd, abs_tol=1e-9)
 
 
+def test_a_baseline_is_laid_out_once_by_plain_numbers(spark, monkeypatch):
+    """Rows are sorted by numbers that stand for groups, and only crossings are written beside them, not the baseline again."""
+    rng, written = np.random.default_rng(9), {}
+    current = [np.round(rng.normal(d, 2, 300), 1) for d in range(2)]
+    base = np.round(rng.normal(0.5, 2, 4000), 3)
+    df = spark.createDataFrame([(_at(d), float(v)) for d, values in enumerate(current) for v in values], "at timestamp_ntz, x double")
+    known = spark.createDataFrame([(float(v),) for v in base], "x double")
+
+    def kept(module):
+        write = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda frame, name: written.setdefault(name, []).append(write(frame, name)) or written[name][-1])
+
+    kept(drift)
+    kept(ordering)
+    monkeypatch.setattr(ordering, "PLAIN_WINDOW", 300)
+    found = _drift(baseline_drift(df, known, Monitor("a.b.c", "TIMESERIES", "at", columns=("x",))))
+    for d, values in enumerate(current):
+        ks, wd = _wasserstein(values, base)
+        assert math.isclose(found[_at(d), "x"].ks_test.statistic, ks, abs_tol=1e-9)
+        assert math.isclose(found[_at(d), "x"].wasserstein_distance, wd, abs_tol=1e-9)
+    (marks,) = written["marks"]
+    assert "w" in marks.columns and "struct" not in {f.dataType.typeName() for f in marks.schema}
+    sizes = [frame.count() for name, frames in written.items() if name not in ("counts", "baseline-counts") for frame in frames]
+    assert 0 < written["crossings"][0].count() < 600
+    assert max(sizes) == marks.count() < len(set(base))
+
+
 def test_sketch_drift_is_near(spark):
     rng = np.random.default_rng(5)
     rows = [(_at(d), float(v)) for d in range(3) for v in rng.normal(d, 1, 4000)]
