@@ -121,6 +121,38 @@ def test_one_measured_grid_does_where_values_spread(spark, sf, kind, monkeypatch
             assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)), key
 
 
+@pytest.mark.parametrize("kind", ["consecutive", "baseline"])
+def test_one_finer_grid_does_where_values_crowd(spark, kind, monkeypatch):
+    """Values too dense for the coarse grids need one finer grid, not a cell for nearly every value."""
+    rng = random.Random(3)
+    rows = [(day, round(rng.uniform(1030, 1060), 2)) for day in range(2) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "day int, x double")
+    df = df.select(F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.col("day") + 1, F.lit(0), F.lit(0), F.lit(0)).alias("at"), "x")
+    monitor = Monitor("m.s.t", "TIMESERIES", "at", columns=("x",))
+
+    def measure():
+        return _flat(consecutive_drift(df, monitor) if kind == "consecutive" else baseline_drift(df, df.filter("x < 1050 AND day(at) = 1"), monitor))
+
+    plain, chosen, choose = measure(), [], drift.choose_grids
+    monkeypatch.setattr(drift, "choose_grids", lambda *args: chosen.append(choose(*args)) or chosen[-1])
+    monkeypatch.setattr(ordering, "PLAIN_WINDOW", 110)
+    hot = measure()
+    assert chosen and all(len(grids) == 1 and grids[0] > GRIDS[1] for grids in chosen)
+    assert plain.keys() == hot.keys() and any(scores[1] for scores in plain.values())
+    for key, scores in plain.items():
+        for a, b in zip(scores, hot[key], strict=True):
+            assert (a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)), key
+
+
+def test_both_grids_where_a_finer_one_makes_too_many_cells(spark, monkeypatch):
+    crowded = [(1030.0 + i / 1000,) for i in range(1000)]
+    monkeypatch.setattr(ordering, "PLAIN_WINDOW", 200)
+    one = spark.createDataFrame(crowded + [(2060.0 + i,) for i in range(100)], "v double").withColumn("k", F.lit("a"))
+    many = one.unionByName(spark.createDataFrame([(2.0**i * 1.3,) for i in range(-300, 300)], "v double").withColumn("k", F.lit("a")))
+    assert len(ordering.choose_grids(one, ["k"], "v", 1100)) == 1
+    assert ordering.choose_grids(many, ["k"], "v", 1700) == GRIDS
+
+
 def test_tasks_are_as_many_as_rows_need(spark, monkeypatch):
     """A task's memory does not grow with the table: pair counts and value counts are dealt by their number."""
     monkeypatch.setattr(ordering, "TASK_ROWS", 100)
