@@ -127,6 +127,21 @@ def test_a_baseline_is_laid_out_once_by_plain_numbers(spark, monkeypatch):
     assert max(sizes) == marks.count() < len(set(base))
 
 
+def test_pairs_are_walked_by_plain_numbers(spark, monkeypatch):
+    """What is shuffled, sorted and written of each value carries a number for its pair of windows, not the window's struct."""
+    rng, written, write = np.random.default_rng(9), [], ordering.materialize
+    days = [np.round(rng.normal(d, 2, 400), 2) for d in range(2)]
+    df = spark.createDataFrame([(_at(d), float(v)) for d, values in enumerate(days) for v in values], "at timestamp_ntz, x double")
+    monkeypatch.setattr(ordering, "materialize", lambda frame, name: written.append((name, write(frame, name))) or written[-1][1])
+    monkeypatch.setattr(ordering, "PLAIN_WINDOW", 200)
+    found = _drift(consecutive_drift(df, Monitor("a.b.c", "TIMESERIES", "at", columns=("x",))))
+    ks, wd = _wasserstein(days[1], days[0])
+    assert math.isclose(found[_at(1), "x"].ks_test.statistic, ks, abs_tol=1e-9)
+    assert math.isclose(found[_at(1), "x"].wasserstein_distance, wd, abs_tol=1e-9)
+    cells = next(frame for name, frame in written if name == "cells")
+    assert "w" in cells.columns and "struct" not in {f.dataType.typeName() for f in cells.schema}
+
+
 def test_sketch_drift_is_near(spark):
     rng = np.random.default_rng(5)
     rows = [(_at(d), float(v)) for d in range(3) for v in rng.normal(d, 1, 4000)]
